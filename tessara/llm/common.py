@@ -57,3 +57,10 @@ def text_words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text as an array; a null text has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
