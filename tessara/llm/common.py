@@ -64,3 +64,14 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def fits(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, and else as it is: Spark then shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def plain_words(text: Column) -> Column:
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text with A-Z in lower case, as an array; a null text has none."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(lowered, f"[{BREAK}]+"), "")
