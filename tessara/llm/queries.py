@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, quality, tokens
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokens.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
+    return tokens.with_crc(tokens.read(manifest))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdict(quality.ledger(table(spark, sf_dir, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base"])) != 0
