@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licences, quality, tokens
-from .common import table, tokenizer_path
+from . import bpe, decontaminate, langid, licences, quality, tokens
+from .common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder(4) != 2))
+    rows = langid.predict(docs, model)
+    return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits")
+
+
 OP3_SQL = r"""
 WITH words_of AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
