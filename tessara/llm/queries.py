@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licences, quality, tokens
+from . import bpe, decontaminate, langid, licences, quality, tokens, warc
 from .common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.write(table(spark, sf_dir, "pages"))
+    rows = warc.read(warc.listed(warc.build_index(captures)))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP3_SQL = r"""
 WITH words_of AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
