@@ -33,6 +33,8 @@ class Table:
 
     def __post_init__(self) -> None:
         self.start = np.cumsum(self.freq) - self.freq
+        self.place = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.int32)
+        self.place[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
 
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.symbols), dtype=np.int32), self.freq.astype(np.int64))
@@ -40,7 +42,9 @@ class Table:
 
 def count_table(ids: np.ndarray) -> Table:
     """A table over the ids that occur: proportional, at least 1 each, the rest given to the largest."""
-    symbols, n = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(counts)
+    n = counts[symbols]
     total = 1 << BITS
     if len(symbols) > total:
         raise ValueError(f"more than {total} different ids in one file")
@@ -58,7 +62,7 @@ def count_table(ids: np.ndarray) -> Table:
 
 def code_block(table: Table, ids: np.ndarray) -> bytes:
     """Final states of the lanes, then 32-bit words in the order in which a reader takes them."""
-    place = np.searchsorted(table.symbols, ids)
+    place = table.place[ids]
     freq, start = table.freq[place], table.start[place]
     lanes = min(LANES, len(ids))
     state = np.full(lanes, _LOW, np.uint64)

@@ -29,7 +29,7 @@ from . import files, rans
 from .common import shared_dir, stored
 
 #: Pieces that a worker keeps encoded, and characters of text that it takes in one step.
-KEPT_PIECES, STEP_CHARS, JOINED_CHARS = 1_000_000, 4_000_000, 200_000
+KEPT_PIECES, STEP_CHARS, JOINED_CHARS = 1_500_000, 4_000_000, 200_000
 
 
 class Pieces:
