@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +148,33 @@ def fit(docs: DataFrame, order: int = ORDER, n: int = SAMPLE_DOCS, chars: int =
     return build(counted.groupBy("lang", "depth", "key").agg(F.sum("n").alias("n")).toPandas(), order)
 
 
+class Predictor:
+    """Predictions of a frozen model, with the code lengths of words seen before (at most about KEPT_WORDS)."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.table: dict[bytes, int] = {}
+        self.bits = np.zeros((0, len(model.langs)), np.float32)
+
+    def of(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Language, score and code length of each text."""
+        cut = [words_of(t) for t in texts]
+        if len(self.table) > KEPT_WORDS:
+            self.table, self.bits = {}, self.bits[:0]
+        fresh = list(set().union(*cut).difference(self.table))
+        if fresh:
+            self.table.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
+            self.bits = np.concatenate([self.bits, self.model.lengths(fresh)])
+        return [self._one(t, w) for t, w in zip(texts, cut, strict=True)]
+
+    def _one(self, text: str, words: list[bytes]) -> tuple[str, float, float]:
+        if not self.model.langs or not words or not any(map(str.isalpha, text)):
+            return "und", 0.0, 0.0
+        total = self.bits[[self.table[w] for w in words]].sum(0, dtype=np.float64)
+        best = int(total.argmin())
+        return self.model.langs[best], float(1 / np.exp2((total[best] - total) / len(words) ** 0.5).sum()), float(total[best])
+
+
 def predict(docs: DataFrame, model: Model, step: int = 1024) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and bits (code length under the prediction) of each text.
 
@@ -156,30 +184,29 @@ def predict(docs: DataFrame, model: Model, step: int = 1024) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # the table holds bytes and numbers only, and many; nothing here makes cycles
-        own = sent.value
-        table: dict[bytes, int] = {}
-        bits = np.zeros((0, len(own.langs)), np.float32)
+        own = Predictor(sent.value)
         for frame in frames:
             for at in range(0, len(frame), step):
                 part = frame.iloc[at : at + step]
-                texts = part["text"].fillna("").tolist()
-                cut = [words_of(t) for t in texts]
-                if len(table) > KEPT_WORDS:
-                    table, bits = {}, bits[:0]
-                fresh = list(set().union(*cut).difference(table))
-                if fresh:
-                    table.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-                    bits = np.concatenate([bits, own.lengths(fresh)])
-                langs, scores, sizes = [], [], []
-                for text, words in zip(texts, cut, strict=True):
-                    if not own.langs or not words or not any(map(str.isalpha, text)):
-                        langs.append("und"), scores.append(0.0), sizes.append(0.0)
-                        continue
-                    total = bits[[table[w] for w in words]].sum(0, dtype=np.float64)
-                    best = int(total.argmin())
-                    share = 1 / np.exp2((total[best] - total) / len(words) ** 0.5).sum()
-                    langs.append(own.langs[best]), scores.append(float(share)), sizes.append(float(total[best]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": langs, "score": scores, "bits": sizes})
+                made = pd.DataFrame(own.of(part["text"].fillna("").tolist()), columns=["lang_pred", "score", "bits"])
+                made.insert(0, "doc_id", part["doc_id"].to_numpy())
+                yield made
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, bits double")
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, step: int = 1024) -> DataFrame:
+    """The rows of docs whose language is told with a score of least or more; rows pass through, so nothing is joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        own = Predictor(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                told = own.of([t or "" for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in told]))
+
+    return docs.mapInArrow(run, docs.schema)

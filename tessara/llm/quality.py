@@ -11,6 +11,8 @@ empty table gives an empty ledger, and further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ SYMBOLS = "#*$%&|<>"
 
 #: (rule, failing condition over the measurements); a rule's bit is its place in this list, and places never change.
 RULES = [
-    ("few_words", "n_words < 20"),
-    ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 15 * n_words"),
-    ("symbols", "4 * n_symbols > n_words"),
-    ("repeated_lines", "2 * n_dup_lines > n_lines"),
+    ("few_words", lambda m: m("n_words") < 20),
+    ("repeated_windows", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    ("short_words", lambda m: m("word_chars") < 2 * m("n_words")),
+    ("long_words", lambda m: m("word_chars") > 15 * m("n_words")),
+    ("symbols", lambda m: 4 * m("n_symbols") > m("n_words")),
+    ("repeated_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Policies by version: the rules that reject a document.
@@ -66,31 +68,48 @@ def _windows(words: Column) -> Column:
     return F.slice(rolled, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements that rules read."""
+def _measured() -> Column:
+    """All measurements of a row's text as one struct."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    measured = let(
-        text_words(F.col("text")),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.size(w) >= WINDOW, _repeated(_windows(w))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words")),
-    )
-    counted = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return docs.select(
-        "doc_id",
-        measured.alias("m"),
-        counted.alias("l"),
-        F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-    ).select("doc_id", "m.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "m.n_repeat_words")
+    count = lambda c: c.cast("long")
 
+    def by_words(w: Column, x: Column) -> Column:
+        repeated = F.when(F.size(w) >= WINDOW, _repeated(_windows(w))).otherwise(F.lit(0).cast("long"))
+        return F.struct(
+            count(F.size(w)).alias("n_words"),
+            count(F.length(F.translate(text, SPACE_CHARS, ""))).alias("word_chars"),
+            count(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+            count(F.size(x)).alias("n_lines"),
+            count(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+            repeated.alias("n_repeat_words"),
+        )
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """The measurements and fail_bits: bit i is set where rule i fails."""
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
+    return let(text_words(F.col("text")), lambda w: let(lines, lambda x: by_words(w, x)))
+
+
+def _failed(m: Callable[[str], Column]) -> Column:
+    """The bits of the rules that fail. m gives a measurement by name."""
+    bits = [F.when(rule(m), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return measure(docs).withColumn("fail_bits", failed.cast("long"))
+    return failed.cast("long")
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id and the measurements that rules read."""
+    return docs.select("doc_id", _measured().alias("m")).select("doc_id", "m.*")
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """The measurements and fail_bits: bit i is set where rule i fails."""
+    return measure(docs).withColumn("fail_bits", _failed(F.col))
+
+
+def kept(policy: str = "v1") -> Column:
+    """Whether no rule of the policy fails for a row's text, as a column of that row."""
+    return let(_measured(), lambda m: _failed(lambda name: m[name]).bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
 def verdict(ledger_rows: DataFrame, policy: str = "v1") -> DataFrame:
