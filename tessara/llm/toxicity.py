@@ -2,7 +2,8 @@
 
 Examples are a bounded sample of labelled rows: at most SAMPLE_ROWS of each label, by a hash of doc_id,
 which bounds everything that is broadcast. Features are words and the GRAM-letter pieces of words whose
-document frequencies differ between the labels (chi-square of CHI or more, at most FEATURES of them). The
+document frequencies differ between the labels, by a factor of LIFT or more and a chi-square of CHI or more (at most
+FEATURES of them), so that words which merely follow a text's length are none. The
 examples lie in a block-max inverted index: each block holds the postings of BLOCK examples and each
 feature's largest weight in it. A query adds up block bounds, visits blocks from the largest bound down and
 stops when no bound reaches its K-th best cosine, so its neighbours are exact. Their votes, weighted by
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .licences import words_of
 
-SAMPLE_ROWS, FEATURES, CHI, GRAM, BLOCK, K, KEPT_WORDS = 3000, 1000, 12.0, 5, 64, 15, 1_000_000
+SAMPLE_ROWS, FEATURES, CHI, LIFT, GRAM, BLOCK, K, KEPT_WORDS = 3000, 1000, 12.0, 4.0, 5, 64, 15, 1_000_000
 #: Bytes of a word that give pieces; longer words count as a whole only.
 LONGEST = 40
 
@@ -125,6 +126,8 @@ def _chosen_features(rows: DataFrame, n_of: dict[int, int]) -> pd.DataFrame:
     ones, zeros = n_of.get(1, 0), sum(v for k, v in n_of.items() if k != 1)
     total, df = ones + zeros, F.col("a") + F.col("b")
     chi = total * F.pow(F.col("a") * zeros - F.col("b") * ones, 2.0) / (F.lit(float(ones) * zeros) * df * F.greatest(total - df, F.lit(1)))
+    lift = (F.col("a") + 0.5) / (ones + 1) / ((F.col("b") + 0.5) / (zeros + 1))
+    by = by.where((lift >= LIFT) | (lift <= 1 / LIFT))
     return by.select("feature", df.alias("df"), chi.alias("chi")).where((F.col("chi") >= CHI) & (F.col("df") >= 3)).orderBy(F.desc("chi"), "feature").limit(FEATURES).toPandas()
 
 
