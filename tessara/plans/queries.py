@@ -205,7 +205,7 @@ def h1_build_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 def h2_grouped_levels(spark: SparkSession, d: str) -> DataFrame:
     a = orders_seg(spark, d)
     rows = a["facts"].join(a["bottom"], "series_id")
-    return rounded(hierarchy.aggregate_by_attributes(rows, ["ds"], [[], ["region"], ["segment"], ["region", "segment"]]), 2)
+    return rounded(hierarchy.aggregate_by_attributes(rows, ["ds"], [[], ["region"], ["segment"], ["region", "segment"]]), 2).withColumn("level_bits", F.col("level_bits").cast("long"))
 
 
 @twin(f"WITH {A_SQL} SELECT n.node_id, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS weight FROM nodes n WHERE is_bottom AND n.node_id LIKE 'ASIA-%' UNION ALL SELECT node_id, 1, 2.0 FROM nodes WHERE is_bottom AND node_id LIKE 'EUROPE-%'")
