@@ -36,7 +36,7 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
-    return tokens.with_crc(tokens.read(manifest))
+    return tokens.read(manifest, crc=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from .common import shared_dir, stored
 
 #: Pieces that a worker keeps encoded, and characters of text that it takes in one step.
 KEPT_PIECES, STEP_CHARS, JOINED_CHARS = 1_000_000, 4_000_000, 200_000
+MARKS = ".,!?;:"
 
 
 class Pieces:
@@ -47,6 +48,7 @@ class Pieces:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for t, i in vocab.items():
             self.bytes_of[i] = len(added.get(t) is not None and t.encode() or t)
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.loose: set[str] = set()
@@ -79,18 +81,27 @@ class Pieces:
         if len(self.known) > KEPT_PIECES:
             self.known, self.first, self.loose = {}, {}, set()
         cut = [t.split(" ") for t in texts]
-        fresh = set().union(*[c[1:] for c in cut]).difference(self.known)
+        fresh = set().union(*cut).difference(self.known)
         fresh -= self.loose
         self.loose |= {p for p in fresh if is_loose(p)}
         fresh -= self.loose
+        alone: list[str] = []
         late: set[str] = set()
         for k, c in enumerate(cut):
-            if is_loose(c[0]) or not self.loose.isdisjoint(c):
+            if is_loose(c[0]) or self.loose and not self.loose.isdisjoint(c):
                 cut[k] = c = joined(c)
                 late.update(c[1:])
-        late.difference_update(self.known)
-        alone = [p for p in late if is_loose(p)]
-        self.learn(list(fresh.union(p for p in late if not is_loose(p))))
+        if late:
+            late.difference_update(self.known)
+            alone = [p for p in late if is_loose(p)]
+            fresh.update(late.difference(alone))
+        # A mark after letters is always a token's start: such a piece is its word's ids and the mark's.
+        marked = [p for p in fresh if p[-1] in MARKS and p[:-1].isalpha()]
+        fresh.difference_update(marked)
+        fresh.update({p[:-1] for p in marked}.difference(self.known))
+        self.learn(list(fresh))
+        for p in marked:
+            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
         for p, ids in zip(alone, self._ids([" " + p for p in alone]), strict=True):
             self.known[p] = ids
         heads = list({c[0] for c in cut}.difference(self.first))
@@ -162,16 +173,18 @@ def write(docs: DataFrame, path: str, end: int, folder: str | None = None, parti
     return spanned.withColumn("own", own).join(spans, "span").select("part", "uri", "n_docs", "n_ids", "n_blocks", (F.col("own") + F.col("before")).alias("start"))
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary: little-endian unsigned 32-bit) of every document, from the files."""
+def read(manifest: DataFrame, crc: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary: little-endian unsigned 32-bit) of every document, from the files. crc: ids_crc32 instead of ids."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for uri, start in zip(frame["uri"], frame["start"], strict=True):
-                yield from _documents(uri, int(start))
+                for part in _documents(uri, int(start)):
+                    yield part.assign(ids_crc32=[zlib.crc32(x) for x in part["ids"]]).drop(columns="ids") if crc else part
 
     n = max(1, min(manifest.count(), 100_000))
-    return manifest.select("uri", "start").repartition(n, "uri").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    last = "ids_crc32 long" if crc else "ids binary"
+    return manifest.select("uri", "start").repartition(n, "uri").mapInPandas(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def _documents(uri: str, start: int) -> Iterator[pd.DataFrame]:
@@ -189,12 +202,3 @@ def _documents(uri: str, start: int) -> Iterator[pd.DataFrame]:
             ids = pd.Series(file.doc_ids[doc:to]).astype("Int64").where(file.valid[doc:to])
             yield pd.DataFrame({"doc_id": ids, "start": firsts[doc:to] + start, "n_tokens": file.lengths[doc:to], "ids": [held[a:b] for a, b in spans]})
             held, at, doc = held[spans[-1][1] :], int(ends[to - 1]), to
-
-
-def with_crc(rows: DataFrame) -> DataFrame:
-    """The rows of read() with ids_crc32 instead of ids."""
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
