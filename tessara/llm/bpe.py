@@ -26,8 +26,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces that a task keeps encoded from batch to batch; a batch of BATCH_CHARS characters comes on top.
-KEPT_PIECES, BATCH_CHARS = 500_000, 4_000_000
+#: Pieces that a worker keeps encoded from batch to batch; a batch of BATCH_CHARS characters comes on top.
+KEPT_PIECES, BATCH_CHARS = 250_000, 2_000_000
 
 
 def byte_chars() -> list[str]:
@@ -40,7 +40,8 @@ def byte_chars() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, texts: bool = True) -> None:
+        """texts: whether decoded texts are kept with the ids."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -63,6 +64,7 @@ class WordBpe:
         # The vocabulary's own strings are what a decoder without settings joins by spaces.
         self.text_of = {i: " " + t for t, i in vocab.items()} | {i: " " + t for t, i in self.added.items()}
         self.id_text = {i: f" {i}" for i in self.text_of}
+        self.with_texts = texts
         self.forget()
 
     def forget(self) -> None:
@@ -125,7 +127,8 @@ class WordBpe:
         for p, own in joint:
             if own != [p]:
                 ids[p] = "".join([ids[w] for w in own])
-                texts[p] = "".join([texts[w] for w in own])
+                if self.with_texts:
+                    texts[p] = "".join([texts[w] for w in own])
 
     def learn_words(self, words: list[str]) -> None:
         """Adds words (matches of the split pattern) to the tables."""
@@ -139,13 +142,15 @@ class WordBpe:
         symbols[ends] = self.last[data[ends]]
         ids, word = self.merge(symbols, np.repeat(np.arange(len(raw)), sizes))
         flat = ids.tolist()
-        said, read = [self.id_text[i] for i in flat], [self.text_of[i] for i in flat]
+        said = [self.id_text[i] for i in flat]
         at = 0
         for w, end in zip(words, np.cumsum(np.bincount(word, minlength=len(raw))).tolist(), strict=True):
             if end - at == 1:
-                self.ids[w], self.texts[w] = said[at], read[at]
+                self.ids[w] = said[at]
             else:
-                self.ids[w], self.texts[w] = "".join(said[at:end]), "".join(read[at:end])
+                self.ids[w] = "".join(said[at:end])
+            if self.with_texts:
+                self.texts[w] = "".join([self.text_of[i] for i in flat[at:end]])
             at = end
 
     def parts(self, text: str) -> list[str]:
@@ -191,9 +196,10 @@ def lowered(text: str) -> str:
     return "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
 
 
-@lru_cache(2)
-def coder(path: str) -> WordBpe:
-    return WordBpe(path)
+@lru_cache(1)
+def coder(path: str, texts: bool) -> WordBpe:
+    """One coder for all tasks of a worker."""
+    return WordBpe(path, texts)
 
 
 def _batches(frames: Iterator[pd.DataFrame], chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
@@ -210,7 +216,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # the tables hold strings only, and many; nothing here makes cycles
-        bpe = coder(path)
+        bpe = coder(path, False)
         for part in _batches(frames):
             cut = bpe.batch(part["text"].fillna("").tolist())
             yield part[list(keep)].assign(ids=[np.array("".join(map(bpe.ids.__getitem__, c)).split(), np.int32) for c in cut])
@@ -224,7 +230,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # the tables hold strings only, and many; nothing here makes cycles
-        bpe = coder(path)
+        bpe = coder(path, True)
         for part in _batches(frames):
             rows = []
             cut = bpe.batch(part["text"].fillna("").tolist())
