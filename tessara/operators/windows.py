@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hashed
 
 
 def n_steps(obs: DataFrame) -> int:
-    return (obs.agg(F.max("t")).first()[0] if obs.columns else None) + 1
+    last = obs.agg(F.max("t")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def _valid(steps: int, size: int, h: int) -> None:
@@ -20,7 +21,7 @@ def _valid(steps: int, size: int, h: int) -> None:
 def expand(obs: DataFrame, windows: DataFrame | None, size: int, h: int, steps: int | None = None) -> DataFrame:
     """group_id, t, k, series_id, y. Each row goes to the windows that hold it by an explode, without a range join;
     windows (group_id, t), if given, are joined on equal keys afterwards."""
-    steps = steps or n_steps(obs)
+    steps = n_steps(obs) if steps is None else steps
     _valid(steps, size, h)
     first = F.greatest(F.col("t") - (h - 1), F.lit(size))
     last = F.least(F.col("t") + size, F.lit(steps - h))
@@ -36,8 +37,6 @@ def rolling_windows(obs: DataFrame, size: int, h: int) -> DataFrame:
 
 def packed_windows(obs: DataFrame, size: int, h: int) -> DataFrame:
     """One row a window and series: history and target as arrays."""
-    from pyspark.sql import Window
-
     steps = n_steps(obs)
     _valid(steps, size, h)
     by = Window.partitionBy("group_id", "series_id").orderBy("t")
