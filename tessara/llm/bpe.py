@@ -14,7 +14,6 @@ rows give repeated rows; further columns are ignored unless named in ``keep``.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import unicodedata
@@ -26,6 +25,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .common import no_gc
+
 #: Pieces that a worker keeps encoded from batch to batch; a batch of BATCH_CHARS characters comes on top.
 KEPT_PIECES, BATCH_CHARS = 250_000, 2_000_000
 
@@ -215,11 +216,11 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # the tables hold strings only, and many; nothing here makes cycles
-        bpe = coder(path, False)
-        for part in _batches(frames):
-            cut = bpe.batch(part["text"].fillna("").tolist())
-            yield part[list(keep)].assign(ids=[np.array("".join(map(bpe.ids.__getitem__, c)).split(), np.int32) for c in cut])
+        with no_gc():
+            bpe = coder(path, False)
+            for part in _batches(frames):
+                cut = bpe.batch(part["text"].fillna("").tolist())
+                yield part[list(keep)].assign(ids=[np.array("".join(map(bpe.ids.__getitem__, c)).split(), np.int32) for c in cut])
 
     return docs.select(*keep, "text").mapInPandas(run, schema)
 
@@ -229,15 +230,15 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # the tables hold strings only, and many; nothing here makes cycles
-        bpe = coder(path, True)
-        for part in _batches(frames):
-            rows = []
-            cut = bpe.batch(part["text"].fillna("").tolist())
-            for doc, pieces in zip(part["doc_id"], cut, strict=True):
-                ids, text = "".join(map(bpe.ids.__getitem__, pieces)), "".join(map(bpe.texts.__getitem__, pieces))
-                rows.append((doc, ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(text[1:].encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=names)
+        with no_gc():
+            bpe = coder(path, True)
+            for part in _batches(frames):
+                rows = []
+                cut = bpe.batch(part["text"].fillna("").tolist())
+                for doc, pieces in zip(part["doc_id"], cut, strict=True):
+                    ids, text = "".join(map(bpe.ids.__getitem__, pieces)), "".join(map(bpe.texts.__getitem__, pieces))
+                    rows.append((doc, ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(text[1:].encode()).hexdigest()))
+                yield pd.DataFrame(rows, columns=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,6 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from math import comb
@@ -32,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, stored
+from .common import fits, no_gc, stored
 from .licences import words_of
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -171,14 +170,14 @@ def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, cls (digest of the n-gram set; null without words), n_grams, sig."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # the table holds bytes and numbers only, and many; nothing here makes cycles
-        grams = Grams(n)
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                own = grams.of(text)
-                rows.append((doc_id, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), signature(own).tobytes()) if len(own) else (doc_id, None, 0, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "cls", "n_grams", "sig"], dtype=object)
+        with no_gc():
+            grams = Grams(n)
+            for frame in frames:
+                rows = []
+                for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                    own = grams.of(text)
+                    rows.append((doc_id, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), signature(own).tobytes()) if len(own) else (doc_id, None, 0, None))
+                yield pd.DataFrame(rows, columns=["doc_id", "cls", "n_grams", "sig"], dtype=object)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, cls binary, n_grams long, sig binary")

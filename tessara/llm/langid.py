@@ -15,7 +15,6 @@ can be learned; null languages are not learned; repeated rows give repeated rows
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import no_gc
 from .licences import words_of
 
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, KEPT_WORDS = 4, 1000, 4_000_000, 800_000
@@ -183,14 +183,14 @@ def predict(docs: DataFrame, model: Model, step: int = 1024) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # the table holds bytes and numbers only, and many; nothing here makes cycles
-        own = Predictor(sent.value)
-        for frame in frames:
-            for at in range(0, len(frame), step):
-                part = frame.iloc[at : at + step]
-                made = pd.DataFrame(own.of(part["text"].fillna("").tolist()), columns=["lang_pred", "score", "bits"])
-                made.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield made
+        with no_gc():
+            own = Predictor(sent.value)
+            for frame in frames:
+                for at in range(0, len(frame), step):
+                    part = frame.iloc[at : at + step]
+                    made = pd.DataFrame(own.of(part["text"].fillna("").tolist()), columns=["lang_pred", "score", "bits"])
+                    made.insert(0, "doc_id", part["doc_id"].to_numpy())
+                    yield made
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, bits double")
@@ -201,12 +201,12 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, step: int = 1024) ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        own = Predictor(sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                told = own.of([t or "" for t in part.column("text").to_pylist()])
-                yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in told]))
+        with no_gc():
+            own = Predictor(sent.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    told = own.of([t or "" for t in part.column("text").to_pylist()])
+                    yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in told]))
 
     return docs.mapInArrow(run, docs.schema)
