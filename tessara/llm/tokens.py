@@ -28,7 +28,7 @@ from . import files, rans
 from .common import no_gc, shared_dir, stored
 
 #: Pieces that a worker keeps encoded, and characters of text that it takes in one step.
-KEPT_PIECES, STEP_CHARS, JOINED_CHARS = 1_000_000, 4_000_000, 200_000
+KEPT_PIECES, STEP_CHARS, JOINED_CHARS = 900_000, 4_000_000, 200_000
 MARKS = ".,!?;:"
 
 
@@ -77,8 +77,8 @@ class Pieces:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT_PIECES:
-            self.known, self.first, self.loose = {}, {}, set()
+        if len(self.loose) > KEPT_PIECES // 10:
+            self.loose = set()
         cut = [t.split(" ") for t in texts]
         fresh = set().union(*cut).difference(self.known)
         fresh -= self.loose
@@ -108,6 +108,9 @@ class Pieces:
         out = [self.first[c[0]] + b"".join(map(self.known.__getitem__, c[1:])) for c in cut]
         for p in alone:  # texts' ends and the like: not worth keeping
             del self.known[p]
+        if len(self.known) > KEPT_PIECES:  # a full table keeps what it has: the early pieces are the frequent ones
+            for p in fresh.union(marked):
+                del self.known[p]
         if len(self.first) > KEPT_PIECES // 10:
             self.first = {}
         return out

@@ -21,6 +21,15 @@ def test_pieces_equal_the_tokenizer_library():
             assert np.frombuffer(ids, np.uint32).tolist() == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_full_tables_change_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 12)
+    coder, theirs = tokens.Pieces(PATH), tokenizers.Tokenizer.from_file(PATH)
+    for batch in (HARD, HARD[::-1], HARD[:5], HARD):
+        for text, ids in zip(batch, coder.batch(batch), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    assert len(coder.known) < 40
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1025, rans.BLOCK + 7])
 def test_files_round_trip_and_damage_is_found(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50256).astype(np.uint32)
