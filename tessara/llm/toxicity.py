@@ -1,14 +1,14 @@
 """Toxicity of texts from their nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows: at most SAMPLE_ROWS of each label, by a hash of doc_id,
-which bounds everything that is broadcast. Features are words and the GRAM-letter pieces of words whose
-document frequencies differ between the labels, by a factor of LIFT or more and a chi-square of CHI or more (at most
-FEATURES of them), so that words which merely follow a text's length are none. The
-examples lie in a block-max inverted index: each block holds the postings of BLOCK examples and each
-feature's largest weight in it. A query adds up block bounds, visits blocks from the largest bound down and
-stops when no bound reaches its K-th best cosine, so its neighbours are exact. Their votes, weighted by
-the cosine and by the label's share of all labelled rows, are calibrated by a logistic curve fitted to
-leave-one-out votes of the examples.
+which bounds everything that is broadcast. Features are all words of the examples and their GRAM-letter
+pieces. A feature's weight is its IDF, raised by the square of its log lift where document frequencies differ between
+the labels (in full where the chi-square is far above CHI): none is without weight. The examples lie in an
+inverted index of two parts. Features of few examples have sparse postings, which a query adds up whole. The
+others have block postings: each block holds those of BLOCK examples and each feature's largest weight in it, and
+a query visits only blocks whose bound reaches the K-th best sum of the first part, so its neighbours are exact. Their
+votes, weighted by the cosine and by the label's share of all labelled rows, are calibrated by a logistic curve
+fitted to leave-one-out votes of the examples.
 
 Every text is scored whole. A null text counts as empty; a text without features has no neighbours and
 gets the calibrated share of label 1; without labelled rows of both kinds every score is that share
@@ -17,20 +17,26 @@ gets the calibrated share of label 1; without labelled rows of both kinds every
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import no_gc
 from .licences import words_of
 
-SAMPLE_ROWS, FEATURES, CHI, LIFT, GRAM, BLOCK, K, KEPT_WORDS = 3000, 1000, 12.0, 4.0, 5, 64, 15, 1_000_000
+SAMPLE_ROWS, CHI, GRAM, BLOCK, K, KEPT_WORDS = 3000, 12.0, 5, 64, 15, 1_000_000
+#: Share of the examples from which a feature's postings lie in blocks.
+COMMON = 0.05
 #: Bytes of a word that give pieces; longer words count as a whole only.
 LONGEST = 40
+#: Texts whose cosines are held at once.
+STEP = 256
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -40,7 +46,8 @@ def features_of(word: bytes) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Examples in blocks. postings: block x feature x slot; bounds: feature x block; calibration: slope and offset."""
+    """Examples in blocks. postings: block x feature x slot, and bounds: feature x block, of the first features; calibration: slope and offset;
+    rare: where each further feature's postings start, and their examples and weights."""
 
     features: dict[bytes, int]
     idf: np.ndarray
@@ -51,30 +58,52 @@ class Index:
     bounds: np.ndarray
     share: float
     calibration: tuple[float, float] = (1.0, 0.0)
+    rare: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Features and TF-IDF weights of a text, of length 1."""
-        f = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[f]
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"features": b" ".join(self.features)}  # no feature has a space, and one string is sent faster than many
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"features": _numbered(state["features"])}
+
+    def weigh(self, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features and weights of a text, of length 1."""
+        w = (1 + np.log(n)) * self.idf[f]
         return f, (w / np.sqrt((w * w).sum())).astype(np.float32)
 
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndarray:
+        """Query x example: the cosine, or less where it is none of the k + 1 largest."""
+        blocks, common, _ = self.postings.shape
+        near = np.zeros((len(queries), blocks * BLOCK), np.float32)
+        heads = np.zeros((len(queries), common), np.float32)
+        for i, (f, w) in enumerate(queries):
+            head = f < common
+            heads[i, f[head]] = w[head]
+            if self.rare is not None and not head.all():
+                starts, examples_of, weights = self.rare
+                at = starts[f[~head] - common]
+                n = starts[f[~head] - common + 1] - at
+                place = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+                near[i] = np.bincount(examples_of[place], weights[place] * np.repeat(w[~head], n), near.shape[1])
+        floor = np.partition(near, -k - 1, axis=1)[:, -k - 1] if near.shape[1] > k else np.zeros(len(near))
+        bound = near.reshape(-1, blocks, BLOCK).max(axis=2) + heads @ self.bounds
+        for b in range(blocks):
+            live = np.flatnonzero(bound[:, b] >= floor - 1e-6)
+            near[live, b * BLOCK : (b + 1) * BLOCK] += (heads if len(live) == len(heads) else heads[live]) @ self.postings[b]
+        return near
+
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: first), and the cosines."""
-        bound = w @ self.bounds[f]
-        best = np.zeros(0, np.int64)
-        cosine = np.zeros(0, np.float32)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < cosine[-1] - 1e-6:
-                break
-            near = w @ self.postings[b][f]
-            near[near <= 0] = 0
-            if b == skip // BLOCK and skip >= 0:
-                near[skip % BLOCK] = 0
-            own = np.flatnonzero(near)
-            best, cosine = np.r_[best, own + b * BLOCK], np.r_[cosine, near[own]]
-            order = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[order], cosine[order]
-        return best, cosine
+        return self.best(self.cosines([(f, w)], k)[0], k, skip)
+
+    def best(self, near: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The same from a row of cosines()."""
+        if skip >= 0:
+            near[skip] = 0
+        least = np.partition(near, -k)[-k] if len(near) > k else 0.0
+        own = np.flatnonzero((near > 0) & (near >= least))
+        own = own[np.lexsort((own, -near[own]))[:k]]
+        return own, near[own]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """The log odds of label 1: weighted votes with the label's share as one faint vote more."""
@@ -88,16 +117,19 @@ class Index:
         return float(1 / (1 + np.exp(-(self.calibration[0] * vote + self.calibration[1]))))
 
 
-def _counts(words: list[bytes], table: dict[bytes, list[int]], features: dict[bytes, int]) -> dict[int, int]:
-    """How often each feature occurs in words. table: features of words seen before."""
-    out: dict[int, int] = {}
+def _numbered(joined: bytes) -> dict[bytes, int]:
+    return {f: k for k, f in enumerate(joined.split())}
+
+
+def _counts(words: list[bytes], table: dict[bytes, np.ndarray], features: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur in words, and how often. table: features of words seen before."""
+    found = []
     for w in words:
         own = table.get(w)
         if own is None:
-            own = table[w] = [k for k in map(features.get, features_of(w)) if k is not None]
-        for k in own:
-            out[k] = out.get(k, 0) + 1
-    return out
+            own = table[w] = np.array([k for k in map(features.get, features_of(w)) if k is not None], np.int32)
+        found.append(own)
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
 def examples(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
@@ -111,8 +143,8 @@ def examples(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> tuple[
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id"), counts
 
 
-def _chosen_features(rows: DataFrame, n_of: dict[int, int]) -> pd.DataFrame:
-    """feature, df, chi: features whose document frequencies differ between the labels."""
+def _weighed_features(rows: DataFrame, n_of: dict[int, int]) -> pa.Table:
+    """feature, df, telling of all features: 1, and more where document frequencies differ between the labels; those of many rows first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -127,8 +159,8 @@ def _chosen_features(rows: DataFrame, n_of: dict[int, int]) -> pd.DataFrame:
     total, df = ones + zeros, F.col("a") + F.col("b")
     chi = total * F.pow(F.col("a") * zeros - F.col("b") * ones, 2.0) / (F.lit(float(ones) * zeros) * df * F.greatest(total - df, F.lit(1)))
     lift = (F.col("a") + 0.5) / (ones + 1) / ((F.col("b") + 0.5) / (zeros + 1))
-    by = by.where((lift >= LIFT) | (lift <= 1 / LIFT))
-    return by.select("feature", df.alias("df"), chi.alias("chi")).where((F.col("chi") >= CHI) & (F.col("df") >= 3)).orderBy(F.desc("chi"), "feature").limit(FEATURES).toPandas()
+    telling = 1 + F.pow(F.log(lift), 2.0) * F.col("chi") / (F.col("chi") + CHI)
+    return by.withColumn("chi", chi).select("feature", df.alias("df"), telling.alias("telling")).orderBy(F.desc("df"), "feature").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> Index:
@@ -137,31 +169,45 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> Index:
     n_of = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    chosen = _chosen_features(rows, n_of) if len(n_of) > 1 else pd.DataFrame({"feature": [], "df": [], "chi": []})
-    features = {bytes(f): k for k, f in enumerate(chosen["feature"])}
-    idf = np.log((1 + sum(n_of.values())) / (1 + chosen["df"].to_numpy(np.float64))) + 1
+    found = _weighed_features(rows, n_of) if len(n_of) > 1 else pa.table({"feature": [], "df": [], "telling": []})
+    joined = b" ".join(found["feature"].to_pylist())
+    features = _numbered(joined)
+    df = np.asarray(found["df"], np.float64)
+    idf = (np.log((1 + sum(n_of.values())) / (1 + df)) + 1) * np.asarray(found["telling"], np.float64)
+    sent = docs.sparkSession.sparkContext.broadcast(joined)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: dict[bytes, list[int]] = {}
+        table: dict[bytes, np.ndarray] = {}
+        numbers = _numbered(sent.value)
         for frame in frames:
-            own = [_counts(words_of(t), table, features) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "f": [list(x) for x in own], "n": [list(x.values()) for x in own]})
+            own = [_counts(words_of(t), table, numbers) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "f": [f.tobytes() for f, _ in own], "n": [n.astype(np.int32).tobytes() for _, n in own]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInPandas(run, f"doc_id {kind}, y int, f array<int>, n array<int>").where(F.size("f") > 0).toPandas() if features else pd.DataFrame({"doc_id": [], "y": [], "f": [], "n": []})
-    # Alike examples lie in the same blocks: in order of label, rarest feature and id.
-    made["lead"] = [min(x, default=0) for x in made["f"]]
+    made = rows.mapInPandas(run, f"doc_id {kind}, y int, f binary, n binary").where(F.length("f") > 0).toArrow().to_pandas() if features else pd.DataFrame({"doc_id": [], "y": [], "f": [], "n": []})
+    sent.unpersist()
+    made["f"], made["n"] = ([np.frombuffer(x, np.int32) for x in made[c]] for c in ("f", "n"))
+    # Alike examples lie in the same blocks: in order of label, most telling feature and id.
+    made["lead"] = [int(f[idf[f].argmax()]) for f in made["f"]]
     made = made.sort_values(["y", "lead", "doc_id"]).reset_index(drop=True)
-    blocks = max(1, -(-len(made) // BLOCK))
-    index = Index(features, idf, made["doc_id"].to_numpy(), (made["y"].to_numpy() == 1).astype(np.int8), np.ones(len(made)), np.zeros((blocks, len(features), BLOCK), np.float32), np.zeros((len(features), blocks), np.float32), share)
-    weighed = [index.weigh(dict(zip(map(int, f), map(int, c), strict=True))) for f, c in zip(made["f"], made["n"], strict=True)]
+    blocks, common = max(1, -(-len(made) // BLOCK)), int((df >= COMMON * sum(n_of.values())).sum())
+    index = Index(features, idf, made["doc_id"].to_numpy(), (made["y"].to_numpy() == 1).astype(np.int8), np.ones(len(made)), np.zeros((blocks, common, BLOCK), np.float32), np.zeros((common, blocks), np.float32), share)
+    weighed = [index.weigh(f, n) for f, n in zip(made["f"], made["n"], strict=True)]
     for i, (f, w) in enumerate(weighed):
-        index.postings[i // BLOCK][f, i % BLOCK] = w
-    index.bounds = index.postings.max(axis=2).T.copy() if features else index.bounds
+        index.postings[i // BLOCK][f[f < common], i % BLOCK] = w[f < common]
+    index.bounds = index.postings.max(axis=2).T.copy()
+    if weighed:
+        of, weight = (np.concatenate(x) for x in zip(*weighed, strict=True))
+        example = np.repeat(np.arange(len(weighed), dtype=np.int32), [len(f) for f, _ in weighed])
+        order = np.argsort(of, kind="stable")
+        order = order[np.searchsorted(of[order], common) :]
+        index.rare = np.searchsorted(of[order], np.arange(common, len(features) + 1)), example[order], weight[order]
+    del made, found
     ones, zeros = n_of.get(1, 0), sum(v for k, v in n_of.items() if k != 1)
     if ones and zeros:  # a sample's votes count as all labelled rows would
         index.votes = np.where(index.labels == 1, share / ones, (1 - share) / zeros) * (ones + zeros)
-        votes = np.array([index.vote(*index.nearest(f, w, skip=i)) for i, (f, w) in enumerate(weighed)])
+        near = (row for at in range(0, len(weighed), STEP) for row in index.cosines(weighed[at : at + STEP]))
+        votes = np.array([index.vote(*index.best(row, skip=i)) for i, row in enumerate(near)])
         silent = index.vote(np.zeros(0, np.int64), np.zeros(0, np.float32))
         rest = [ones - int(index.labels.sum()), zeros - int((1 - index.labels).sum())]
         index.calibration = _calibrated(np.r_[votes, silent, silent], np.r_[index.labels, 1, 0], np.r_[index.votes, rest[0] * share / ones * (ones + zeros), rest[1] * (1 - share) / zeros * (ones + zeros)])
@@ -182,31 +228,36 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def score(docs: DataFrame, index: Index, step: int = 1024) -> DataFrame:
+def score(docs: DataFrame, index: Index, step: int = STEP) -> DataFrame:
     """doc_id, score, evidence (the three nearest examples: doc_id, toxic, cosine) of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with no_gc():
             own = sent.value
-            table: dict[bytes, list[int]] = {}
-            known: dict[tuple, tuple[float, list[dict]]] = {}
+            silent = own.score(own.vote(np.zeros(0, np.int64), np.zeros(0, np.float32))), []
+            table: dict[bytes, np.ndarray] = {}
+            known: dict[bytes, tuple[float, list[dict]]] = {}
             for frame in frames:
                 for at in range(0, len(frame), step):
                     part = frame.iloc[at : at + step]
-                    scores, evidence = [], []
-                    for text in part["text"].fillna(""):
+                    texts = [words_of(t) for t in part["text"].fillna("")]
+                    keys = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() for t in texts]
+                    known = known if len(known) < 20_000 else {k: known[k] for k in set(keys) & known.keys()}
+                    new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+                    queries = {}
+                    for k, words in new.items():
                         if len(table) > KEPT_WORDS:
                             table = {}
-                        counts = _counts(words_of(text), table, own.features)
-                        key = tuple(sorted(counts.items()))
-                        if key not in known:
-                            best, cosine = own.nearest(*own.weigh(counts)) if counts else (np.zeros(0, np.int64), np.zeros(0, np.float32))
-                            known = known if len(known) < 20_000 else {}
-                            known[key] = own.score(own.vote(best, cosine)), [{"doc_id": own.ids[i], "toxic": int(own.labels[i]), "cosine": float(c)} for i, c in zip(best[:3], cosine[:3], strict=True)]
-                        scores.append(known[key][0])
-                        evidence.append(known[key][1])
-                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": scores, "evidence": evidence})
+                        f, n = _counts(words, table, own.features)
+                        if len(f):
+                            queries[k] = own.weigh(f, n)
+                        else:
+                            known[k] = silent
+                    for k, row in zip(queries, own.cosines(list(queries.values())) if queries else [], strict=True):
+                        best, cosine = own.best(row)
+                        known[k] = own.score(own.vote(best, cosine)), [{"doc_id": own.ids[i], "toxic": int(own.labels[i]), "cosine": float(c)} for i, c in zip(best[:3], cosine[:3], strict=True)]
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": [known[k][0] for k in keys], "evidence": [known[k][1] for k in keys]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, toxic: int, cosine: double>>")

@@ -63,3 +63,34 @@ def test_odd_rows_and_labels(spark):
     assert toxicity.score(odd.limit(0), index).collect() == []
     one_kind = toxicity.fit(docs, labels.where("toxic = 0"))
     assert all(r.score < 0.5 for r in toxicity.score(odd, one_kind).collect())
+
+
+def test_a_near_copy_finds_its_example_by_words_of_any_frequency(spark):
+    docs, labels, _ = corpus(spark)
+    rare = " ".join(f"once{chr(97 + k)}{chr(122 - k)}" for k in range(20))
+    more = spark.createDataFrame([(1000, rare, 0.5), (1001, rare + " word7", 0.5)], docs.schema)
+    index = toxicity.fit(docs.unionByName(more), labels.unionByName(spark.createDataFrame([(1000, 1, 1)], labels.schema)))
+    words = {w for r in docs.collect() for w in r.text.split()} | set(rare.split())
+    assert all(b"=" + w.encode() in index.features for w in words) and (index.idf > 0).all()
+    (got,) = toxicity.score(more.where("doc_id = 1001"), index).collect()
+    assert (got.evidence[0].doc_id, got.evidence[0].toxic) == (1000, 1) and got.evidence[0].cosine > 0.8
+    assert got.score > index.score(index.vote(np.zeros(0, np.int64), np.zeros(0, np.float32)))
+
+
+def test_both_parts_of_the_index_give_all_cosines(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", 0.1)
+    docs, labels, _ = corpus(spark)
+    index = toxicity.fit(docs, labels)
+    blocks, common, _ = index.postings.shape
+    assert 0 < common < len(index.features)
+    every = np.zeros((len(index.features), blocks * toxicity.BLOCK), np.float32)
+    every[:common] = index.postings.transpose(1, 0, 2).reshape(common, -1)
+    starts, examples, weights = index.rare
+    for f in range(common, len(index.features)):
+        own = slice(starts[f - common], starts[f - common + 1])
+        every[f, examples[own]] = weights[own]
+    assert np.allclose((every**2).sum(0)[: len(index.ids)], 1, atol=1e-4)
+    for i in range(0, 400, 13):
+        f = np.flatnonzero(every[:, i])
+        cosine = index.nearest(f, every[f, i], k=9)[1]
+        assert np.allclose(cosine, np.sort(every[f, i] @ every[f])[::-1][:9], atol=1e-5)
