@@ -33,7 +33,7 @@ from .licences import words_of
 SAMPLE_ROWS, CHI, GRAM, BLOCK, K, KEPT_WORDS = 3000, 12.0, 5, 64, 15, 1_000_000
 #: Share of the examples from which a feature's postings lie in blocks.
 COMMON = 0.05
-#: Bytes of a word that give pieces; longer words count as a whole only.
+#: Bytes of a word whose features are kept for its next occurrence.
 LONGEST = 40
 #: Texts whose cosines are held at once.
 STEP = 256
@@ -41,7 +41,7 @@ STEP = 256
 
 def features_of(word: bytes) -> list[bytes]:
     """The word, marked, and its pieces of GRAM bytes."""
-    return [b"=" + word] + [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)] * (len(word) <= LONGEST)
+    return [b"=" + word] + [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
 
 
 @dataclass
@@ -127,7 +127,9 @@ def _counts(words: list[bytes], table: dict[bytes, np.ndarray], features: dict[b
     for w in words:
         own = table.get(w)
         if own is None:
-            own = table[w] = np.array([k for k in map(features.get, features_of(w)) if k is not None], np.int32)
+            own = np.array([k for k in map(features.get, features_of(w)) if k is not None], np.int32)
+            if len(w) <= LONGEST:
+                table[w] = own
         found.append(own)
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 

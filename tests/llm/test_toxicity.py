@@ -94,3 +94,11 @@ def test_both_parts_of_the_index_give_all_cosines(spark, monkeypatch):
         f = np.flatnonzero(every[:, i])
         cosine = index.nearest(f, every[f, i], k=9)[1]
         assert np.allclose(cosine, np.sort(every[f, i] @ every[f])[::-1][:9], atol=1e-5)
+
+
+def test_long_words_give_pieces(spark):
+    assert b"b" * 5 in toxicity.features_of(b"a" * 100 + b"b" * 5)
+    docs, labels, _ = corpus(spark)
+    joined = spark.createDataFrame([(1, "x".join(["zorgly", "blarghs", "grumpfel", "snotrag"] * 3), 0.5)], docs.schema)
+    (got,) = toxicity.score(joined, toxicity.fit(docs, labels)).collect()
+    assert got.score >= 0.5 and got.evidence[0].toxic == 1
