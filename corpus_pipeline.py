@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessara.llm import bpe, decontaminate, jaccard, langid, quality
-from tessara.llm.common import remainder, stored, table, tokenizer_path
+from tessara.llm.common import remainder, stored, table, text_key, tokenizer_path, without
 
 #: Share of the code lengths' evidence that a language needs, and share of a document's words in benchmark passages from which it goes.
 LEAST_SCORE, MOST_HIT = 0.5, 0.0
@@ -29,15 +29,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that links of similarity 0.8 or more over five words join."""
+    """One row of each group of texts that links of similarity 0.8 or more over five words join."""
     return jaccard.keep_one(docs, jaccard.join(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten words in a row of a benchmark item."""
-    rows = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"))
-    gone = stored(rows.where(F.col("n_hit") > MOST_HIT * F.col("n_words")).select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    rows = decontaminate.phrase_matches(docs.select("doc_id", "text", text_key()), table(spark, sf_dir, "benchmark"), keep=("text_key",))
+    return without(docs, stored(rows.where(F.col("n_hit") > MOST_HIT * F.col("n_words")).select("doc_id", "text_key"), "contaminated"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

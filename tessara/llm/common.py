@@ -72,6 +72,18 @@ def text_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+def text_key() -> Column:
+    """A digest of the whole text, null for a null one: with doc_id it tells rows apart that share an id or have none."""
+    return F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text_key are not in keys."""
+    gone = keys.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    at = F.col("doc_id").eqNullSafe(F.col("gone_id")) & text_key().eqNullSafe(F.col("gone_key"))
+    return docs.join(gone, at, "left_anti")
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; operators take the path as a parameter."""
     import public_tokenizers

@@ -84,19 +84,19 @@ def _covered(matches: Column) -> Column:
     return F.aggregate(matches, start, add, lambda a: a["n"])
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """For every document: doc_id, n_words, matches (array of start, length, phrase, items), n_hit and item_ids (sorted strings)."""
+def phrase_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For every document: doc_id, the columns of keep, n_words, matches (array of start, length, phrase, items), n_hit and item_ids (sorted strings)."""
     windows = stored(item_windows(items, size), "windows")
     rare = stored(anchors(docs, windows), "anchors")
     postings = stored(occurrences(docs, rare), "postings")
     found = stored(candidates(postings, rare), "candidates")
-    own = docs.select("doc_id", plain_words(F.col("text")).alias("words"))
+    own = docs.select("doc_id", *keep, plain_words(F.col("text")).alias("words"))
     none = F.array().cast(found.schema["found"].dataType)
     joined = own.join(fits(found.withColumnRenamed("doc_id", "found_id"), 50_000), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     checked = let(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _verified(w, F.coalesce("found", none)).alias("matches")))
-    rows = joined.select("doc_id", checked.alias("c")).select("doc_id", "c.*")
+    rows = joined.select("doc_id", *keep, checked.alias("c")).select("doc_id", *keep, "c.*")
     items_of = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"]))))
-    return rows.select("doc_id", "n_words", "matches", _covered(F.col("matches")).alias("n_hit"), items_of.alias("item_ids"))
+    return rows.select("doc_id", *keep, "n_words", "matches", _covered(F.col("matches")).alias("n_hit"), items_of.alias("item_ids"))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 3, size: int = SIZE) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, no_gc, stored
+from .common import fits, no_gc, stored, text_key, without
 from .licences import words_of
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -167,20 +167,20 @@ def _dealt(df: DataFrame, group: str, blocks: str, spread: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, cls (digest of the n-gram set; null without words), n_grams, sig."""
+    """doc_id, text_key, cls (digest of the n-gram set; null without words), n_grams, sig."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with no_gc():
             grams = Grams(n)
             for frame in frames:
                 rows = []
-                for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                for doc_id, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"], strict=True):
                     own = grams.of(text)
-                    rows.append((doc_id, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), signature(own).tobytes()) if len(own) else (doc_id, None, 0, None))
-                yield pd.DataFrame(rows, columns=["doc_id", "cls", "n_grams", "sig"], dtype=object)
+                    rows.append((doc_id, key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), signature(own).tobytes()) if len(own) else (doc_id, key, None, 0, None))
+                yield pd.DataFrame(rows, columns=["doc_id", "text_key", "cls", "n_grams", "sig"], dtype=object)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, cls binary, n_grams long, sig binary")
+    return docs.select("doc_id", text_key(), "text").mapInPandas(run, f"doc_id {kind}, text_key binary, cls binary, n_grams long, sig binary")
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -316,10 +316,10 @@ def verified(docs: DataFrame, members: DataFrame, n: int = N, threshold: float =
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """For each document: doc_id, class_id (smallest doc_id of its group of linked texts), copy_id (smallest
     doc_id of equal n-gram sets), n_links (other documents at threshold or more), n_classes (of how many
-    different n-gram sets, its own left out), n_grams.
+    different n-gram sets, its own left out), n_grams, text_key, and group (null: no other row is linked).
     """
     sets = stored(sets_of(docs, n), "sets")
-    alone = sets.where(F.col("cls").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_classes"), "n_grams")
+    alone = sets.where(F.col("cls").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_classes"), "n_grams", "text_key", F.lit(None).cast("binary").alias("group"))
     known = sets.where(F.col("cls").isNotNull())
     classes = stored(known.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_grams").alias("n_grams"), F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
     groups = components(candidates(classes, threshold, tolerance))
@@ -329,15 +329,27 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: f
     roots = components(links.where(F.col("b").isNotNull()).select("a", "b")).select(F.col("node").alias("cls"), "root")
     linked = classes.select("cls", "rep", "copies").join(roots, "cls").join(counted, "cls")
     named = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    found = linked.join(named, "root").select("cls", "class_id", F.col("rep").alias("copy_id"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_classes")
-    copied = classes.where("copies > 1").join(found.select("cls"), "cls", "left_anti").select("cls", F.col("rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.col("copies") - 1).alias("n_links"), F.lit(0).cast("long").alias("n_classes"))
-    known_rows = known.select("doc_id", "cls", "n_grams").join(fits(stored(found.unionByName(copied), "found"), 100_000), "cls", "left")
+    found = linked.join(named, "root").select("cls", F.col("root").alias("group"), "class_id", F.col("rep").alias("copy_id"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_classes")
+    copied = classes.where("copies > 1").join(found.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("group"), F.col("rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.col("copies") - 1).alias("n_links"), F.lit(0).cast("long").alias("n_classes"))
+    known_rows = known.select("doc_id", "text_key", "cls", "n_grams").join(fits(stored(found.unionByName(copied), "found"), 100_000), "cls", "left")
     own = lambda c: F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    rows = known_rows.select("doc_id", own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "n_grams")
+    rows = known_rows.select("doc_id", own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "n_grams", "text_key", "group")
     return rows.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents of docs that are the first of their group in rows (of join())."""
-    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """One row of docs of each group in rows (of join()): the first by doc_id, null last, and text_key; rows without a group stay.
+
+    Rows of one id and one text are aggregated in the tasks before they meet.
+    """
+    keys = rows.where(F.col("group").isNotNull()).groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    keys = stored(keys.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")), "keys")
+    first = keys.groupBy("group").agg(F.min("order").alias("first"))
+    judged = keys.join(first, "group").select("doc_id", "text_key", "n", (F.col("order") == F.col("first")).alias("stays"))
+    gone = stored(judged.where("NOT stays OR n > 1").select("doc_id", "text_key", "stays"), "gone")
+    kept, repeated = without(docs, gone), gone.where("stays")
+    if not repeated.limit(1).count():
+        return kept
+    known = repeated.select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"))
+    equal = docs.select(text_key(), F.struct(*docs.columns).alias("row")).join(known, F.col("row.doc_id").eqNullSafe(F.col("its_id")) & F.col("text_key").eqNullSafe(F.col("its_key")), "left_semi")
+    return kept.unionByName(equal.groupBy("row.doc_id", "text_key").agg(F.min("row").alias("row")).select("row.*"))

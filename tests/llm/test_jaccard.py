@@ -86,3 +86,15 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_an_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    draw = random.Random(4)
+    a, b, c, d, e = (" ".join(draw.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, b + " more"), (2, c), (None, c + " more"), (None, d), (3, c + " less"), (3, e), (None, None), (4, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source long").repartition(3)
+    kept = jaccard.keep_one(docs, jaccard.join(docs))
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    one = got.pop((None, b), 0) + got.pop((None, b + " more"), 0)
+    assert one == 1 and got == Counter([(1, a), (2, c), (None, d), (3, e), (None, None), (4, "")])

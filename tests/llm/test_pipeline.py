@@ -35,3 +35,12 @@ def test_stages_in_turn(spark, tmp_path):
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) == clean
     assert all(list(final[i].ids) == theirs.encode(t, add_special_tokens=False).ids for i, t, *_ in rows if i in clean)
+
+
+def test_contaminated_rows_go_by_id_and_text(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "so says " + item), (None, "a clean text"), (None, None), (1, item), (1, "another clean text"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path)).collect()}
+    assert left == {(None, "a clean text"), (None, None), (1, "another clean text"), (2, "clean")}
