@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,20 +53,9 @@ def _slices(frames: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.Seri
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
-    """The most frequent words of docs. A word counts where it makes up 1 / (8 most) of a batch, so each batch gives at most 8 most rows."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with no_gc():
-            for texts in _slices(frames):
-                seen: Counter[bytes] = Counter()
-                for text in texts:
-                    seen.update(tokens_of(text))
-                least = seen.total() / (8 * most)
-                rows = [(w, n) for w, n in seen.items() if n >= least and w]
-                yield pd.DataFrame({"word": [w for w, _ in rows], "n": [n for _, n in rows]})
-
-    rows = docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in rows.orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The most frequent words of docs, by the exact counts of all words: they don't depend on the order of rows."""
+    counts = word_counts(docs, States({}, np.full((1, 1), -1), []))
+    return [bytes(r["word"]) for r in counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
 def context_counts(words: DataFrame, depth: int = DEPTH) -> DataFrame:

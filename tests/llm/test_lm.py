@@ -63,3 +63,13 @@ def test_empty_tables(spark):
     empty = rows(spark).limit(0)
     assert lm.scored(empty, F.lit(True)).collect() == []
     assert {r.n_known for r in lm.scored(rows(spark).limit(5), F.lit(False)).collect()} == {0}
+
+
+def test_frequent_words_follow_the_corpus_and_not_its_slices(spark):
+    texts = [" ".join(f"w{(i + k) % 60}" for k in range(60)) + (" minor" if i % 10 == 0 else "") for i in range(600)] + ["major " * 1000, "huge" + " filler" * 200 + " w7"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = Counter(w for t in texts for w in lm.tokens_of(t) if w)
+    want = sorted(counts, key=lambda w: (-counts[w], w))[:63]
+    assert b"minor" in want
+    for parts in (1, 7):
+        assert lm.frequent_words(docs.repartition(parts), 63) == want
