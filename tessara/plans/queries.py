@@ -282,6 +282,14 @@ def h12_lift_historical(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.lift_historical(b["facts"].join(b["calendar"], "ds").select("group_id", "t", "series_id", "promo"), b["nodes"], "promo")
 
 
+@twin()
+def h11_lift_history_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the windows of all steps."""
+    b = parts_panel(spark, d)
+    rows = windows.rolling_windows(b["obs"], 12, 3).where("k < 0")
+    return rounded(hierarchy.lift_history(scaling.normalize(rows, scaling.scale_stats(rows, "mean_floor")), b["edges"]))
+
+
 # Windows and splits
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessara.functions import draws, links
 from tessara.operators import features, forecast, hierarchy, panel, sampling, scaling, scoring, windows
 from tessara.operators.checks import require_empty
+from tessara.plans.domains import parts_panel
+from tessara.plans.queries import QUERIES
 
 SERIES = ["a-x", "a-y", "b-x", "b-y"]
 
@@ -240,3 +242,26 @@ def test_a_run_from_load_to_scores(spark, small):
     panel_run = forecast.run_panel({**tables, "obs": groups}, 12, 4, 12, [0], n=20, candidates=("naive",)).collect()
     assert {r.level for r in panel_run} == {"Total", "Group", "Bottom", "Overall"}
     assert forecast.best_candidate(spark.createDataFrame([("b", 0.5), ("a", 0.5 + 1e-9), ("c", 0.4999)], "candidate string, scrps double"), 1e-3).first().candidate == "a"
+
+
+def test_history_is_lifted_in_all_windows(spark):
+    d = "/root/testdata/sf0.001"
+    b = parts_panel(spark, d)
+    y, steps, edges = {}, 0, b["edges"].collect()
+    for r in b["obs"].collect():
+        y[r.group_id, r.series_id, r.t] = r.y
+        steps = max(steps, r.t + 1)
+    one = min(g for g, _, _ in y)
+    want = {}
+    for t in range(12, steps - 3 + 1):
+        for e in edges:
+            past = [y[one, e.series_id, i] for i in range(t - 12, t)]
+            scale = max(sum(map(abs, past)) / 12, 1)
+            for k, v in zip(range(-12, 0), past, strict=True):
+                want[t, k, e.node_id] = want.get((t, k, e.node_id), 0.0) + v / scale * e.weight
+    rows = QUERIES["h11_lift_history_all"](spark, d)
+    assert rows.select("group_id").distinct().count() == b["obs"].select("group_id").distinct().count()
+    got = {(r.t, r.k, r.node_id): r.z for r in rows.where(F.col("group_id") == one).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-3) for x in want)
+    few = {(r.k, r.node_id): r.z for r in QUERIES["h11_lift_history"](spark, d).where(F.col("group_id") == one).collect()}
+    assert all(math.isclose(z, got[60, k, n], abs_tol=1e-3) for (k, n), z in few.items())
