@@ -714,7 +714,7 @@ def r8_r10_run_with_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @twin()
 def r9_m11_run_panel(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0], n=30, candidates=("naive",))
+    return forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30)
 
 
 _BY_NATION = "SELECT r_name AS level, o_orderkey % 5 AS seed, avg(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE / 1e6 AS scrps FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"

@@ -265,3 +265,22 @@ def test_history_is_lifted_in_all_windows(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-3) for x in want)
     few = {(r.k, r.node_id): r.z for r in QUERIES["h11_lift_history"](spark, d).where(F.col("group_id") == one).collect()}
     assert all(math.isclose(z, got[60, k, n], abs_tol=1e-3) for (k, n), z in few.items())
+
+
+def test_a_panel_run_chooses_between_its_candidates(spark, small):
+    tables = {k: v for k, v in small.items() if k != "bottom"}
+    season, trend = 50 * F.sin(F.col("t") * math.pi / 6) + 100, F.col("t") * 4.0 + 10
+    for y, best in ((season, "naive"), (trend, "pooled")):
+        obs = small["obs"].withColumn("y", y + F.ascii(F.substring("series_id", 3, 1)) - 120 + F.col("t") * F.col("t") % 3 * 0.1)
+        groups = obs.withColumn("group_id", F.lit("g1")).unionByName(obs.withColumn("group_id", F.lit("g2")).withColumn("y", F.col("y") * 2))
+        got = forecast.run_panel({**tables, "obs": groups}, 12, 4, 12, [0, 1], n=20, k=1).collect()
+        assert {(r.seed, r.level) for r in got} == {(s, x) for s in (0, 1) for x in ("Total", "Group", "Bottom", "Overall")}
+        assert {r.candidate for r in got} == {best}
+
+
+def test_the_registered_panel_run_tries_all_candidates(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(forecast, "best_candidate", lambda scores, best=forecast.best_candidate: seen.extend(scores.collect()) or best(scores))
+    rows = QUERIES["r9_m11_run_panel"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.candidate for r in seen} == {"naive", "pooled"} and {r.seed for r in rows} == {0, 1, 2}
+    assert {r.candidate for r in rows} == {min(seen, key=lambda r: r.scrps).candidate}
