@@ -600,6 +600,13 @@ def m7_energy_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.energy_score(drawn.where("i < 20"), truth), 1)
 
 
+@twin()
+def m7_energy_score_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from all samples that the other scores take."""
+    _, drawn, truth = _node_samples(spark, d)
+    return rounded(scoring.energy_score(drawn, truth), 1)
+
+
 @twin("WITH x AS (SELECT o_orderkey, o_totalprice / 1e4 AS y, (o_custkey % 30) + 1.0 AS mu, (o_custkey % 7) + 0.5 AS sigma FROM orders), z AS (SELECT *, (y - mu) / sigma AS z, 1 / (1 + 0.3275911 * (abs((y - mu) / sigma) / 1.4142135623730951)) AS k FROM x), c AS (SELECT *, k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-z * z / 2) / 2 AS tail FROM z) SELECT o_orderkey, round(sigma * (z * (2 * (CASE WHEN z >= 0 THEN 1 - tail ELSE tail END) - 1) + 2 * exp(-z * z / 2) / 2.5066282746310002 - 0.5641895835477563), 6) AS crps FROM c")
 def m8_gaussian_crps(spark: SparkSession, d: str) -> DataFrame:
     mu, sigma = (F.col("o_custkey") % 30) + 1.0, (F.col("o_custkey") % 7) + 0.5

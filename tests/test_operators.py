@@ -9,7 +9,7 @@ from tessara.functions import draws, links
 from tessara.operators import features, forecast, hierarchy, panel, sampling, scaling, scoring, windows
 from tessara.operators.checks import require_empty
 from tessara.plans.domains import parts_panel
-from tessara.plans.queries import QUERIES
+from tessara.plans.queries import N_DRAWS, QUERIES, _node_samples
 
 SERIES = ["a-x", "a-y", "b-x", "b-y"]
 
@@ -284,3 +284,18 @@ def test_the_registered_panel_run_tries_all_candidates(spark, monkeypatch):
     rows = QUERIES["r9_m11_run_panel"](spark, "/root/testdata/sf0.001").collect()
     assert {r.candidate for r in seen} == {"naive", "pooled"} and {r.seed for r in rows} == {0, 1, 2}
     assert {r.candidate for r in rows} == {min(seen, key=lambda r: r.scrps).candidate}
+
+
+def test_the_energy_score_takes_all_samples(spark):
+    _, drawn, truth = _node_samples(spark, "/root/testdata/sf0.001")
+    true = {(r.group_id, r.t, r.h, r.node_id): r.truth for r in truth.collect()}
+    ys = {}
+    for r in drawn.collect():
+        ys.setdefault((r.group_id, r.t), {}).setdefault(r.i, {})[r.h, r.node_id] = r.y
+    for r in QUERIES["m7_energy_score_all"](spark, "/root/testdata/sf0.001").collect():
+        own = ys[r.group_id, r.t]
+        assert len(own) == N_DRAWS
+        near = [math.dist(list(s.values()), [true[r.group_id, r.t, *c] for c in s]) for s in own.values()]
+        apart = [math.dist([own[i][c] for c in own[j]], list(own[j].values())) for i in own for j in own if i < j]
+        want = sum(near) / len(own) - sum(apart) / (len(own) * (len(own) - 1))
+        assert math.isclose(r.score, want, rel_tol=1e-6, abs_tol=0.1)
