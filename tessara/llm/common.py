@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
+#: Spark's setting by which a finished query's shuffle files are removed at once and not with the driver's next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +40,13 @@ def no_gc() -> Iterator[None]:
         gc.collect()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows some at a time, so that a task turns only these into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]
@@ -55,10 +67,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back: its lineage ends there, and so do the shuffle files that it took."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remainder(n: int) -> Column:
@@ -84,6 +101,16 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(gone, at, "left_anti")
 
 
+def by_text(docs: DataFrame, *columns: str | Column, key: str = "doc_id") -> DataFrame:
+    """The key as text and the columns: whole numbers beside nulls would go through Python as floats and lose digits. typed() turns the key back."""
+    return docs.select(F.col(key).cast("string").alias(key), *columns)
+
+
+def typed(rows: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows with the key in the type that it has in docs."""
+    return rows.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; operators take the path as a parameter."""
     import public_tokenizers

@@ -1,382 +1,341 @@
-"""Language-model scores of texts by a probabilistic suffix tree (PST).
-
-Symbols are words. The context of a word is the sequence of the frequent words before it; frequent words
-are the FREQUENT most frequent ones, and those whose next frequent words do not diverge (a likelihood-ratio
-test) are one context symbol. Contexts of up to two such symbols are candidates; a divergence test against
-the longest kept suffix retains them as states: the divergence must be LEAST_KL nats a word, and pay for its parameters. A state's next-word distribution, counted over every
-training text, is smoothed with its parent's by the share distinct / (count + distinct); every word is scored by
-its longest suffix state. The root's distribution is smoothed in the same way by a suffix tree over the bytes
-of words (contexts of up to DEPTH bytes, retained by a divergence test), so that unseen words have a probability.
-
-What is gathered follows the corpus: the counts of all words, alone and by state, aggregated before they
-are shuffled. Broadcast are only the states (at most SYMBOLS + SYMBOLS ** 2) and the byte tree, which has at most
-DEPTH / LEAST contexts, for a context takes part only if it makes up LEAST of all counted bytes. For
-scoring, texts are dealt into chunks of about CHUNK_BYTES by a hash. Word counts meet a chunk's distinct
-words, not its tokens, and a chunk is scored in one task with its own words' counts alone. The base is
-the add-one score of single words.
+"""Language-model scores of texts by a probabilistic suffix tree (PST) over words.
+
+Contexts are sequences of up to DEPTH words. Level by level Spark counts the n-grams of all training texts; one
+that occurs LEAST times or more is a candidate, as a context and as a context's next word, and a level's
+candidates grow from the last one's. A divergence test retains a context as a state: the log likelihood that its
+own next-word distribution gains over that of its longest retained suffix must pay for its parameters
+(KEEP * words * ln(count) / 2). A state's distribution is smoothed with its suffix's by absolute discounting:
+each listed next word gives DISCOUNT away, and this share and that of unlisted words go to the suffix. The root's words
+have their frequencies, and one symbol stands for all words that were never seen; its share is that of
+words seen once (Good-Turing). Every word is scored by its longest suffix state, and all
+distributions sum to 1. The base is the add-one score of single words, over the same symbols.
+
+The number of states is bounded by LEAST alone, so the tree grows with the corpus; it is a table and never meets in one
+place. Texts are read once and become chunks of word numbers with their words' 64-bit hashes (n-grams are
+known by hashes of hashes; a collision among 2 ** 32 of them is expected once). Broadcast are only bit tables of 2 ** BITS
+bits, which tell keys that cannot be in the tree and spare their shuffle; results don't depend on them. For scoring, the tree lies
+in buckets of about BUCKET rows by key range; the distinct keys of a chunk of about CHUNK_BYTES are sent to their buckets as
+arrays, come back as values in the same order, and each chunk is scored by itself.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one end for each text. Null texts count as
 empty, repeated rows give repeated rows, an empty table gives an empty result, without training texts
-all counts are 0, and further columns are ignored.
+all counts are 0 and each word is the unseen symbol, whose probability is 1; a text longer than a chunk is a chunk of its
+own; no order of rows, ties or partitions changes counts or states, and further columns are ignored. doc_id may be any type that
+Spark casts to text and back.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_gc, stored
-from .langid import Model, _find, _keys, _symbols
+from .common import by_text, no_gc, sliced, stored, typed
 
-DEPTH, LEAST, KEEP, CHUNK_BYTES = 5, 2e-6, 1.0, 12_000_000
-FREQUENT, SYMBOLS, LEAST_KL = 256, 6, 0.1
+DEPTH, LEAST, KEEP, DISCOUNT, CHUNK_BYTES, BITS, BUCKET = 3, 16, 1.0, 0.75, 6_000_000, 26, 100_000
+#: Kinds of the tree's rows: a word's count, a state's log of the share that goes to its suffix, the log probability of a state's next word.
+WORD, STATE, NEXT = 0, 1, 2
 
+_GOLD, _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """The words of a text, then its end, the empty word."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
+def tokens_of(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, then its end, the empty word."""
+    return [*(text or b"").lower().split(), b""]
 
-def _slices(frames: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.Series]:
-    """The texts, some at a time: a task holds the words of these only."""
-    for frame in frames:
-        for at in range(0, len(frame), size):
-            yield frame["text"].iloc[at : at + size]
 
+def key_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
-def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
-    """The most frequent words of docs, by the exact counts of all words: they don't depend on the order of rows."""
-    counts = word_counts(docs, States({}, np.full((1, 1), -1), []))
-    return [bytes(r["word"]) for r in counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
+def longer(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their first and last n - 1 words (as signed numbers)."""
+    with np.errstate(over="ignore"):
+        x = ctx.view(np.uint64) * _GOLD + suf.view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * _ONE + ctx.view(np.uint64)
+        x = (x ^ (x >> np.uint64(27))) * _TWO
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
-def context_counts(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """depth, key (context and next byte), n over words (word, n), with total: the context's count."""
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Word numbers, compressed with their first bytes side by side, then their second ones, and so on."""
+    return zstandard.compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+class Chunk:
+    """Texts as word numbers. keys: of the chunk's distinct words; ids: of all words, one text after another; room: words of the text up to each one."""
+
+    def __init__(self, sizes: bytes, ids: bytes, keys: bytes) -> None:
+        self.sizes, self.ids, self.keys = np.frombuffer(sizes, np.int32).astype(np.int64), _unpacked(ids), np.frombuffer(keys, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.room = np.arange(1, len(self.ids) + 1, dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
+
+    def levels(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """n, places, ctx, suf for n = 2 .. most: where n-grams end, and the keys of their first and last n - 1 words."""
+        at, key = np.arange(len(self.ids)), self.keys[self.ids]
+        for n in range(2, most + 1):
+            stays = self.room[at] >= n  # the word before is in the text too, and so at[k - 1] is its place
+            own = np.flatnonzero(stays)
+            ctx, suf, at = key[own - 1], key[own], at[own]
+            yield n, at, ctx, suf
+            key = longer(ctx, suf)
+
+
+_CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.string())), ("train", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())])
+
+
+def encoded(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """chunk, docs, train, sizes, ids, keys: the texts of docs, read once. train: whether a row's text is learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with no_gc():
+            made = itertools.count(TaskContext.get().partitionId() << 32)
+            doc_ids, learned, ids, size = [], [], [], 0
+            number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+
+            def row() -> pa.RecordBatch:
+                keys = np.fromiter(map(key_of, number), np.uint64, len(number))
+                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+                parts = [next(made)], [doc_ids], [bytes(learned)], [sizes.tobytes()], [_packed(np.concatenate(ids))], [keys.tobytes()]
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, _CHUNK.types, strict=True)], schema=_CHUNK)
+
+            for part in sliced(batches):
+                for doc, own, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = tokens_of(text)
+                    doc_ids.append(doc)
+                    learned.append(own)
+                    ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                    size += len(text or b"")
+                    if size >= chunk_bytes:
+                        yield row()
+                        doc_ids, learned, ids, size = [], [], [], 0
+                        number = defaultdict(itertools.count().__next__)
+            if doc_ids:
+                yield row()
+
+    rows = by_text(docs, F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("binary").alias("text"))
+    return stored(rows.mapInArrow(run, "chunk long, docs array<string>, train binary, sizes binary, ids binary, keys binary"), "chunks")
+
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """key, n of each token of the training texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 200_000):
-                part = frame.iloc[at : at + 200_000]
-                flat, room = _symbols([bytes(w) for w in part["word"]])
-                weight = np.r_[0, np.repeat(part["n"].to_numpy(np.float64), [len(w) + 1 for w in part["word"]])]
-                for d in range(depth + 1):
-                    own = (room >= d) & (np.arange(len(flat)) > 0)
-                    keys, back = np.unique(_keys(flat, d)[own], return_inverse=True)
-                    yield pd.DataFrame({"depth": np.int32(d), "key": keys, "n": np.bincount(back, weight[own]).astype(np.int64)})
-
-    return words.select("word", "n").mapInPandas(run, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
-
-
-def fit(words: DataFrame, depth: int = DEPTH, least: float = LEAST, keep: float = KEEP) -> Model:
-    """The byte tree over words (word). Each different word counts once, for the tree has to foretell words that were not seen."""
-    counts = stored(context_counts(words.select("word", F.lit(1).cast("long").alias("n")), depth), "contexts").withColumn("context", F.shiftright("key", 8))
-    total = counts.where("depth = 0").agg(F.sum("n")).first()[0] or 0
-    frequent = counts.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= least * total).select("depth", "context")
-    rows = counts.join(frequent, ["depth", "context"]).select("depth", "key", "n").toPandas()  # at most 1 / least contexts a depth
-    return tree(rows, depth, keep)
-
-
-def tree(rows: pd.DataFrame, depth: int, keep: float = KEEP) -> Model:
-    """States, in the form of code lengths and escapes, from depth, key, n."""
-    model = Model(["text"], [], [], [], [])
-    for d in range(depth + 1):
-        own = rows[rows["depth"] == d].sort_values("key")
-        keys, n = own["key"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
-        contexts, of = np.unique(keys >> 8, return_inverse=True)
-        total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
-        lower = _bits(model, keys, d - 1)
-        if d and len(keys):
-            gain = np.bincount(of, n * (np.log(n / total[of]) + lower * math.log(2)), len(contexts))
-            kept = gain >= keep * distinct * np.log(np.maximum(total, 2)) / 2
-            stays = kept[of]
-            contexts, total, distinct = contexts[kept], total[kept], distinct[kept]
-            keys, n, lower, of = keys[stays], n[stays], lower[stays], (np.cumsum(kept) - 1)[of[stays]]
-        smooth = (n + distinct[of] * np.exp2(-lower)) / (total + distinct)[of]
-        for have, new in zip((model.keys, model.bits, model.contexts, model.escapes), (keys, -np.log2(smooth)[:, None].astype(np.float32), contexts, np.log2((total + distinct) / distinct)[:, None].astype(np.float32)), strict=True):
-            have.append(new)
-    return model
-
-
-def _bits(model: Model, keys: np.ndarray, depth: int) -> np.ndarray:
-    """What each (context, byte) costs at its longest state of depth bytes or less."""
-    bits = np.zeros(len(keys))
-    left = np.arange(len(keys))
-    for d in range(depth, -1, -1):
-        key = keys[left] & ((1 << (8 * (d + 1))) - 1)
-        at, found = _find(model.keys[d], key)
-        bits[left[found]] += model.bits[d][at[found], 0]
-        at, known = _find(model.contexts[d], key[~found] >> 8)
-        left = left[~found]
-        bits[left[known]] += model.escapes[d][at[known], 0]
-    bits[left] += 8
-    return bits
+            for train, sizes, ids, keys in frame.itertuples(index=False, name=None):
+                own = Chunk(sizes, ids, keys)
+                n = np.bincount(own.ids[np.repeat(np.frombuffer(train, bool), own.sizes)], minlength=len(own.keys))
+                seen = np.flatnonzero(n)
+                yield pd.DataFrame({"key": own.keys[seen], "n": n[seen].astype(np.int32)})
 
+    # Chunks are counted already: tasks need not count their rows again before the shuffle.
+    counted = chunks.select("train", "sizes", "ids", "keys").mapInPandas(run, "key long, n int").repartition("key")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"))
 
-@dataclass
-class States:
-    """symbol_of: context symbol (1 and up) of each frequent word; code: for each pair (last symbol, the one before; 0: none)
-    its longest state; parent: of each state, -1 for the root's children. States are numbered from 0."""
-
-    symbol_of: dict[bytes, int]
-    code: np.ndarray
-    parent: list[int]
-
-    def above(self, s: int) -> list[int]:
-        """The state and those that it is smoothed with, the root left out."""
-        out = []
-        while s >= 0:
-            out.append(s)
-            s = self.parent[s]
-        return out
-
-    @property
-    def below(self) -> np.ndarray:
-        """below[s, r]: whether state r is s or smoothed with it; the last column is the root's."""
-        out = np.zeros((len(self.parent), len(self.parent) + 1), bool)
-        for r in range(len(self.parent)):
-            out[self.above(r), r] = True
-        return out
-
-    def of(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The state (-1: root) in which each word is read. symbols: of each word, 0 if none; starts: of the texts."""
-        place = np.arange(len(symbols))
-        text_start = np.zeros(len(symbols), np.int64)
-        text_start[starts] = starts
-        text_start = np.maximum.accumulate(text_start)
-        upto = np.maximum.accumulate(np.where(symbols > 0, place, -1))
-        last = np.r_[-1, upto[:-1]]
-        last = np.where(last >= text_start, last, -1)
-        before = np.where(last > 0, upto[np.maximum(last - 1, 0)], -1)
-        before = np.where(before >= text_start, before, -1)
-        return self.code[np.where(last >= 0, symbols[last], 0), np.where(before >= 0, symbols[before], 0)]
-
-
-def _flat(texts: Iterator[str | None], symbol_of: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The tokens of each text, the symbols of all tokens, and where each text starts."""
-    cut = [tokens_of(t) for t in texts]
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    get = symbol_of.get
-    return cut, np.array([get(w, 0) for c in cut for w in c], np.int32), np.cumsum(sizes) - sizes
-
-
-def _after(docs: DataFrame, states: States, ids: dict[bytes, int], n_states: int) -> np.ndarray:
-    """How often each frequent word (columns; 0: any other) is read in each state, the root's own words first."""
+
+def bit_table(rows: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A table of 2 ** bits bits in which those of the rows' keys are set; at most 2 ** (bits - 6) rows come to the driver."""
+    low = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    cells = rows.select(F.shiftright(low, 6).cast("int").alias("cell"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[cells["cell"].to_numpy()] = cells["bit"].to_numpy()
+    return table
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set."""
+    low = keys & (len(table) * 64 - 1)
+    return (table[low >> 6] >> (keys & 63)) & 1 == 1
+
+
+def gram_counts(chunks: DataFrame, n: int, known: Broadcast, least: int = LEAST) -> DataFrame:
+    """key, ctx, suf, n of the n-grams of the training texts that occur least times or more. known: bit table of the last level's."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_states + 1) * (len(ids) + 1), np.int64)
-        for texts in _slices(frames):
-            cut, symbols, starts = _flat(texts, states.symbol_of)
-            word = np.array([ids.get(w, 0) for c in cut for w in c], np.int64)
-            if len(word):
-                total += np.bincount((states.of(symbols, starts) + 1) * (len(ids) + 1) + word, minlength=len(total))
-        own = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": own, "n": total[own]})
-
-    out = np.zeros((n_states + 1) * (len(ids) + 1))
-    for r in docs.select("text").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
-    return out.reshape(n_states + 1, len(ids) + 1)
-
-
-def _divergence(rows: np.ndarray) -> float:
-    """Count times Jensen-Shannon divergence of the rows' distributions, in nats."""
-    both, sizes = rows.sum(0), rows.sum(1)
-    gain = 0.0
-    for row, size in zip(rows, sizes, strict=True):
-        seen = row > 0
-        gain += float((row[seen] * np.log(row[seen] / size * both.sum() / both[seen])).sum())
-    return gain
-
-
-def _merged(table: np.ndarray, most: int) -> list[list[int]]:
-    """Groups of rows: the two whose joining loses the least information in all are joined, while their test
-    doesn't tell them apart or there are more than most groups."""
-    groups = [[k] for k in range(len(table)) if table[k].sum() > 0]
-    rows = [table[g[0]].copy() for g in groups]
-
-    def cost(i: int, j: int) -> float:
-        return _divergence(np.stack([rows[i], rows[j]]))
-
-    costs = {(i, j): cost(i, j) for i in range(len(rows)) for j in range(i)}
-    alive = set(range(len(rows)))
-    while len(alive) > 1:
-        (i, j), least = min(costs.items(), key=lambda x: (x[1], x[0]))
-        pair = np.stack([rows[i], rows[j]])
-        told = least >= max(LEAST_KL * min(pair.sum(1)), KEEP * (pair.sum(0) > 0).sum() * np.log(max(2.0, pair.sum())) / 2)
-        if told and len(alive) <= most:
-            del costs[i, j]
-            if not costs:
-                break
-            continue
-        groups[j] += groups[i]
-        rows[j] = rows[j] + rows[i]
-        alive.discard(i)
-        costs = {k: v for k, v in costs.items() if i not in k and j not in k}
-        costs |= {(max(j, k), min(j, k)): cost(max(j, k), min(j, k)) for k in alive if k != j}
-    return [sorted(groups[k]) for k in sorted(alive)]
-
-
-def fit_states(docs: DataFrame, frequent: int = FREQUENT, most: int = SYMBOLS) -> States:
-    """The states for the texts of docs."""
-    top = frequent_words(docs, frequent)
-    ids = {w: k + 1 for k, w in enumerate(top)}
-    # First every frequent word is a symbol and a state of its own.
-    single = States(ids, np.repeat(np.arange(-1, len(top))[:, None], len(top) + 1, axis=1), [-1] * len(top))
-    after = _after(docs, single, ids, len(top))
-    groups = _merged(after[1:], most)
-    symbol_of = {top[k]: s + 1 for s, g in enumerate(groups) for k in g}
-    size = len(groups) + 1
-    code = np.arange(-1, size * size - 1).reshape(size, size)  # 0: the root; row s: symbol s, whatever came before
-    after = _after(docs, States(symbol_of, code, []), ids, size * size)
-    root = after.sum(0)
-    states, parent, kept = np.full((size, size), -1), [], 0
-
-    def diverges(row: np.ndarray, from_row: np.ndarray) -> bool:
-        seen = row > 0
-        gain = float((row[seen] * np.log(row[seen] / row.sum() * from_row.sum() / from_row[seen])).sum()) if row.sum() else 0.0
-        return 0 < row.sum() and gain >= max(LEAST_KL * row.sum(), KEEP * seen.sum() * np.log(max(2.0, row.sum())) / 2)
-
-    for s in range(1, size):
-        own = after[s * size : (s + 1) * size].sum(0)
-        if diverges(own, root):
-            states[s, :], kept = kept, kept + 1
-            parent.append(-1)
-        above, base = int(states[s, 0]), own if states[s, 0] >= 0 else root
-        for t in range(1, size):
-            pair = after[s * size + t]
-            if diverges(pair, base):
-                states[s, t], kept = kept, kept + 1
-                parent.append(above)
-    return States(symbol_of, states, parent)
-
-
-def word_counts(docs: DataFrame, states: States) -> DataFrame:
-    """word (binary), n, state and count (arrays): how often each token occurs in docs, in all and in each state.
-
-    Tasks count first; one shuffle by the word serves both aggregations.
+        for frame in frames:
+            for train, sizes, ids, keys in frame.itertuples(index=False, name=None):
+                ctx, suf, count = _counted(Chunk(sizes, ids, keys), np.frombuffer(train, bool), n, known.value)
+                yield pd.DataFrame({"ctx": ctx, "suf": suf, "n": count})
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame.insert(0, "key", longer(frame["ctx"].to_numpy(), frame["suf"].to_numpy()))
+            yield frame
+
+    counted = chunks.select("train", "sizes", "ids", "keys").mapInPandas(run, "ctx long, suf long, n int").repartition("ctx", "suf")
+    frequent = counted.groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return frequent.mapInPandas(keyed, "key long, ctx long, suf long, n long")
+
+
+def _counted(own: Chunk, train: np.ndarray, n: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ctx, suf and count of the n-grams of a chunk's training texts whose parts may be known."""
+    *_, (_, at, ctx, suf) = own.levels(n)
+    stays = np.repeat(train, own.sizes)[at]
+    del at
+    stays[stays] = may_hold(known, suf[stays])
+    stays[stays] = may_hold(known, ctx[stays])
+    ctx, suf = ctx[stays], suf[stays]
+    _, first, count = np.unique(longer(ctx, suf), return_index=True, return_counts=True)
+    return ctx[first], suf[first], count.astype(np.int32)
+
+
+def retained(grams: DataFrame, last: DataFrame, keep: float = KEEP, discount: float = DISCOUNT) -> DataFrame:
+    """key, n, ctx, had (ctx's count), p (of the last word after the longest retained context), said (whether ctx itself is retained) and share (what its suffix gets) of each n-gram.
+
+    last: the same of the n-grams of one word less: each n-gram's first words are one, and so are its last ones.
     """
+    low = grams.join(last.select(F.col("key").alias("suf"), F.col("p").alias("low")), "suf").join(last.select(F.col("key").alias("ctx"), F.col("n").alias("had")), "ctx")
+    sums = grams.groupBy("ctx").agg(F.sum("n").alias("listed"), F.count("*").alias("words"))
+    each = low.join(sums, "ctx").withColumn("share", 1 - (F.col("listed") - discount * F.col("words")) / F.col("had"))
+    each = each.withColumn("own", (F.col("n") - discount) / F.col("had") + F.col("share") * F.col("low"))
+    gain = F.sum(F.col("n") * F.log(F.col("own") / F.col("low"))) + F.first((F.col("had") - F.col("listed")) * F.log("share"))
+    test = each.groupBy("ctx").agg((gain >= F.first(keep * F.col("words") * F.log("had")) / 2).alias("said"))
+    return each.join(test, "ctx").select("key", "n", "ctx", "had", F.when(F.col("said"), F.col("own")).otherwise(F.col("low")).alias("p"), "said", "share")
 
-    n_states = len(states.parent) + 1
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with no_gc():
-            place: dict[bytes, int] = {}
-            symbol: list[int] = []
-            seen: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def rows() -> pd.DataFrame:
-                keys, n = _summed([k for k, _ in seen], [n for _, n in seen])
-                words = np.array([*place, None], object)[:-1]
-                return pd.DataFrame({"state": (keys % n_states - 1).astype(np.int32), "word": words[keys // n_states], "n": n})
-
-            for texts in _slices(frames):
-                own = [np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int64) for t in texts]
-                symbol += [states.symbol_of.get(w, 0) for w in itertools.islice(place, len(symbol), None)]
-                sizes = np.array([len(x) for x in own])
-                words = np.concatenate(own)
-                keys = words * n_states + states.of(np.array(symbol, np.int32)[words], np.cumsum(sizes) - sizes) + 1
-                seen.append(np.unique(keys, return_counts=True))
-                if len(place) > 400_000:
-                    yield rows()
-                    place, symbol, seen = {}, [], []
-            if seen:
-                yield rows()
-
-    counted = docs.select("text").mapInPandas(run, "state int, word binary, n long").repartition("word")
-    by = counted.groupBy("word", "state").agg(F.sum("n").alias("n"))
-    return by.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("state").alias("state"), F.collect_list("n").alias("count"))
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, and the sum of each one's counts."""
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(back, np.concatenate(counts)).astype(np.int64)
-
-
-def score(docs: DataFrame, words: DataFrame, states: States, model: Model, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each text; words: word_counts() of the training texts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_total, n_distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    n_of, distinct_of = np.zeros(len(states.parent)), np.zeros(len(states.parent))
-    # A state's counts hold those of the states below it, as its contexts do.
-    for r in words.select(F.inline(F.arrays_zip("state", "count"))).groupBy("state").agg(F.sum("count").alias("n"), F.count("*").alias("d")).collect():
-        for s in states.above(r["state"]):
-            n_of[s] += r["n"]
-            distinct_of[s] += r["d"]
-    chunks = max(1, -(-size // chunk_bytes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    sent = docs.sparkSession.sparkContext.broadcast((model, states))
-
-    def own_words(frame: pd.DataFrame) -> pd.DataFrame:
-        found = _distinct(frame["text"])
-        return pd.DataFrame({"own_chunk": frame["chunk"].iloc[0], "k": np.arange(len(found), dtype=np.int32), "word": found})
-
-    def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        with no_gc():
-            if not len(texts):
-                return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-            tree_model, own_states = sent.value
-            place: dict[bytes, int] = {}
-            flat = [np.array([place.setdefault(w, len(place)) for w in tokens_of(t)], np.int32) for t in texts["text"]]
-            sizes = np.array([len(x) for x in flat])
-            known = sorted(place)  # in order, so that numbers are those of own_words
-            rank = np.empty(len(known), np.int32)
-            rank[[place[w] for w in known]] = np.arange(len(known))
-            at, starts = rank[np.concatenate(flat)], np.cumsum(sizes) - sizes
-            symbol = np.array([own_states.symbol_of.get(w, 0) for w in known], np.int32)
-            bits = np.full(len(known), np.nan)
-            bits[counts["k"].to_numpy()] = counts["bits"].to_numpy()
-            unseen = np.flatnonzero(np.isnan(bits))
-            if len(unseen):
-                bits[unseen] = tree_model.lengths([known[i] for i in unseen])[:, 0]
-            k, state, count = counts["k"].to_numpy(), counts["state"].to_numpy(), counts["count"].to_numpy(np.float64)
-            n = np.bincount(k, count, len(known))
-            root = (n + n_distinct * np.exp2(-bits)) / (n_total + n_distinct) if n_total else np.exp2(-bits)
-            read_in = own_states.of(symbol[at], starts)
-            base = np.log10((n + 1) / (n_total + n_distinct + 1))
-            lower = own_states.below
-            logs = {-1: np.log10(root).astype(np.float32)}
-            said = np.where(read_in < 0, logs[-1][at], 0).astype(np.float64)
-            for s, parent in enumerate(own_states.parent):  # a parent comes before its children
-                own = lower[s][state]
-                d = distinct_of[s]
-                logs[s] = np.log10((np.bincount(k[own], count[own], len(known)) + d * np.power(10.0, logs[parent].astype(np.float64))) / (n_of[s] + d)).astype(np.float32)
-                here = read_in == s
-                said[here] = logs[s][at[here]]
-            sums = lambda values: np.add.reduceat(values, starts)
-            return pd.DataFrame({"doc_id": texts["doc_id"], "n_tokens": sizes, "n_known": sums((n[at] > 0).astype(np.int64)), "train_tokens": n_total, "base_score": sums(base[at]), "score": sums(said)})
-
-    def foretold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.append_column("bits", pa.array(sent.value[0].lengths(batch.column("word").to_pylist())[:, 0]))
-
-    known_words = words.select("word", "state", "count").mapInArrow(foretold, "word binary, state array<int>, count array<long>, bits float")
-    own = dealt.groupBy("chunk").applyInPandas(own_words, "own_chunk long, k int, word binary")
-    needed = own.join(known_words, "word").select("own_chunk", "k", "bits", F.inline(F.arrays_zip("state", "count")))
-    return dealt.groupBy("chunk").cogroup(needed.groupBy("own_chunk")).applyInPandas(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _distinct(texts: pd.Series) -> list[bytes]:
-    """The different tokens of some texts, in order."""
-    found: set[bytes] = set()
-    for t in texts:
-        found.update(tokens_of(t))
-    return sorted(found)
-
-
-def scored(docs: DataFrame, train: Column) -> DataFrame:
-    """Scores of all texts under a tree fitted to those where train holds."""
-    own = docs.where(train)
-    states = fit_states(own)
-    words = stored(word_counts(own, states), "words")
-    return score(docs, words, states, fit(words))
+@dataclass
+class Tree:
+    """rows: key, kind and value of all words, states and states' next words, n_rows of them; totals of the words; bits: tables of the states and of the next words."""
+
+    rows: DataFrame
+    n_rows: int
+    n_total: int
+    n_distinct: int
+    n_once: int
+    bits: Broadcast
+
+
+def fit(chunks: DataFrame, depth: int = DEPTH, least: int = LEAST, keep: float = KEEP) -> Tree:
+    """The tree of the training texts of chunks."""
+    context = chunks.sparkSession.sparkContext
+    words = stored(word_counts(chunks), "words")
+    n_total, n_distinct, n_once = (x or 0 for x in words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first())
+    seen = 1 - (n_once + 1) / (n_total + 1)
+    last = words.where(F.col("n") >= least).select("key", "n", (F.lit(seen) * F.col("n") / F.lit(max(1, n_total))).alias("p"))
+    rows = words.select("key", F.lit(WORD).alias("kind"), F.col("n").cast("double").alias("value"))
+    bits = np.zeros((2, 1 << (BITS - 6)), np.int64)
+    for n in range(2, depth + 2):
+        known = context.broadcast(bit_table(last))
+        grams = stored(gram_counts(chunks, n, known, least), "grams")
+        last = stored(retained(grams, last, keep), "states")
+        known.destroy()
+        said = last.where("said")
+        states = said.groupBy(F.col("ctx").alias("key")).agg(F.log(F.first("share")).alias("value")).select("key", F.lit(STATE).alias("kind"), "value")
+        following = said.select("key", F.lit(NEXT).alias("kind"), F.log("p").alias("value"))
+        bits |= np.stack([bit_table(states), bit_table(following)])
+        rows = rows.union(states).union(following)
+        if said.limit(1).count() == 0:
+            break
+    rows = stored(rows, "tree")
+    return Tree(rows, rows.count(), n_total, n_distinct, n_once, context.broadcast(bits))
+
+
+def _asked(own: Chunk, bits: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """n, places, their n-grams' keys and the use of each (1: a state's next word, 2: a state, 3: both), for n = 2 .. depth + 1, of n-grams that may be in the tree."""
+    for n, at, ctx, suf in own.levels(depth + 1):
+        key = longer(ctx, suf)
+        use = (may_hold(bits[0], ctx) & may_hold(bits[1], key)).astype(np.int8)
+        if n <= depth:
+            use += 2 * may_hold(bits[0], key)
+        here = np.flatnonzero(use)
+        yield n, at[here], key[here], use[here]
+
+
+def score(chunks: DataFrame, tree: Tree, depth: int = DEPTH) -> DataFrame:
+    """doc_id (as text), n_tokens, n_known, train_tokens, base_score, score of each text of the chunks."""
+    bits, n_total, n_distinct = tree.bits, tree.n_total, tree.n_distinct
+    unseen = (tree.n_once + 1) / (n_total + 1)
+    buckets = max(1, -(-tree.n_rows // BUCKET), chunks.count() // 2)
+
+    def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for chunk, sizes, ids, keys in frame.itertuples(index=False, name=None):
+                own = Chunk(sizes, ids, keys)
+                yield parted(chunk, 1, np.sort(own.keys))
+                for n, _, key, _ in _asked(own, bits.value, depth):
+                    yield parted(chunk, n, np.unique(key))
+
+    def parted(chunk: int, n: int, keys: np.ndarray) -> pd.DataFrame:
+        """A row for each bucket of the sorted keys."""
+        bucket = ((((keys.view(np.uint64) >> np.uint64(32)) ^ np.uint64(1 << 31)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return pd.DataFrame({"asked_bucket": bucket[starts], "own_chunk": chunk, "level": n, "keys": [k.tobytes() for k in np.split(keys, starts[1:])] if len(keys) else []})
+
+    def answered(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, sizes = rows.sort_values("key"), [len(k) // 8 for k in asked["keys"]]
+        keys, word = np.frombuffer(b"".join(asked["keys"]), np.int64), np.repeat(asked["level"].to_numpy() == 1, sizes)
+        value = np.where(word, _looked_up(rows, WORD, keys, 0.0), _looked_up(rows, NEXT, keys, np.nan))
+        share = _looked_up(rows, STATE, keys, np.nan).astype(np.float32)
+        ends = np.cumsum(sizes)
+        values = [zstandard.compress(value[a:b].astype("<f8" if n == 1 else "<f4").tobytes() + share[a:b].tobytes(), 1) for n, a, b in zip(asked["level"], ends - sizes, ends, strict=True)]
+        return asked[["own_chunk", "level", "asked_bucket"]].assign(values=values)
+
+    def run(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        _, docs, sizes, ids, keys = own.iloc[0]
+        texts, order = Chunk(sizes, ids, keys), answers.sort_values(["level", "asked_bucket"])
+
+        def said_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+            """The values and shares of the sorted keys asked for."""
+            size = 8 if n == 1 else 4
+            raw = [zstandard.decompress(x) for x in order["values"][order["level"] == n]]
+            cut = [len(x) // (size + 4) * size for x in raw]
+            return tuple(np.frombuffer(b"".join(x), f"<f{k}").astype(np.float64) for x, k in (([x[:c] for x, c in zip(raw, cut, strict=True)], size), ([x[c:] for x, c in zip(raw, cut, strict=True)], 4)))
+
+        rank = np.empty(len(texts.keys), np.int64)
+        rank[np.argsort(texts.keys)] = np.arange(len(rank))
+        n, share = (x[rank] for x in said_of(1))
+        base, root = np.log10((n + 1) / (n_total + n_distinct + 1)), np.log(np.where(n > 0, (1 - unseen) * n / max(1, n_total), unseen))
+        said = root[texts.ids]
+        shares = share[texts.ids]  # of each word's longest context so far of one level's length, for the word after it
+        for level, at, key, use in _asked(texts, bits.value, depth):
+            value, state = said_of(level)
+            _, back = np.unique(key, return_inverse=True)
+            own_word = np.full(len(said), np.nan)
+            own_word[at] = np.where(use & 1, value[back], np.nan) if len(at) else 0
+            before = np.r_[np.nan, shares[:-1]]
+            before[texts.room < level] = np.nan
+            # From short contexts to long ones: a state's own word overrides, or its share adds to what its suffix says.
+            said = np.where(np.isnan(before), said, np.where(np.isnan(own_word), before + said, own_word))
+            shares = np.full(len(said), np.nan)
+            shares[at] = np.where(use & 2, state[back], np.nan) if len(at) else 0
+        known = np.add.reduceat((n > 0)[texts.ids].astype(np.int64), texts.starts)
+        return pd.DataFrame({"doc_id": docs, "n_tokens": texts.sizes, "n_known": known, "train_tokens": n_total, "base_score": np.add.reduceat(base[texts.ids], texts.starts), "score": np.add.reduceat(said, texts.starts) / np.log(10)})
+
+    asked = chunks.select("chunk", "sizes", "ids", "keys").mapInPandas(wanted, "asked_bucket long, own_chunk long, level int, keys binary")
+    high = (F.shiftrightunsigned("key", 32) + (1 << 31)).bitwiseAND(F.lit((1 << 32) - 1))  # as in parted(): in the order of signed keys
+    bucketed = tree.rows.withColumn("bucket", F.shiftright(high * buckets, 32))
+    answers = asked.groupBy("asked_bucket").cogroup(bucketed.groupBy("bucket")).applyInPandas(answered, "own_chunk long, level int, asked_bucket long, values binary")
+    by = chunks.select("chunk", "docs", "sizes", "ids", "keys").groupBy("chunk").cogroup(answers.groupBy("own_chunk"))
+    return by.applyInPandas(run, "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _looked_up(rows: pd.DataFrame, kind: int, wanted: np.ndarray, none: float) -> np.ndarray:
+    """The values of the wanted keys in rows of a kind, which are sorted by key; none where there is no such key."""
+    own = (rows["kind"] == kind).to_numpy()
+    keys, values = rows["key"].to_numpy(np.int64)[own], rows["value"].to_numpy(np.float64)[own]
+    if not len(keys):
+        return np.full(len(wanted), none)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], none)
+
+
+def scored(docs: DataFrame, train: Column, depth: int = DEPTH, least: int = LEAST, keep: float = KEEP, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of all texts under a tree fitted to those where train holds."""
+    chunks = encoded(docs, train, chunk_bytes)
+    return typed(score(chunks, fit(chunks, depth, least, keep), depth), docs)
