@@ -9,7 +9,7 @@ left to right. Encoded pieces are kept in a table of bounded size, so a task's m
 with its input. Nothing is shuffled; a lost task is simply run again.
 
 A null text counts as empty and encodes to no ids; an empty text decodes to an empty one; repeated
-rows give repeated rows; further columns are ignored unless named in ``keep``.
+rows give repeated rows; an empty table gives no rows; further columns are ignored unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import no_gc
 
@@ -203,42 +204,46 @@ def coder(path: str, texts: bool) -> WordBpe:
     return WordBpe(path, texts)
 
 
-def _batches(frames: Iterator[pd.DataFrame], chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
-    """The same rows in frames of about so many characters."""
-    for frame in frames:
-        sizes = frame["text"].str.len().fillna(0).cumsum() // chars
-        for _, part in frame.groupby(sizes, sort=False):
-            yield part
+def _batches(batches: Iterator[pa.RecordBatch], chars: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same rows in batches of about so many characters, with their texts."""
+    for batch in batches:
+        at, size, texts = 0, 0, []
+        for k, text in enumerate(batch.column("text")):
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= chars or k == batch.num_rows - 1:
+                yield batch.slice(at, len(texts)), texts
+                at, size, texts = k + 1, 0, []
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, and each text's ids (array<int>)."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_gc():
             bpe = coder(path, False)
-            for part in _batches(frames):
-                cut = bpe.batch(part["text"].fillna("").tolist())
-                yield part[list(keep)].assign(ids=[np.array("".join(map(bpe.ids.__getitem__, c)).split(), np.int32) for c in cut])
+            for part, texts in _batches(batches):
+                ids = [np.array("".join(map(bpe.ids.__getitem__, c)).split(), np.int32) for c in bpe.batch(texts)]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), made], names=[*keep, "ids"])
 
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+    return docs.select(*keep, F.col("text").alias("text")).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_gc():
             bpe = coder(path, True)
-            for part in _batches(frames):
+            for part, texts in _batches(batches):
                 rows = []
-                cut = bpe.batch(part["text"].fillna("").tolist())
-                for doc, pieces in zip(part["doc_id"], cut, strict=True):
+                for pieces in bpe.batch(texts):
                     ids, text = "".join(map(bpe.ids.__getitem__, pieces)), "".join(map(bpe.texts.__getitem__, pieces))
-                    rows.append((doc, ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(text[1:].encode()).hexdigest()))
-                yield pd.DataFrame(rows, columns=names)
+                    rows.append((ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(text[1:].encode()).hexdigest()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

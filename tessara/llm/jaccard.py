@@ -10,7 +10,7 @@
 
 Buckets and groups larger than CELL are dealt into cells of two blocks each, so that no task holds more
 than two blocks, and results are counts and forests: at most two rows for each member of a cell, whatever
-the number of pairs. Band collisions miss a pair at THRESHOLD with probability (1 - 0.8 ** 4) ** 24 < 3e-6, the
+the number of pairs. Band collisions miss a pair at THRESHOLD with probability (1 - 0.8 ** 4) ** 24 < 3.3e-6, the
 pruning loses one with about TOLERANCE for each step. Signatures are dropped after buckets, texts are read again
 for candidate classes alone, and loops end their lineage with tables in the shared folder.
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, no_gc, stored, text_key, without
+from .common import by_text, fits, no_gc, stored, text_key, typed, without
 from .licences import words_of
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -179,8 +179,7 @@ def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
                     rows.append((doc_id, key, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), signature(own).tobytes()) if len(own) else (doc_id, key, None, 0, None))
                 yield pd.DataFrame(rows, columns=["doc_id", "text_key", "cls", "n_grams", "sig"], dtype=object)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(), "text").mapInPandas(run, f"doc_id {kind}, text_key binary, cls binary, n_grams long, sig binary")
+    return typed(by_text(docs, text_key(), "text").mapInPandas(run, "doc_id string, text_key binary, cls binary, n_grams long, sig binary"), docs)
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

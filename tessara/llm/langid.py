@@ -5,7 +5,8 @@ ORDER bytes, reaching back to the word's start at most. A byte that a context ha
 escape (method C: distinct / (total + distinct)) and is coded one order lower, at last as one of 256.
 The trees are frozen, so a word's exact code length under every language is a fixed vector: each
 distinct word is coded once by binary searches for all languages together, and a text's length is the sum
-over its words. The shortest code names the language; ties go to the first by name.
+over its words. What lies between words (spaces, marks, ASCII capitals) is no part of the code: the length is that of the
+text's words, each with its end. The shortest code names the language; ties go to the first by name.
 
 Training texts are a bounded sample: SAMPLE_DOCS documents and SAMPLE_CHARS characters a language
 (chosen by a hash of doc_id), which bounds the model that is broadcast. Predictions cover every row and
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import no_gc
+from .common import by_text, no_gc, typed
 from .licences import words_of
 
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, KEPT_WORDS = 4, 1000, 4_000_000, 800_000
@@ -121,8 +122,8 @@ def build(counts: pd.DataFrame, order: int = ORDER) -> Model:
     return model
 
 
-def sample(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    """lang, text of at most n documents a language, by a hash of doc_id."""
+def sample(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """lang, text of at most n documents a language in the order of a hash of doc_id, up to the one with which they reach chars characters."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").count().collect()  # one row a language
     share = F.lit(0.0)
@@ -130,8 +131,10 @@ def sample(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * n / r["count"]))).otherwise(share)
     drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
     near = known.select("lang", "text", drawn, "doc_id").where(F.col("u") < share)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "text")))
-    return ranked.where(F.col("rank") <= n).select("lang", "text")
+    by = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)  # a bounded number of rows a language
+    before = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text")
+    return ranked.withColumn("before", before).where(F.col("before") < chars).select("lang", "text")
 
 
 def fit(docs: DataFrame, order: int = ORDER, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
@@ -140,11 +143,10 @@ def fit(docs: DataFrame, order: int = ORDER, n: int = SAMPLE_DOCS, chars: int =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lang, part in frame.groupby("lang"):
-                texts = part["text"][part["text"].str.len().cumsum().shift(fill_value=0) < chars]
-                words = [w for t in texts for w in words_of(t)]
+                words = [w for t in part["text"] for w in words_of(t)]
                 yield count(words, order).assign(lang=lang)[["lang", "depth", "key", "n"]]
 
-    counted = sample(docs, n).mapInPandas(run, "lang string, depth int, key long, n long")
+    counted = sample(docs, n, chars).mapInPandas(run, "lang string, depth int, key long, n long")
     return build(counted.groupBy("lang", "depth", "key").agg(F.sum("n").alias("n")).toPandas(), order)
 
 
@@ -192,8 +194,7 @@ def predict(docs: DataFrame, model: Model, step: int = 1024) -> DataFrame:
                     made.insert(0, "doc_id", part["doc_id"].to_numpy())
                     yield made
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, bits double")
+    return typed(by_text(docs, "text").mapInPandas(run, "doc_id string, lang_pred string, score double, bits double"), docs)
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, step: int = 1024) -> DataFrame:

@@ -3,16 +3,17 @@
 The automaton holds every run of words of every template. A text streams through it once: at each word
 it gives the longest run that ends there (matching statistics). Maximal runs of MIN_MATCH words or more
 are placed on the templates they come from, and runs in template order with small gaps are chained into
-spans. A template's coverage is the share of its words in its best chain; from COVERAGE on its label is
-given. Base phrases are found as they stand, whatever the chains say.
+spans, any number of them a template. A span's coverage is the share of the template's words in its chain; from COVERAGE on it is
+reported, with its label. Base phrases are found as they stand, whatever the chains say.
 
 The automaton's size depends on the templates alone; each row is handled by itself in Arrow batches,
-nothing is shuffled, and only runs of template words leave array code. A null text counts as empty,
+nothing is shuffled, and only runs of template words leave array code. Very long texts are scanned whole. A null text counts as empty,
 repeated rows give repeated rows, an empty table gives none, and further columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import by_text, typed
+
 MIN_MATCH, MAX_GAP, COVERAGE = 5, 12, 0.6
 
 # Base phrases and their labels.
@@ -120,27 +123,35 @@ class Automaton:
         return [(i - size + 1, size, state) for i, (size, state) in enumerate(found) if size >= MIN_MATCH and (i + 1 == len(found) or found[i + 1][0] <= size)]
 
 
-def chains(spans: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, int, int]]:
-    """For each template its best chain: (words covered, first word, last word of the text).
+def chains(spans: list[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """For each template its chains that share no word of the text, the best first: (words covered, first word, last word of the text).
 
     spans: (template, first word in text, first word in template, size). In a chain both places grow,
     with at most MAX_GAP words between one span and the next in text and template; where spans overlap,
-    a word counts once.
+    a word counts once. Of equal chains the later one is taken.
     """
-    best: dict[int, tuple[int, int, int]] = {}
+    best: dict[int, list[tuple[int, int, int]]] = {}
     by: dict[int, list[tuple[int, int, int]]] = {}
     for k, at, place, size in sorted(set(spans)):
         by.setdefault(k, []).append((at, place, size))
     for k, own in by.items():
-        done: list[tuple[int, int, int, int, int]] = []  # end in text, end in template, covered, first, last
+        done: list[tuple[int, int, int]] = []
+        near: list[tuple[int, int, int, int]] = []  # end in text, end in template, covered, first; spans come in text order, so one that ends too early for this span does for all later ones
         for at, place, size in own:
+            near = [x for x in near if at - x[0] <= MAX_GAP]
             covered, first = size, at
-            for text_end, template_end, had, start, _ in reversed(done[-64:]):
+            for text_end, template_end, had, start in near:
                 over = max(0, text_end - at, template_end - place)
-                if over < size and at - text_end <= MAX_GAP and place - template_end <= MAX_GAP and at + size > text_end and place + size > template_end and had + size - over > covered:
+                if over < size and place - template_end <= MAX_GAP and at + size > text_end and place + size > template_end and had + size - over > covered:
                     covered, first = had + size - over, start
-            done.append((at + size, place + size, covered, first, at + size - 1))
-        best[k] = max((c, f, last) for _, _, c, f, last in done)
+            near.append((at + size, place + size, covered, first))
+            done.append((covered, first, at + size - 1))
+        kept: list[tuple[int, int, int]] = []
+        for c, a, b in sorted(done, reverse=True):
+            at = bisect.bisect_left(kept, (a, b, 0))
+            if (at == 0 or kept[at - 1][1] < a) and (at == len(kept) or kept[at][0] > b):
+                kept.insert(at, (a, b, c))
+        best[k] = sorted(((c, a, b) for a, b, c in kept), reverse=True)
     return best
 
 
@@ -187,10 +198,11 @@ class Scanner:
         rows = []
         for n, n_base, first, last, base, _, spans in out:
             kept = []
-            for k, (covered, a, b) in sorted(chains(spans).items()) if spans else ():
-                share = covered / self.automaton.sizes[k]
-                if share >= COVERAGE:
-                    kept.append((self.labels[k], a, b, min(1.0, share)))
+            for k, found in sorted(chains(spans).items()) if spans else ():
+                for covered, a, b in found:
+                    share = covered / self.automaton.sizes[k]
+                    if share >= COVERAGE:
+                        kept.append((self.labels[k], a, b, min(1.0, share)))
             labels = base | {x[0] for x in kept}
             rows.append((n, n_base, first, last, sorted(base), sorted(labels), max([1.0] * bool(base) + [x[3] for x in kept], default=0.0), kept))
         return rows
@@ -219,6 +231,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, step: in
                 made["spans"] = [[{"label": a, "first_word": b, "last_word": c, "coverage": d} for a, b, c, d in x] for x in made["spans"]]
                 yield made
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     spans = "array<struct<label: string, first_word: long, last_word: long, coverage: double>>"
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans {spans}")
+    return typed(by_text(docs, "text").mapInPandas(run, f"doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans {spans}"), docs)

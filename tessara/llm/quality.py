@@ -3,9 +3,10 @@
 Every rule is evaluated once for each document. The ledger keeps the measurements and one bit for
 each rule that failed; a policy is a named mask over those bits, so changing a policy or measuring
 what a rule is worth never reads a text again. Everything here is built-in column functions: a
-document's words and windows are handled inside its own row and nothing is shuffled.
+document's words and windows are handled inside its own row and nothing is shuffled. Windows are told apart by a 64-bit hash of
+64-bit hashes of their words: of n windows of one text, two different ones count as equal with a chance of n * n / 2 ** 64.
 
-Null texts count as having no words (they fail ``few_words``), repeated rows give repeated rows, an
+Null texts count as having no words (they fail ``few_words``), very long texts are measured whole, repeated rows give repeated rows, an
 empty table gives an empty ledger, and further columns are ignored.
 """
 
@@ -40,19 +41,15 @@ POLICIES = {
 
 def _repeated(hashes: Column) -> Column:
     """Words that lie in windows found twice or more. hashes: one for each window, in order."""
-    place = F.lit((1 << 24) - 1)
 
     def covered(h: Column) -> Column:
-        # Hash prefix and place in one long: sorting it brings equal windows together.
-        packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))
-        return let(F.array_sort(packed), lambda s: let(twice(h, s), lambda p: lengths(p)))
+        # Sorted by hash and then by place, equal windows lie together.
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return let(placed, lambda s: let(twice(s), lengths))
 
-    def twice(h: Column, s: Column) -> Column:
-        def at(v: Column) -> Column:
-            return F.get(h, v.bitwiseAND(place).cast("int"))
-
-        kept = F.filter(s, lambda v, k: F.coalesce(at(F.get(s, k - 1)) == at(v), F.lit(False)) | F.coalesce(at(F.get(s, k + 1)) == at(v), F.lit(False)))
-        return F.array_sort(F.transform(kept, lambda v: v.bitwiseAND(place)))
+    def twice(s: Column) -> Column:
+        alike = lambda v, k: F.coalesce(F.get(s, k)["x"] == v["x"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda v, k: alike(v, k - 1) | alike(v, k + 1)), lambda v: v["i"]))
 
     def lengths(p: Column) -> Column:
         gaps = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, langid, licences, lm, quality, tokens, toxicity, warc
-from .common import remainder, table, tokenizer_path
+from .common import remainder, stored, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,11 +40,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.verdict(quality.ledger(table(spark, sf_dir, "documents")), "v1")
+    rows = quality.verdict(stored(quality.ledger(table(spark, sf_dir, "documents")), "ledger"), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base"])) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "fail_bits")
 
 
+def op6_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 is worth, from the stored ledger's bit patterns."""
+    return quality.ablations(stored(quality.ledger(table(spark, sf_dir, "documents")), "ledger"), "v1")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -65,8 +70,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.write(table(spark, sf_dir, "pages"))
-    rows = warc.read(warc.listed(warc.build_index(captures)))
+    pages = table(spark, sf_dir, "pages")
+    rows = warc.read(warc.lookup(warc.build_index(warc.write(pages)), pages))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -87,7 +92,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM words_of d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
 """
 
-OP6_SQL = r"""
+_OP6_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -104,8 +109,14 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
 b AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 8 ELSE 0 END)
              + (CASE WHEN 4 * n_symbols > n_words THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM b
 """
+OP6_SQL = _OP6_LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM b"
+OP6_ABLATIONS_SQL = (
+    _OP6_LEDGER
+    + """SELECT rule, bit, CAST(sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN fail_bits = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only,
+       CAST(sum(CASE WHEN fail_bits & ~bit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without, count(*) AS n_documents
+FROM b CROSS JOIN (SELECT * FROM (VALUES ('few_words', CAST(1 AS BIGINT)), ('repeated_windows', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16), ('repeated_lines', 32)) AS r(rule, bit)) GROUP BY rule, bit"""
+)
 
 
 def queries() -> dict[str, Query]:
@@ -113,4 +124,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL}

@@ -7,7 +7,8 @@ carry the partition's number, so a task that runs again replaces its file. Offse
 from sums of their counts. Reading takes one row for each file's run of blocks.
 
 Null texts count as empty; each document ends with ``end``. Documents without an id come first, as
-Spark sorts them; equal ids are ordered by their texts. Empty tables give no files and no rows.
+Spark sorts them; equal ids are ordered by their texts. Empty tables give no files and no rows, further columns are ignored,
+and a file of more than 2 ** 20 different ids, more than its frequency table can tell apart, raises.
 """
 
 from __future__ import annotations
@@ -145,8 +146,9 @@ def write(docs: DataFrame, path: str, end: int, folder: str | None = None, parti
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "ids")
     numeric = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNotNull().alias("valid"), "text"  # whole numbers beside nulls would go through Python as floats
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), numeric.rdd.getNumPartitions())
-    dealt = numeric.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = numeric.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select(*plain)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with no_gc():
@@ -155,8 +157,8 @@ def write(docs: DataFrame, path: str, end: int, folder: str | None = None, parti
             for frame in frames:
                 size = frame["text"].str.len().cumsum() // STEP_CHARS
                 for _, part in frame.groupby(size, sort=False):
-                    valid.append(part["doc_id"].notna().to_numpy())
-                    doc_ids.append(part["doc_id"].fillna(0).astype("int64").to_numpy())
+                    valid.append(part["valid"].to_numpy())
+                    doc_ids.append(part["doc_id"].to_numpy())
                     coded = coder.batch(part["text"].tolist())
                     lengths.append(np.fromiter((len(x) // 4 + 1 for x in coded), np.int64, len(coded)))
                     ids.append(np.frombuffer(tail.join(coded) + tail, np.uint32))

@@ -18,6 +18,7 @@ gets the calibrated share of label 1; without labelled rows of both kinds every
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import no_gc
+from .common import by_text, no_gc, typed
 from .licences import words_of
 
 SAMPLE_ROWS, CHI, GRAM, BLOCK, K, KEPT_WORDS = 3000, 12.0, 5, 64, 15, 1_000_000
 #: Share of the examples from which a feature's postings lie in blocks.
 COMMON = 0.05
-#: Bytes of a word whose features are kept for its next occurrence.
-LONGEST = 40
+#: Features of kept words, with KEPT_WORDS the bound of what a task remembers.
+KEPT_FEATURES = 8_000_000
 #: Texts whose cosines are held at once.
 STEP = 256
 
@@ -61,7 +62,7 @@ class Index:
     rare: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"features": b" ".join(self.features)}  # no feature has a space, and one string is sent faster than many
+        return {k: v for k, v in self.__dict__.items() if k != "terms"} | {"features": b" ".join(self.features)}  # no feature has a space, and one string is sent faster than many
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {"features": _numbered(state["features"])}
@@ -121,17 +122,42 @@ def _numbered(joined: bytes) -> dict[bytes, int]:
     return {f: k for k, f in enumerate(joined.split())}
 
 
-def _counts(words: list[bytes], table: dict[bytes, np.ndarray], features: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The features that occur in words, and how often. table: features of words seen before."""
-    found = []
-    for w in words:
-        own = table.get(w)
-        if own is None:
-            own = np.array([k for k in map(features.get, features_of(w)) if k is not None], np.int32)
-            if len(w) <= LONGEST:
-                table[w] = own
-        found.append(own)
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+class Terms:
+    """Features of texts by number; those of words seen before are kept, and all words of some texts are counted together."""
+
+    def __init__(self, features: dict[bytes, int]) -> None:
+        self.features = features
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def counts(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The features that occur in each text, ascending, and how often."""
+        if len(self.place) > KEPT_WORDS or len(self.flat) > KEPT_FEATURES:
+            self.forget()
+        fresh = list(set().union(*texts).difference(self.place))
+        if fresh:
+            get = self.features.get
+            own = [[k for k in map(get, features_of(w)) if k is not None] for w in fresh]
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+            self.sizes = np.r_[self.sizes, np.fromiter(map(len, own), np.int64, len(own))]
+            self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(own), np.int32)]
+        starts = np.cumsum(self.sizes) - self.sizes
+        lengths = [len(t) for t in texts]
+        word = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sum(lengths))
+        key, times = np.unique(np.repeat(np.arange(len(texts)), lengths) * max(1, len(self.place)) + word, return_counts=True)
+        text, word = np.divmod(key, max(1, len(self.place)))
+        n = self.sizes[word]
+        place = np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key = np.repeat(text, n) * max(1, len(self.features)) + self.flat[place]
+        order = np.argsort(key, kind="stable")
+        key, first = np.unique(key[order], return_index=True)
+        total = np.add.reduceat(np.repeat(times, n)[order], first) if len(key) else np.zeros(0, np.int64)
+        text, feature = np.divmod(key, max(1, len(self.features)))
+        cuts = np.searchsorted(text, np.arange(1, len(texts)))
+        return list(zip(np.split(feature.astype(np.int32), cuts), np.split(total, cuts), strict=True)) if texts else []
 
 
 def examples(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
@@ -179,10 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> Index:
     sent = docs.sparkSession.sparkContext.broadcast(joined)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: dict[bytes, np.ndarray] = {}
-        numbers = _numbered(sent.value)
+        terms = Terms(_numbered(sent.value))
         for frame in frames:
-            own = [_counts(words_of(t), table, numbers) for t in frame["text"]]
+            own = [x for at in range(0, len(frame), STEP) for x in terms.counts([words_of(t) for t in frame["text"].iloc[at : at + STEP]])]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "f": [f.tobytes() for f, _ in own], "n": [n.astype(np.int32).tobytes() for _, n in own]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -238,7 +263,7 @@ def score(docs: DataFrame, index: Index, step: int = STEP) -> DataFrame:
         with no_gc():
             own = sent.value
             silent = own.score(own.vote(np.zeros(0, np.int64), np.zeros(0, np.float32))), []
-            table: dict[bytes, np.ndarray] = {}
+            terms = own.__dict__.setdefault("terms", Terms(own.features))  # a worker's tasks share the broadcast index, and so the words seen before
             known: dict[bytes, tuple[float, list[dict]]] = {}
             for frame in frames:
                 for at in range(0, len(frame), step):
@@ -248,10 +273,7 @@ def score(docs: DataFrame, index: Index, step: int = STEP) -> DataFrame:
                     known = known if len(known) < 20_000 else {k: known[k] for k in set(keys) & known.keys()}
                     new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
                     queries = {}
-                    for k, words in new.items():
-                        if len(table) > KEPT_WORDS:
-                            table = {}
-                        f, n = _counts(words, table, own.features)
+                    for k, (f, n) in zip(new, terms.counts(list(new.values())), strict=True):
                         if len(f):
                             queries[k] = own.weigh(f, n)
                         else:
@@ -262,4 +284,4 @@ def score(docs: DataFrame, index: Index, step: int = STEP) -> DataFrame:
                     yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": [known[k][0] for k in keys], "evidence": [known[k][1] for k in keys]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, toxic: int, cosine: double>>")
+    return typed(by_text(docs, "text").mapInPandas(run, f"doc_id string, score double, evidence array<struct<doc_id: {kind}, toxic: int, cosine: double>>"), docs)

@@ -3,12 +3,13 @@
 Pages with equal payloads are found by their SHA-1 in one aggregation over small columns; the page with
 the smallest id is a response and the others revisit it. Only digests of repeated payloads go back to
 the pages: broadcast after their rows are counted, joined by a shuffle beyond that. Each task writes
-archives of gzip records, one member a record, rolled over at ROLL bytes, named by its partition.
+archives of gzip records, one member a record, rolled over at ROLL bytes, named by its partition and by the attempt: an attempt
+that runs beside or after another one never touches the archives whose offsets that one reported.
 
 The index sorts captures by reversed-host URL key into files of compressed blocks. The first level is one
 row for each file with its first and last key, the second a sparse directory at each file's end with
-the first key of each block. A lookup picks the file by key range, the block by binary search, and then
-reads the record's byte range.
+the first key of each block. A lookup picks the files by binary search in the broadcast first level (a row for each partition of
+the index, whatever the number of captures), the blocks by binary search in the directory, and then reads the record's byte range.
 
 A null html counts as empty, a null url has the empty key; rows that repeat the smallest id are all
 responses; a payload whose pages have no id is a response each time; an empty table gives no files and
@@ -27,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -96,18 +98,19 @@ def _packed(data: bytes) -> bytes:
 def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Writes archives of pages (page_id, url, html); returns a row for each capture. Payloads under least bytes are never revisits."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
+    # Ids go to Python as text: whole numbers beside nulls would become floats.
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     own = own.withColumn("sha", F.sha1("payload"))
     small = own.select("page_id", "sha", F.octet_length("payload").alias("size")).where(F.col("size") >= least)
     repeated = small.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    rows = own.join(fits(stored(repeated, "repeated"), 300_000), "sha", "left").select("page_id", "url", "payload", F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first")).alias("refers_to"))
+    rows = own.join(fits(stored(repeated, "repeated"), 300_000), "sha", "left").select(F.col("page_id").cast("string"), "url", "payload", F.when(F.col("page_id") == F.col("first"), None).otherwise(F.col("first")).cast("string").alias("refers_to"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, n, parts, size, made = TaskContext.get().partitionId(), 0, [], 0, []
+        k, n, parts, size, made = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", 0, [], 0, []
 
         def roll() -> pd.DataFrame:
             nonlocal n, parts, size, made
-            uri = f"{folder}/pages-{k:06d}-{n:04d}.warc.gz"
+            uri = f"{folder}/pages-{k}-{n:04d}.warc.gz"
             files.put(uri, parts)
             frame = pd.DataFrame(made, columns=["url_key", "page_id", "url", "record_type", "digest", "offset", "length"], dtype=object)
             n, parts, size, made = n + 1, [], 0, []
@@ -115,7 +118,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFr
 
         for frame in frames:
             for page_id, url, payload, refers_to in frame.itertuples(index=False, name=None):
-                page, back = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+                page, back = (None if x is None else int(x) for x in (page_id, refers_to))
                 payload = bytes(payload)
                 digest = digest_of(payload)
                 data = _packed(record(page, url, payload, digest, back))
@@ -151,7 +154,7 @@ def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
 
         for frame in frames:
             for row in frame.itertuples(index=False, name=None):
-                lines.append([None if x is not None and x != x else int(x) if i in (1, 6, 7) and x is not None else x for i, x in enumerate(row)])
+                lines.append([int(x) if i in (1, 6, 7) and x is not None else x for i, x in enumerate(row)])
                 last, count = row[0], count + 1
                 if len(lines) == BLOCK_LINES:
                     flush()
@@ -163,6 +166,7 @@ def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
             files.put(uri, [*parts, packed, struct.pack(_TAIL, at, len(packed), _MAGIC)])
             yield pd.DataFrame({"uri": [uri], "first_key": [directory[0][0]], "last_key": [last], "n_captures": [count], "n_blocks": [len(directory)]})
 
+    dealt = dealt.withColumn("page_id", F.col("page_id").cast("string"))
     return stored(dealt.mapInPandas(run, "uri string, first_key string, last_key string, n_captures long, n_blocks int"), "index-files")
 
 
@@ -177,31 +181,56 @@ def _block(uri: str, at: int, size: int) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(files.get(uri, at, size)).split(b"\n")]
 
 
-def captures_of(uri: str, key: str) -> list[list]:
-    """The captures of a key in one index file: binary search of its directory, then reads of the blocks that can hold it."""
+def captures_of(uri: str, keys: list[str]) -> Iterator[list]:
+    """The captures of sorted keys in one index file: for each a binary search of its directory, then reads of the blocks that can hold it."""
     directory = _directory(uri)
     firsts = [x[0] for x in directory]
-    found = []
-    for _, at, size in directory[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
-        found += [x for x in _block(uri, at, size) if x[0] == key]
-    return found
+    at, block = -1, []
+    for key in keys:
+        for k in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+            if k != at:
+                at, block = k, _block(uri, *directory[k][1:])
+            yield from block[bisect.bisect_left(block, key, key=itemgetter(0)) : bisect.bisect_right(block, key, key=itemgetter(0))]
 
 
 def _names() -> list[str]:
     return [c.split()[0] for c in _CAPTURE.split(", ")]
 
 
+#: A capture as Python returns it: its id as text.
+_LINE = _CAPTURE.replace("page_id long", "page_id string")
+
+
+def _rows(lines: list[list]) -> pd.DataFrame:
+    return pd.DataFrame([[x[0], None if x[1] is None else str(x[1]), *x[2:]] for x in lines], columns=_names(), dtype=object)
+
+
+def _with_ids(captures: DataFrame) -> DataFrame:
+    return captures.withColumn("page_id", F.col("page_id").cast("long"))
+
+
 def lookup(index: DataFrame, urls: DataFrame) -> DataFrame:
-    """The captures of each row of urls (a column url), through both levels of the index. Each index file is searched in a task of its own."""
-    keyed = urls.select("url").distinct().mapInPandas(lambda frames: (pd.DataFrame({"wanted": [url_key(u) for u in f["url"]]}) for f in frames), "wanted string").distinct()
-    pairs = index.join(keyed, (F.col("wanted") >= F.col("first_key")) & (F.col("wanted") <= F.col("last_key")))
+    """The captures of each url key of urls (a column url) once, through both levels of the index. Each index file is searched in a task of its own."""
+    files_of = sorted((r["first_key"], r["last_key"], r["uri"]) for r in index.select("first_key", "last_key", "uri").collect())  # one row a partition of the index
+    sent = index.sparkSession.sparkContext.broadcast(([x[0] for x in files_of], [x[1] for x in files_of], [x[2] for x in files_of]))
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"wanted": [url_key(u) for u in frame["url"]]})
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        firsts, lasts, uris = sent.value
+        for frame in frames:
+            found = [(uris[i], key) for key in frame["wanted"] for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            yield pd.DataFrame(found, columns=["uri", "wanted"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for uri, key in zip(frame["uri"], frame["wanted"], strict=True):
-                yield pd.DataFrame(captures_of(uri, key), columns=_names(), dtype=object)
+            for uri, own in frame.groupby("uri", sort=False):
+                yield _rows(list(captures_of(uri, own["wanted"].tolist())))
 
-    return pairs.select("uri", "wanted").repartition("uri").mapInPandas(run, _CAPTURE)
+    wanted = urls.select("url").distinct().mapInPandas(keyed, "wanted string").distinct().mapInPandas(placed, "uri string, wanted string")
+    return _with_ids(wanted.repartition(max(1, len(files_of)), "uri").sortWithinPartitions("uri", "wanted").mapInPandas(run, _LINE))
 
 
 def listed(index: DataFrame) -> DataFrame:
@@ -211,15 +240,15 @@ def listed(index: DataFrame) -> DataFrame:
         for frame in frames:
             for uri in frame["uri"]:
                 for _, at, size in _directory(uri):
-                    yield pd.DataFrame(_block(uri, at, size), columns=_names(), dtype=object)
+                    yield _rows(_block(uri, at, size))
 
     n = max(1, min(index.count(), 100_000))
-    return index.select("uri").repartition(n, "uri").mapInPandas(run, _CAPTURE)
+    return _with_ids(index.select("uri").repartition(n, "uri").mapInPandas(run, _LINE))
 
 
 def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of captures, read by byte range and checked: page_id, url, record_type, refers_to, payload_bytes, payload_digest (and payload, empty for revisits)."""
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
+    schema = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -234,10 +263,13 @@ def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
                         if response and (digest_of(payload) != said or len(payload) != int(headers["payload-length"])):
                             raise ValueError(f"a damaged record in {archive}")
                         page, back = headers["page-id"], headers.get("refers-to-page")
-                        made.append((int(page) if page else None, headers["warc-target-uri"], headers["warc-type"], int(back) if back else None, int(headers["payload-length"]), said) + ((payload,) if payloads else ()))
+                        made.append((page or None, headers["warc-target-uri"], headers["warc-type"], back or None, int(headers["payload-length"]), said) + ((payload,) if payloads else ()))
             yield pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
-    return captures.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInPandas(run, schema)
+    # With a number, or Spark would join these few small rows into one task that reads all payloads.
+    n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), captures.sparkSession.sparkContext.defaultParallelism)
+    dealt = captures.select("archive", "offset", "length").repartition(n, "archive").sortWithinPartitions("archive", "offset").mapInPandas(run, schema)
+    return dealt.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def _ranges(spans: list[tuple[int, int]], most: int = 8 << 20) -> Iterator[tuple[int, list[int]]]:

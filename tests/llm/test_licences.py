@@ -54,3 +54,13 @@ def test_base_phrases_equal_a_plain_search():
     n_words, n_base, first, last, base, *_ = own.scan([text])[0]
     assert (n_words, n_base, first, last, base) == (13, 4, 0, 8, ["cc-by", "gpl", "reserved"])
     assert MIN_MATCH > 3
+
+
+def test_chains_of_many_spans_and_many_chains_of_a_template():
+    halves = [(0, 100, 0, 30), (0, 131, 30, 30)]
+    strays = [(0, 101 + k // 10, 200 + 7 * k, 5) for k in range(90)]
+    best = licences.chains(halves + strays)[0][0]
+    assert best == (60, 100, 160)
+    template = dict(licences.TEMPLATES)["unlicense"]
+    row = licences.scanner(tuple(licences.TEMPLATES)).scan([" filler ".join([template] * 3)])[0]
+    assert [x[0] for x in row[7]].count("unlicense") == 3
