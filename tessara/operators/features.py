@@ -37,6 +37,8 @@ def saturday_proximity(calendar: DataFrame, normalize: bool = True) -> DataFrame
 
 def seasonal_naive_anchor(obs: DataFrame, lags: list[int], h: int | None = None) -> DataFrame:
     """anchor_<lag>: the value lag steps before; the first lag steps take the series' first value. A lag under h would leak."""
+    if not lags:
+        raise ValueError("no lags")
     steps = obs.agg(F.countDistinct("t")).first()[0]
     for lag in lags:
         if not 1 <= lag < steps:

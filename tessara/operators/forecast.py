@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -129,21 +130,17 @@ def evaluate(params: DataFrame, obs: DataFrame, at: DataFrame, edges: DataFrame,
 
     truth (group_id, t, h, node_id, truth): stored aggregates; else bottom targets are summed up. All seeds run in one job.
     """
-    rows = params.crossJoin(F.broadcast(params.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))
+    of_seed = F.broadcast(params.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed int"))  # a row a seed
+    rows = params.crossJoin(of_seed)
     drawn = sampling.sample_coherent(rows, edges, n, "seed", k, components=components)
     if truth is None:
         truth = hierarchy.aggregate(targets(obs, at, h), edges, "truth", ("group_id", "t", "h"))
     crps = scoring.crps_quantile if estimator == "quantile" else scoring.crps_mc
-    scored = _by_seed(crps, drawn, truth)
+    scored = crps(drawn, truth.crossJoin(of_seed), ["seed", "group_id", "t", "h", "node_id"])
     levels = scored.join(nodes.select("node_id", "level"), "node_id").groupingSets([["seed", "level"], ["seed"]], "seed", "level").agg(F.sum("crps").alias("crps_sum"), F.sum(F.abs("truth")).alias("abs_sum"))
     return levels.withColumn("level", F.coalesce("level", F.lit("Overall"))).withColumn("scrps", scoring._ratio(floor))
 
 
-def _by_seed(crps, drawn: DataFrame, truth: DataFrame) -> DataFrame:
-    seeds = drawn.select("seed").distinct()
-    return crps(drawn, truth.crossJoin(F.broadcast(seeds)), ["seed", "group_id", "t", "h", "node_id"])  # a row a seed
-
-
 def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n: int = 100, candidates: tuple[str, ...] = ("naive", "pooled"), scaler: str = "mean_floor", split: DataFrame | None = None, groups: DataFrame | None = None, k: int = 2, estimator: str = "quantile") -> DataFrame:
     """dataset run: split, fit the candidates, choose by validation, draw for the test windows, score each seed by level.
 
@@ -159,9 +156,11 @@ def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[i
     if "naive" in candidates:
         made["naive"] = lambda at: seasonal_naive(obs, train, at, lag, h)
     if "pooled" in candidates:
-        model = fit_pooled(design(obs, train, size, h, scaler))
-        fitted = predict_pooled(model, design(obs, train, size, h, scaler))
+        rows = design(obs, train, size, h, scaler).persist(StorageLevel.MEMORY_AND_DISK)  # read by the fit and for its residuals
+        model = fit_pooled(rows)
+        fitted = predict_pooled(model, rows)
         spread = factor_spread(fitted.select(*STEP, (F.col("label") - F.col("prediction")).alias("r")), [r["series_id"] for r in bottom.orderBy("series_no").collect()], k)
+        rows.unpersist()
         made["pooled"] = lambda at: predict_pooled(model, design(obs, at, size, h, scaler)).join(F.broadcast(spread), "series_id").select(*STEP, "mu", (F.col("sigma") * F.col("scale")).alias("sigma"), F.transform("loadings", lambda x: x * F.col("scale")).alias("loadings"))
     scores = []
     for name, f in made.items():
@@ -175,7 +174,7 @@ def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[i
 def run_panel(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n_val: int | None = None, n_test: int | None = None, **options) -> DataFrame:
     """run() over groups that share one calendar and hierarchy."""
     names = tables["obs"].select("group_id").distinct()
-    groups = names.withColumn("group_no", (F.crc32(F.col("group_id").cast("binary")) % 2_147_483_647).cast("int"))
+    groups = names.withColumn("group_no", F.row_number().over(Window.orderBy("group_id")) - 1)  # a row a group
     split = windows.panel_split(names, tables["calendar"], size, h, n_val or h, n_test or h)
     return run(tables, size, h, lag, seeds, split=split, groups=groups, **options)
 

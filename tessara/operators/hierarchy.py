@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _name(attributes: list[str]) -> Column:
+    if not attributes:
+        return F.lit("Total")
+    known = [F.when(F.col(a).isNull(), F.raise_error(F.lit(f"a null {a}")).cast("string")).otherwise(F.col(a).cast("string")) for a in attributes]
+    return known[0] if len(known) == 1 else F.concat_ws("-", *(F.regexp_replace(a, r"([\\-])", r"\\$1") for a in known))
+
+
 def build_hierarchy(bottom: DataFrame, levels: list[tuple[str, list[str]]]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of bottom (series_id and attributes). levels: (level, attributes) from the top down; no attributes: one node 'Total'.
 
     A node is named by its own attributes; the last level is the series themselves. Any set of attributes
-    may be a level, so crossed hierarchies need nothing more.
+    may be a level, so crossed hierarchies need nothing more. Of several attributes those with "-" or "\\" have these led by "\\"; a name
+    that two levels share is led by its level and "=" above the bottom, so that no two nodes are one. A null attribute raises.
     """
     parts = []
     for k, (level, attributes) in enumerate(levels):
-        name = F.concat_ws("-", *attributes) if attributes else F.lit("Total")
+        name = _name(attributes)
         parts.append(bottom.select(name.alias("node_id"), "series_id", F.lit(level).alias("level"), F.lit(k).alias("level_idx"), F.lit(False).alias("is_bottom")))
     parts.append(bottom.select(F.col("series_id").alias("node_id"), "series_id", F.lit("Bottom").alias("level"), F.lit(len(levels)).alias("level_idx"), F.lit(True).alias("is_bottom")))
     all_rows = parts[0]
     for p in parts[1:]:
         all_rows = all_rows.unionByName(p)
+    shared = all_rows.select("node_id", "level_idx").distinct().groupBy("node_id").count().where("count > 1").select("node_id", F.lit(True).alias("shared"))
+    led = F.when(F.col("shared") & ~F.col("is_bottom"), F.concat("level", F.lit("="), "node_id")).otherwise(F.col("node_id"))
+    all_rows = all_rows.join(shared, "node_id", "left").withColumn("node_id", led).drop("shared")
     nodes = all_rows.select("node_id", "level", "level_idx", "is_bottom").distinct()
     nodes = nodes.withColumn("node_idx", (F.row_number().over(Window.orderBy("level_idx", "node_id")) - 1).cast("int"))
     return nodes.select("node_id", "node_idx", "level", "level_idx", "is_bottom"), all_rows.select("node_id", "series_id", F.lit(1.0).alias("weight")).distinct()
@@ -69,7 +80,9 @@ def level_slices(nodes: DataFrame) -> DataFrame:
 
 def validate_levels(levels: DataFrame, n_nodes: int) -> DataFrame:
     """Slices (level, level_idx, start, stop) that don't follow on each other, are empty, or don't end at n_nodes."""
-    by = Window.orderBy("level_idx")
+    if levels.isEmpty():
+        raise ValueError("no levels")
+    by = Window.orderBy("level_idx")  # a row a level
     row = levels.withColumn("want", F.coalesce(F.lag("stop").over(by), F.lit(0))).withColumn("last", F.lead("stop").over(by).isNull())
     return row.where((F.col("start") != F.col("want")) | (F.col("stop") <= F.col("start")) | (F.col("last") & (F.col("stop") != n_nodes))).select("level", "start", "stop")
 

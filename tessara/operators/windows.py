@@ -19,15 +19,17 @@ def _valid(steps: int, size: int, h: int) -> None:
 
 
 def expand(obs: DataFrame, windows: DataFrame | None, size: int, h: int, steps: int | None = None) -> DataFrame:
-    """group_id, t, k, series_id, y. Each row goes to the windows that hold it by an explode, without a range join;
-    windows (group_id, t), if given, are joined on equal keys afterwards."""
+    """group_id, t, k, series_id, y, by an explode and without a range join: of the steps of windows (group_id, t), if given, which
+    then meet obs on equal keys; else of obs, each row going to all windows that hold it."""
     steps = n_steps(obs) if steps is None else steps
     _valid(steps, size, h)
+    if windows is not None:
+        held = windows.where(F.col("t").between(size, steps - h)).select("group_id", "t", F.explode(F.sequence(F.lit(-size), F.lit(h - 1))).alias("k")).distinct()
+        return held.withColumn("idx", F.col("t") + F.col("k")).join(obs.select("group_id", "series_id", F.col("t").alias("idx"), "y"), ["group_id", "idx"]).select("group_id", "t", "k", "series_id", "y")
     first = F.greatest(F.col("t") - (h - 1), F.lit(size))
     last = F.least(F.col("t") + size, F.lit(steps - h))
     rows = obs.where(first <= last).select("group_id", "series_id", F.explode(F.sequence(first, last)).alias("w"), F.col("t").alias("idx"), "y")
-    rows = rows.select("group_id", F.col("w").alias("t"), (F.col("idx") - F.col("w")).alias("k"), "series_id", "y")
-    return rows if windows is None else rows.join(windows.select("group_id", "t"), ["group_id", "t"], "left_semi")
+    return rows.select("group_id", F.col("w").alias("t"), (F.col("idx") - F.col("w")).alias("k"), "series_id", "y")
 
 
 def rolling_windows(obs: DataFrame, size: int, h: int) -> DataFrame:

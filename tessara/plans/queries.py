@@ -11,7 +11,8 @@ from ..functions import draws, links
 from ..operators import features, forecast, hierarchy, panel, sampling, scaling, scoring, windows
 from ..sources import facts as fact_sources
 from ..sources import hierarchy_csv
-from .domains import A_END, A_SQL, B_SQL, C_SQL, events_daily, hash_sql, month, normal_sql, one_group, orders_seg, parts_panel, read, until
+from ..sources import panel as panel_source
+from .domains import A_END, A_SQL, B_SQL, C_SQL, events_daily, hash_sql, month, normal_sql, one_group, orders_seg, parts_panel, read, scratch, until
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,6 +81,19 @@ def s3_name_contract(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy_csv.name_mismatches(names, nodes)
 
 
+@twin_by_date(f"WITH {A_SQL} SELECT series_id, ds, t, round(y, 2) AS y FROM obs WHERE ds <= DATE '2000-12-31'")
+def s1_s4_read_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """A wide series table and its matrix, written as CSV files and read up to an end date."""
+    a, path = orders_seg(spark, d), scratch(spark, "hierarchy")
+    nodes = [r["node_id"] for r in a["nodes"].orderBy("node_idx").collect()]
+    names = [r["series_id"] for r in a["series"].orderBy("series_no").collect()]
+    hierarchy.aggregate(a["obs"], a["edges"]).join(a["calendar"], "t").groupBy("ds").pivot("node_id", nodes).agg(F.first("y")).orderBy("ds").coalesce(1).write.csv(f"{path}/data", header=True)
+    matrix = a["edges"].groupBy("node_id").pivot("series_id", names).agg(F.first("weight")).na.fill(0.0)
+    matrix.join(a["nodes"].select("node_id", "node_idx"), "node_id").orderBy("node_idx").drop("node_idx").coalesce(1).write.csv(f"{path}/matrix", header=True)
+    levels = [(r["level"], r["start"], r["stop"]) for r in hierarchy.level_slices(a["nodes"]).orderBy("level_idx").collect()]
+    return rounded(hierarchy_csv.read_hierarchy(spark, f"{path}/data", f"{path}/matrix", levels, "2000-12-31").obs.drop("group_id"), 2)
+
+
 @twin_by_date("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1")
 def s4_truncate(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").where(until("o_orderdate", A_END)).groupBy(month("o_orderdate").alias("ds")).agg(F.count("*").alias("n"))
@@ -87,8 +101,10 @@ def s4_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 @twin("SELECT l_shipdate, CAST(l_suppkey AS INTEGER) AS store, CAST(l_partkey AS INTEGER) AS item, l_quantity AS sales, l_discount >= 0.05 AS promo FROM lineitem")
 def s5_fact_log(spark: SparkSession, d: str) -> DataFrame:
-    """Five projected columns with pinned types."""
-    return read(spark, d, "lineitem").select("l_shipdate", F.col("l_suppkey").cast("int").alias("store"), F.col("l_partkey").cast("int").alias("item"), F.col("l_quantity").alias("sales"), (F.col("l_discount") >= 0.05).alias("promo"))
+    """Five columns with pinned types of a CSV log that has more."""
+    path = scratch(spark, "facts")
+    read(spark, d, "lineitem").select("l_tax", "l_shipdate", F.col("l_suppkey").alias("store"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("sales"), (F.col("l_discount") >= 0.05).alias("promo")).write.csv(path, header=True)
+    return fact_sources.read_facts(spark, path, "l_shipdate TIMESTAMP, store INT, item INT, sales DOUBLE, promo BOOLEAN", ["l_shipdate", "store", "item", "sales", "promo"])
 
 
 @twin_by_date(f"WITH {C_SQL} SELECT series_id, ds, t, y FROM obs")
@@ -102,10 +118,23 @@ def s6_unpivot_days(spark: SparkSession, d: str) -> DataFrame:
 
 @twin("SELECT n_name, r_name, count(s_suppkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def s7_dimensions(spark: SparkSession, d: str) -> DataFrame:
-    dims = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Dimensions read from CSV files with pinned types."""
+    path = scratch(spark, "dimensions")
+    for name in ("nation", "region"):
+        read(spark, d, name).write.csv(f"{path}/{name}", header=True)
+    nation = fact_sources.read_csv(spark, f"{path}/nation", "n_nationkey INT, n_name STRING, n_regionkey INT")
+    dims = nation.join(fact_sources.read_csv(spark, f"{path}/region", "r_regionkey INT, r_name STRING"), F.col("n_regionkey") == F.col("r_regionkey"))
     return dims.join(read(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", "r_name").agg(F.count("s_suppkey").alias("n"))
 
 
+@twin_by_date(f"WITH {B_SQL} SELECT group_id, series_id, ds, t, y FROM obs")
+def s8_s10_panel_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A panel written as tables and opened again."""
+    path = scratch(spark, "panel")
+    panel_source.write_panel(parts_panel(spark, d), path)
+    return panel_source.read_panel(spark, path)["obs"].select("group_id", "series_id", "ds", "t", "y")
+
+
 # Panels
 
 
@@ -738,6 +767,13 @@ def m14_results_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.results_table(_seeded(spark, d)), 6)
 
 
+@twin(f"SELECT level, round(avg(scrps), 6) AS mean, round(stddev_pop(scrps), 6) AS std FROM ({_BY_NATION}) GROUP BY level")
+def s11_written_results(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of scores, written as CSV and read again."""
+    table, _ = panel_source.write_results(_seeded(spark, d), scratch(spark, "results"))
+    return rounded(spark.read.csv(table, header=True, inferSchema=True).select("level", "mean", "std"), 6)
+
+
 @twin(f"WITH s AS ({_BY_NATION}) SELECT 'all' AS dataset, level, round(avg(scrps), 6) AS mean, count(*) AS n FROM s GROUP BY level UNION ALL SELECT 'even', level, round(avg(scrps), 6), count(*) FROM s WHERE seed % 2 = 0 GROUP BY level")
 def m15_combined_table(spark: SparkSession, d: str) -> DataFrame:
     scores = _seeded(spark, d)
