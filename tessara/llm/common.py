@@ -55,10 +55,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder is set.
+    Only on one machine without that setting, as in tests, a temporary folder is set; a cluster without it raises.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
         conf = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -96,8 +98,8 @@ def text_key() -> Column:
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id and text_key are not in keys."""
-    gone = keys.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    at = F.col("doc_id").eqNullSafe(F.col("gone_id")) & text_key().eqNullSafe(F.col("gone_key"))
+    gone = keys.select(F.col("doc_id").alias("_gone_doc_id"), F.col("text_key").alias("_gone_text_key")).distinct()
+    at = F.col("doc_id").eqNullSafe(F.col("_gone_doc_id")) & text_key().eqNullSafe(F.col("_gone_text_key"))
     return docs.join(gone, at, "left_anti")
 
 
