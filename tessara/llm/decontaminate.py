@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import fits, let, plain_words, stored
 
-SIZE = 10
+SIZE, SLACK = 10, 3
 
 
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -99,18 +99,46 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: tu
     return rows.select("doc_id", *keep, "n_words", "matches", _covered(F.col("matches")).alias("n_hit"), items_of.alias("item_ids"))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 3, size: int = SIZE) -> DataFrame:
-    """doc_id, item_id, phrase, start: where both rarest terms of a window stand, at most slack words off their distance in it.
+def neighbours(postings: DataFrame, rare: DataFrame, slack: int) -> DataFrame:
+    """doc_id and found, array of (start, length, phrase, items): places of a window's rarest term with its second rarest at most 2 * slack words off its distance.
 
-    Posting lists are cut into spans of slack + size words, and each span meets only itself and its two neighbours.
+    Places are cut into cells of that width; the second terms' lie in their own and both next ones, so cells meet by equality.
+    """
+    width = 2 * slack + 1
+    place = F.col("position") - F.col("place")
+    lead = postings.join(fits(rare.where("nth = 1")), "term").select("doc_id", place.alias("start"), "phrase", "length", "items").withColumn("cell", F.floor(F.col("start") / width))
+    second = postings.join(fits(rare.where("nth = 2").select("phrase", "term", "place")), "term").select(F.col("doc_id").alias("other_id"), place.alias("other"), F.col("phrase").alias("other_phrase"))
+    second = second.withColumn("other_cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("other") / width) + k)))
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("phrase") == F.col("other_phrase")) & (F.col("cell") == F.col("other_cell"))
+    both = lead.join(second, same & (F.abs(F.col("start") - F.col("other")) <= 2 * slack), "left_semi").distinct()
+    return both.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "phrase", "items")).alias("found"))
+
+
+def _near(words: Column, found: Column, slack: int) -> Column:
+    """The places at most slack words from those found at which all words of the window stand near."""
+    shifts = F.array(*[F.lit(d) for d in range(-slack, slack + 1)])
+
+    def starts(c: Column) -> Column:
+        stands = lambda terms, s: F.forall(F.sequence(F.lit(0), c["length"] - 1), lambda k: F.exists(shifts, lambda d: F.coalesce(F.get(words, s + k + d) == F.get(terms, k), F.lit(False))))
+        tried = F.filter(F.transform(shifts, lambda d: c["start"] + d), lambda s: s >= 0)
+        own = let(F.split(c["phrase"], " "), lambda terms: F.filter(tried, lambda s: stands(terms, s)))
+        return F.transform(own, lambda s: F.struct(s.alias("start"), c["length"].alias("length"), c["phrase"].alias("phrase"), c["items"].alias("items")))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, starts))))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = SLACK, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For every document: doc_id, the columns of keep, near (array of start, length, phrase, items) and near_ids (item_ids as sorted strings).
+
+    A window is near a start (from 0) if each of its words stands in the document at most slack words off its place from
+    there, so words may be put in, swapped or, where they stand nearby anyway, left out. Exact passages are near as well.
     """
     windows = stored(item_windows(items, size), "windows")
     rare = stored(anchors(docs, windows), "anchors")
     postings = stored(occurrences(docs, rare), "postings")
-    span = slack + 1
-    lead = postings.join(fits(rare.where("nth = 1")), "term").select("doc_id", (F.col("position") - F.col("place")).alias("start"), "phrase", "items")
-    second = postings.join(fits(rare.where("nth = 2").select("phrase", "term", "place")), "term").select("doc_id", (F.col("position") - F.col("place")).alias("other"), "phrase")
-    lead = lead.withColumn("cell", F.floor(F.col("start") / span))
-    second = second.withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("other") / span) + k)))
-    near = lead.join(second, ["doc_id", "phrase", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slack)
-    return near.select("doc_id", F.explode("items").alias("item_id"), "phrase", "start").distinct()
+    found = stored(neighbours(postings, rare, slack), "neighbours")
+    own = docs.select("doc_id", *keep, plain_words(F.col("text")).alias("words"))
+    none = F.array().cast(found.schema["found"].dataType)
+    joined = own.join(fits(found.withColumnRenamed("doc_id", "found_id"), 50_000), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    rows = joined.select("doc_id", *keep, let(F.col("words"), lambda w: _near(w, F.coalesce("found", none), slack)).alias("near"))
+    return rows.withColumn("near_ids", F.array_sort(F.array_distinct(F.flatten(F.transform("near", lambda m: m["items"])))))

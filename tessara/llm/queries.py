@@ -28,6 +28,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which all words of a benchmark window stand near their places."""
+    rows = decontaminate.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("near_ids", ",").cast("binary"), 256)
+    starts = F.array_distinct(F.transform("near", lambda m: m["start"]))
+    return rows.select("doc_id", F.size("near_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), F.size(starts).cast("long").alias("n_starts"), F.array_min(starts).cast("long").alias("first_start"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licences.scan(table(spark, sf_dir, "documents"))
     joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
@@ -92,6 +100,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM words_of d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
 """
 
+OP3_PROXIMITY_SQL = r"""
+WITH words_of AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0),
+owned AS (SELECT DISTINCT item_id, w[i:i + 9] AS win FROM item_starts),
+windows AS (SELECT DISTINCT win FROM owned),
+placed AS (SELECT win, unnest(win) AS term, unnest(range(len(win))) AS k FROM windows),
+spots AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM words_of),
+counts AS (SELECT term, count(*) AS n FROM spots GROUP BY term),
+leads AS (SELECT win, term, k FROM placed LEFT JOIN counts USING (term) QUALIFY row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), k) = 1),
+tried AS (SELECT doc_id, win, unnest(range(pos - k - 3, pos - k + 4)) AS s FROM spots JOIN leads USING (term)),
+near AS (SELECT t.doc_id, t.win, t.s FROM (SELECT DISTINCT * FROM tried WHERE s >= 0) t JOIN words_of d ON t.doc_id = d.doc_id
+         WHERE len(list_filter(range(len(t.win)), lambda k: list_contains(d.w[greatest(t.s + k - 2, 1):t.s + k + 4], t.win[k + 1]))) = len(t.win)),
+said AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM near JOIN owned USING (win)) GROUP BY doc_id),
+starts AS (SELECT doc_id, count(DISTINCT s) AS n, min(s) AS first_start FROM near GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, CAST(coalesce(n, 0) AS BIGINT) AS n_starts, CAST(first_start AS BIGINT) AS first_start
+FROM documents d LEFT JOIN said ON d.doc_id = said.doc_id LEFT JOIN starts ON d.doc_id = starts.doc_id
+"""
+
+#: Five hexadecimal digits of the digest are four digits of base 32.
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
 _OP6_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -124,4 +162,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL}
+    return {"op3_decontamination": OP3_SQL, "op3_proximity": OP3_PROXIMITY_SQL, "op10_warc": OP10_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL}

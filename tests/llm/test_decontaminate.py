@@ -66,12 +66,49 @@ def test_rows_without_an_id_and_empty_tables(spark):
     assert [r.n_hit for r in decontaminate.phrase_matches(docs, items.limit(0)).collect()] == [0, 0]
 
 
+def near_plain(docs, items, slack, size=10):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+    out = []
+    for doc, text in docs:
+        w = words(text)
+        found = {(s, " ".join(x)) for x in windows for s in range(len(w) + slack) if all(t in w[max(0, s + k - slack) : s + k + slack + 1] for k, t in enumerate(x))}
+        out.append((doc, sorted(found), sorted(set().union(*[windows[tuple(x.split())] for _, x in found]))))
+    return out
+
+
 def test_proximity_finds_passages_with_words_put_in(spark):
     item = "zero one two three four five six seven eight nine"
-    broken = item.split()
+    broken, gap = item.split(), item.split()
     broken[5:5] = ["extra", "words"]
-    docs = spark.createDataFrame([(1, item), (2, " ".join(broken)), (3, "zero of other text and nine")], "doc_id long, text string")
+    gap[5:5] = ["far"] * 9
+    docs = spark.createDataFrame([(1, item), (2, " ".join(broken)), (3, "zero of other text and nine"), (4, " ".join(gap)), (5, "one zero")], "doc_id long, text string")
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
-    near = {(r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs, items, slack=2).collect()}
-    assert (1, "7") in near and (2, "7") in near and (3, "7") not in near
+    near = {r.doc_id for r in decontaminate.proximity_matches(docs, items, slack=2).where("size(near_ids) > 0").collect()}
+    assert near == {1, 2}
     assert {r.doc_id for r in decontaminate.phrase_matches(docs, items).where("n_hit > 0").collect()} == {1}
+
+
+def test_proximity_equals_a_search_of_every_start(spark):
+    docs, items = case(9)
+    draw = random.Random(3)
+    docs = docs[:50] + [(i, t) for i, t in docs[60:] if i != 94]
+    for i in range(200, 230):  # passages with words put in or swapped
+        own = words(draw.choice(items[:20])[1])
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(own))
+            own[at:at] = draw.choices(["w1", "x"], k=1) if draw.random() < 0.5 else [own.pop(draw.randrange(len(own)))]
+        docs.append((i, " ".join(draw.choices(["w3", "y"], k=draw.randrange(5)) + own)))
+    docs += [(None, items[0][1]), (None, "clean"), (None, None), docs[-1]]
+    left = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, near int").repartition(4)
+    right = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, words string")
+    rows = decontaminate.proximity_matches(left, right, slack=2).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = sorted(((r.doc_id, sorted({(m.start, m.phrase) for m in r.near}), list(r.near_ids)) for r in rows), key=key)
+    assert got == sorted(near_plain(docs, items, 2), key=key)
+    assert sum(bool(r.near_ids) for r in rows) > 20
+    assert decontaminate.proximity_matches(left.limit(0), right).collect() == []
+    assert not any(r.near_ids for r in decontaminate.proximity_matches(left, right.limit(0)).collect())
