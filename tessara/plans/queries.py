@@ -367,7 +367,12 @@ def w7_split_sizes(spark: SparkSession, d: str) -> DataFrame:
     return windows.split_sizes(w6_panel_split(spark, d))
 
 
-@twin()
+#: A text's CRC-32 bit by bit, for one-byte characters.
+_CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(group_id) + 1), lambda i: [ord(substr(group_id, i::BIGINT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+_VAL_SQL = f"SELECT group_id, t, split, {_CRC_SQL} AS g FROM r WHERE split = 'val'"
+
+
+@twin(f"{_PANEL_SPLIT_SQL} SELECT group_id, t, split FROM ({hash_sql(_VAL_SQL, 'draw', ['3', 'g % 2147483647', 't'], '0')}) ORDER BY draw, group_id, t LIMIT 16")
 def w8_subsample(spark: SparkSession, d: str) -> DataFrame:
     return windows.subsample(w6_panel_split(spark, d).where("split = 'val'"), 16, 3)
 
