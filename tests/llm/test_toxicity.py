@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -102,3 +104,40 @@ def test_long_words_give_pieces(spark):
     joined = spark.createDataFrame([(1, "x".join(["zorgly", "blarghs", "grumpfel", "snotrag"] * 3), 0.5)], docs.schema)
     (got,) = toxicity.score(joined, toxicity.fit(docs, labels)).collect()
     assert got.score >= 0.5 and got.evidence[0].toxic == 1
+
+
+def test_scores_equal_a_plain_count_of_votes(spark):
+    docs, labels, truth = corpus(spark, 160)
+    known = {i: y for i, y in truth.items() if i < 110}
+    index = toxicity.fit(docs, labels.where("doc_id < 110"))
+    bags = {r.doc_id: Counter(f for w in r.text.encode().split() for f in toxicity.features_of(w)) for r in docs.collect()}
+    ones, total = sum(known.values()), len(known)
+    df = {y: Counter(f for i, own in known.items() if own == y for f in bags[i]) for y in (0, 1)}
+
+    def weight(f):
+        a, b = df[1][f], df[0][f]
+        chi = total * (a * (total - ones) - b * ones) ** 2 / (ones * (total - ones) * (a + b) * max(1, total - a - b))
+        lift = (a + 0.5) / (ones + 1) / ((b + 0.5) / (total - ones + 1))
+        return (math.log((1 + total) / (1 + a + b)) + 1) * (1 + math.log(lift) ** 2 * chi / (chi + toxicity.CHI))
+
+    weights = {f: weight(f) for f in set(df[0]) | set(df[1])}
+
+    def vector(i):
+        own = {f: (1 + math.log(n)) * weights[f] for f, n in bags[i].items() if f in weights}
+        size = math.sqrt(sum(x * x for x in own.values()))
+        return {f: x / size for f, x in own.items()}
+
+    vectors = {i: vector(i) for i in bags}
+
+    def vote(i, skip=None):
+        near = sorted(((sum(x * vectors[j].get(f, 0) for f, x in vectors[i].items()), j) for j in known if j != skip), reverse=True)[: toxicity.K]
+        one, every = (sum(c * c for c, j in near if c > 0 and known[j] in kinds) for kinds in ((1,), (0, 1)))
+        p = min(max((one + 0.05 * ones / total) / (every + 0.05), 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    slope, offset = index.calibration
+    left_out = [(vote(i, skip=i), y) for i, y in known.items()]
+    at = [(1 / (1 + math.exp(-slope * v - offset)) - y, v) for v, y in left_out]
+    assert slope > 0.05 and abs(sum(e * v for e, v in at) + slope - 1) < 0.05 and abs(sum(e for e, _ in at) + offset) < 0.05  # the fit's gradient
+    for r in toxicity.score(docs, index).collect():
+        assert math.isclose(r.score, 1 / (1 + math.exp(-slope * vote(r.doc_id) - offset)), abs_tol=2e-3), r.doc_id
