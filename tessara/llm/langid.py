@@ -43,7 +43,7 @@ def _keys(flat: np.ndarray, order: int) -> np.ndarray:
     """For each byte: it and the order bytes before it, in one number."""
     key = np.zeros(len(flat), np.int64)
     for back in range(order, -1, -1):
-        key = (key << 8) | np.r_[np.zeros(min(back, len(flat)), np.int64), flat[: len(flat) - back]]
+        key = (key << 8) | np.r_[np.zeros(min(back, len(flat)), np.int64), flat[: max(0, len(flat) - back)]]
     return key
 
 
@@ -180,7 +180,8 @@ class Predictor:
 def predict(docs: DataFrame, model: Model, step: int = 1024) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and bits (code length under the prediction) of each text.
 
-    score: the prediction's share of 2 ** -(length / sqrt(words)) over all languages.
+    score: the prediction's share of 2 ** -(length / sqrt(words)) over all languages. A text's words are not
+    independent, so their bits are not all taken as evidence: undivided lengths would give nearly every text 0 or 1.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -54,3 +54,15 @@ def test_the_sample_is_bounded_and_even(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id) AS text", "CASE WHEN id % 10 = 0 THEN 'a' ELSE 'b' END AS lang")
     n = {r.lang: r["count"] for r in langid.sample(docs, 100).groupBy("lang").count().collect()}
     assert n["b"] == 100 and n["a"] == 100
+
+
+def test_scores_equal_plain_code_lengths(spark):
+    train = spark.createDataFrame([(1, TEXTS["xx"], "xx"), (2, TEXTS["yy"], "yy")], "doc_id long, text string, lang string")
+    texts = ["Then, the others", "eine zq!", "keiner thank", "a"]
+    rows = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), langid.fit(train)).collect()
+    for r in rows:
+        own = words_of(texts[r.doc_id])
+        bits = {k: sum(plain_bits(words_of(v), w, langid.ORDER) for w in own) for k, v in TEXTS.items()}
+        best = min(bits, key=bits.get)
+        share = 1 / sum(2 ** ((bits[best] - b) / math.sqrt(len(own))) for b in bits.values())
+        assert r.lang_pred == best and math.isclose(r.bits, bits[best], abs_tol=1e-2) and math.isclose(r.score, share, abs_tol=1e-3)
