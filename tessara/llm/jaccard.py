@@ -38,6 +38,8 @@ N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 PERMS, ROWS, STEP, CELL = 96, 4, 16, 512
 #: Hashes of n-grams that a cell's block may hold in all, and words whose hashes a task keeps.
 BLOCK_GRAMS, KEPT_WORDS = 4_000_000, 1_000_000
+#: Rows of one key that a task of a join by groups gets, and how many keys with more of them are known to all tasks.
+HUB, HUBS = 256, 1000
 
 _draw = np.random.RandomState(20240607)
 _FACTORS = (_draw.randint(0, 1 << 31, PERMS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -166,6 +168,19 @@ def _dealt(df: DataFrame, group: str, blocks: str, spread: str) -> DataFrame:
     return own.select("*", F.inline(other)).withColumn("first", F.col("block") == F.col("i")).drop("block", blocks).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "cls")
 
 
+def by_group(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts (one row a key; n: how many of rows have it, dropped), the rows of a large key dealt over tasks.
+
+    The HUBS keys with most rows are told to all tasks; each of the others has less than one row in HUBS.
+    """
+    large = facts.where(F.col("n") > HUB).orderBy(F.desc("n"), key).limit(HUBS).select(key, F.ceil(F.col("n") / HUB).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    others = [c for c in rows.columns if c != key]
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("_part", F.pmod(F.xxhash64(*others), parts)).drop("_parts")
+    copied = facts.drop("n").join(F.broadcast(large), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, text_key, cls (digest of the n-gram set; null without words), n_grams, sig."""
 
@@ -222,8 +237,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(pairs: DataFrame, lower: bool) -> DataFrame:
         """pairs: (u, v), every neighbour v of u. Neighbours are hung on the smallest one."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hung = pairs.join(least, "u")
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        hung = by_group(pairs, least, "u")
         if lower:
             made = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         else:
@@ -305,8 +320,8 @@ def verified(docs: DataFrame, members: DataFrame, n: int = N, threshold: float =
                 out += [(names[k], names[r], None, None) for k, r in forest(len(cell), a, b)]
             yield pd.DataFrame(out, columns=["a", "b", "classes", "documents"], dtype=object)
 
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("blocks"))
-    own = stored(members.join(sizes, "group").select("cls", "rep", "copies", "group", "blocks"), "members")
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("blocks"), F.count("*").alias("n"))
+    own = stored(by_group(members, sizes, "group").select("cls", "rep", "copies", "group", "blocks"), "members")
     texts = docs.select("doc_id", "text").join(fits(own), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "copies", "group", "blocks", "text")
     with_grams = texts.mapInPandas(grams, "cls binary, copies long, group binary, blocks long, grams binary")
     return stored(_dealt(with_grams, "group", "blocks", "cls").mapInPandas(check, "a binary, b binary, classes long, documents long"), "links")
@@ -326,9 +341,9 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: f
     links = verified(docs, members, n, threshold)
     counted = links.where(F.col("b").isNull()).groupBy(F.col("a").alias("cls")).agg(F.sum("classes").alias("n_classes"), F.sum("documents").alias("linked"))
     roots = components(links.where(F.col("b").isNotNull()).select("a", "b")).select(F.col("node").alias("cls"), "root")
-    linked = classes.select("cls", "rep", "copies").join(roots, "cls").join(counted, "cls")
-    named = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    found = linked.join(named, "root").select("cls", F.col("root").alias("group"), "class_id", F.col("rep").alias("copy_id"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_classes")
+    linked = stored(classes.select("cls", "rep", "copies").join(roots, "cls").join(counted, "cls"), "linked")
+    named = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    found = by_group(linked, named, "root").select("cls", F.col("root").alias("group"), "class_id", F.col("rep").alias("copy_id"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_classes")
     copied = classes.where("copies > 1").join(found.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("group"), F.col("rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.col("copies") - 1).alias("n_links"), F.lit(0).cast("long").alias("n_classes"))
     known_rows = known.select("doc_id", "text_key", "cls", "n_grams").join(fits(stored(found.unionByName(copied), "found"), 100_000), "cls", "left")
     own = lambda c: F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
@@ -341,11 +356,11 @@ def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     Rows of one id and one text are aggregated in the tasks before they meet.
     """
-    keys = rows.where(F.col("group").isNotNull()).groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    keys = rows.where(F.col("group").isNotNull()).groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("times"))
     keys = stored(keys.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")), "keys")
-    first = keys.groupBy("group").agg(F.min("order").alias("first"))
-    judged = keys.join(first, "group").select("doc_id", "text_key", "n", (F.col("order") == F.col("first")).alias("stays"))
-    gone = stored(judged.where("NOT stays OR n > 1").select("doc_id", "text_key", "stays"), "gone")
+    first = keys.groupBy("group").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    judged = by_group(keys, first, "group").select("doc_id", "text_key", "times", (F.col("order") == F.col("first")).alias("stays"))
+    gone = stored(judged.where("NOT stays OR times > 1").select("doc_id", "text_key", "stays"), "gone")
     kept, repeated = without(docs, gone), gone.where("stays")
     if not repeated.limit(1).count():
         return kept

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessara.llm import jaccard
 
@@ -98,3 +99,18 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     got = Counter((r.doc_id, r.text) for r in kept.collect())
     one = got.pop((None, b), 0) + got.pop((None, b + " more"), 0)
     assert one == 1 and got == Counter([(1, a), (2, c), (None, d), (3, e), (None, None), (4, "")])
+
+
+def test_rows_of_large_keys_are_dealt_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB", 4)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    rows = [(f"k{i % 3}" if i < 200 else f"s{i}", i) for i in range(230)]
+    df = spark.createDataFrame(rows, "key string, id long")
+    facts = df.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    first = {}
+    for k, i in rows:
+        first.setdefault(k, i)
+    assert sorted(map(tuple, jaccard.by_group(df, facts, "key").select("key", "id", "least").collect())) == sorted((k, i, first[k]) for k, i in rows)
+    star = [(f"{i:04}".encode(), b"0000") for i in range(1, 150)] + [(f"{i + 1:04}".encode(), f"{i:04}".encode()) for i in range(200, 230)]
+    found = {bytes(r.node): bytes(r.root) for r in jaccard.components(spark.createDataFrame(star, "a binary, b binary")).collect()}
+    assert found == {f"{i:04}".encode(): b"0000" if i < 200 else b"0200" for i in [*range(150), *range(200, 231)]}
