@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, licences, lm, quality, tokens, toxicity, warc
-from .common import remainder, stored, table, tokenizer_path
+from . import bpe, counts, decontaminate, jaccard, langid, licences, lm, quality, tokens, toxicity, warc
+from .common import remainder, shared_dir, stored, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), shared_dir(spark, "token-counts"))
+
+
 OP3_SQL = r"""
 WITH words_of AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
