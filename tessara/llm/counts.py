@@ -126,7 +126,9 @@ def count(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> DataFram
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     keys = stored(docs.select("doc_id", size, _digest(drops_space_and_case(path))), "token-keys")
     version = append_misses(docs, path, cache, keys)
-    rows = keys.join(cached(docs.sparkSession, cache, version), "digest")
+    # Of a table of its own, so that both sides of the join are plain and Spark can split a digest with many rows.
+    known = stored(cached(docs.sparkSession, cache, version).join(keys.select("digest").distinct(), "digest", "left_semi"), "token-counts")
+    rows = keys.join(known, "digest")
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

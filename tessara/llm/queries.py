@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, decontaminate, jaccard, langid, licences, lm, quality, tokens, toxicity, warc
+from . import bpe, counts, decontaminate, jaccard, langid, licences, lm, negatives, quality, tokens, toxicity, warc
 from .common import remainder, shared_dir, stored, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), shared_dir(spark, "token-counts"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 OP3_SQL = r"""
 WITH words_of AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -125,6 +131,17 @@ SELECT d.doc_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesc
 FROM documents d LEFT JOIN said ON d.doc_id = said.doc_id LEFT JOIN starts ON d.doc_id = starts.doc_id
 """
 
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * r.q[i])), 0) AS BIGINT) AS score
+      FROM e a JOIN e r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.q) = len(r.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+"""
+
 #: Five hexadecimal digits of the digest are four digits of base 32.
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
@@ -166,4 +183,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op3_proximity": OP3_PROXIMITY_SQL, "op10_warc": OP10_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL}
+    return {"op3_decontamination": OP3_SQL, "op3_proximity": OP3_PROXIMITY_SQL, "op10_warc": OP10_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL, "op12_hard_negatives": OP12_SQL}
