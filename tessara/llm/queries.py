@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, decontaminate, jaccard, langid, licences, lm, negatives, quality, tokens, toxicity, warc
+from . import bpe, counts, decontaminate, jaccard, langid, licences, lm, negatives, quality, spelling, tokens, toxicity, warc
 from .common import remainder, shared_dir, stored, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    occurrences = docs.select("doc_id", F.explode(spelling.runs(F.col("text"))).alias("run")).select(spelling.dropped(F.col("run"), F.col("doc_id")).alias("word"))
+    return spelling.groups(spelling.words(occurrences))
+
+
 OP3_SQL = r"""
 WITH words_of AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -139,7 +145,7 @@ s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(co
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
 #: Five hexadecimal digits of the digest are four digits of base 32.
