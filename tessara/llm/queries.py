@@ -148,6 +148,24 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+#: CRC-32 goes byte by byte through a table made bit by bit; words that differ in one place share the rest of it.
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+own AS (SELECT run, count(*) AS k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS said FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT *, flatten(list_transform(range(1, length(said) + 1), lambda i: CASE WHEN ord(substr(said, i, 1)) < 128 THEN [ord(substr(said, i, 1))::BIGINT] ELSE [192 + (ord(substr(said, i, 1)) >> 6)::BIGINT, 128 + (ord(substr(said, i, 1)) & 63)::BIGINT] END)) AS b FROM own),
+hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295) AS h FROM coded, crc_table),
+dropped AS (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM dropped WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+indels AS (SELECT DISTINCT cuts.word AS a, words.word AS b FROM cuts JOIN words ON cut = words.word),
+near AS (SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word UNION SELECT a, b FROM indels UNION SELECT b, a FROM indels),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {'less': -n, 'word': b}) AS b, max(n) AS best_n FROM near JOIN words ON words.word = b GROUP BY a),
+forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN b END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM words LEFT JOIN best ON words.word = best.word),
+led AS (SELECT word, word AS root FROM forms WHERE form IS NULL UNION ALL SELECT f.word, led.root FROM forms f JOIN led ON f.form = led.word)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN led ON f.word = led.word
+"""
+
 #: Five hexadecimal digits of the digest are four digits of base 32.
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
@@ -189,4 +207,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op3_proximity": OP3_PROXIMITY_SQL, "op10_warc": OP10_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op3_decontamination": OP3_SQL, "op3_proximity": OP3_PROXIMITY_SQL, "op10_warc": OP10_SQL, "op6_quality_rules": OP6_SQL, "op6_rule_ablations": OP6_ABLATIONS_SQL, "op12_hard_negatives": OP12_SQL, "op13_spelling_groups": OP13_SQL}

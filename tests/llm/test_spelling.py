@@ -2,10 +2,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessara.llm import spelling
-from tessara.llm.queries import op13_spelling_groups
+from tessara.llm.queries import OP13_SQL, op13_spelling_groups
 
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -100,3 +101,14 @@ def test_nulls_long_texts_repeats_short_words_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert spelling.groups(spark.createDataFrame([], "word string, n long")).collect() == []
+
+
+def test_query_equals_its_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    cursor = con.execute(OP13_SQL)
+    names = [c[0] for c in cursor.description]
+    got = op13_spelling_groups(spark, d)
+    first = lambda r: r[0]
+    assert got.columns == names and sorted(map(tuple, got.collect()), key=first) == sorted(cursor.fetchall(), key=first)
