@@ -86,17 +86,26 @@ def dimension_dummies(dimension: DataFrame, key: str, column: str) -> DataFrame:
     return _one_hot(rows, rows.select("series_id").distinct())
 
 
-KINDS = {"static": ["series_id"], "future_shared": ["t"], "future_series": ["group_id", "series_id", "t"]}
+KINDS = {"static": ["series_id"], "static_names": ["series_id", "feature", "value"], "future_shared": ["t"], "future_series": ["group_id", "series_id", "t"], "hist": ["group_id", "series_id", "t"]}
 
 
 def build_features(blocks: list[tuple[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Blocks of one kind joined on their keys, columns in the given order. blocks: (kind, frame); a frame without its kind's keys raises."""
+    """Blocks of one kind joined on their keys, columns in the given order. blocks: (kind, frame); a frame without its kind's keys raises.
+
+    Static one-hot rows (series_id, feature, value) stay long: those of all blocks are together under static_names.
+    """
     out: dict[str, DataFrame] = {}
     for kind, frame in blocks:
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}")
         if missing := set(KINDS[kind]) - set(frame.columns):
             raise ValueError(f"a {kind} block needs {sorted(missing)}")
+        if kind == "static" and set(frame.columns) == set(KINDS["static_names"]):
+            kind = "static_names"
+        if kind == "static_names":
+            frame = frame.select(*KINDS[kind])
+            out[kind] = out[kind].unionByName(frame) if kind in out else frame
+            continue
         frame = frame.drop("ds")
         out[kind] = out[kind].join(frame, KINDS[kind]) if kind in out else frame
     return out

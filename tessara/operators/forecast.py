@@ -1,26 +1,43 @@
 """Forecasters that give parameter rows, the choice between them, and whole runs.
 
-Estimators are Spark ML's and fit on distributed rows. A user's own model plugs in by group.
+Estimators are Spark ML's and fit on distributed rows. A user's own model plugs in by group or by batches of windows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import hierarchy, sampling, scaling, scoring, windows
+from . import hierarchy, sampling, scoring, windows
+from .design import STEP, design, prepared, series_arrays, windows_of
+from .heads import factor_spread, mixture_of, skew_t_fit
 
-STEP = ["group_id", "t", "h", "series_id"]
+#: Parameters of every kind, by name and type; a row has null where its kind has no such parameter.
+KINDS = {"mu": "double", "sigma": "double", "loadings": "array<double>", "nu": "double", "lam": "double", "mu_k": "array<double>", "sigma_k": "array<double>", "logits": "array<double>"}
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A forecaster to choose from. kind: naive (the value lag steps before), or a head on the pooled regression: pooled (factors), mixture, skew_t."""
+
+    name: str
+    kind: str
+    scaler: str = "mean_floor"
+    lag: int | None = None
+
+
+def grid(scalers: list[str], lags: list[int], kinds: tuple[str, ...] = ("naive", "pooled")) -> list[Candidate]:
+    """A candidate for each lag (naive) and each scaler and head."""
+    naive = [Candidate(f"naive-{lag}", "naive", lag=lag) for lag in lags] if "naive" in kinds else []
+    return naive + [Candidate(f"{kind}-{scaler}", kind, scaler) for kind, scaler in product(kinds, scalers) if kind != "naive"]
 
 
 def numbered(params: DataFrame, series: DataFrame, groups: DataFrame) -> DataFrame:
@@ -50,23 +67,6 @@ def seasonal_naive(obs: DataFrame, train: DataFrame, at: DataFrame, lag: int, h:
     return out.select(*STEP, "mu", F.coalesce("sigma", F.lit(0.0)).alias("sigma"), F.array().cast("array<double>").alias("loadings"))
 
 
-def design(obs: DataFrame, at: DataFrame, size: int, h: int, scaler: str, future: DataFrame | None = None) -> DataFrame:
-    """STEP, features, label (normalised), loc, scale: normalised history, horizon dummies and the target step's shared future columns."""
-    rows = windows.expand(obs, at, size, h)
-    stats = scaling.scale_stats(rows, scaler)
-    packed = rows.groupBy("group_id", "t", "series_id").agg(F.array_sort(F.collect_list(F.struct("k", "y"))).alias("all"))
-    made = packed.join(stats, scaling.KEYS)
-    z = F.transform("all", lambda x: (x["y"] - F.col("loc")) / F.col("scale"))
-    made = made.select(*scaling.KEYS, "loc", "scale", F.slice(z, 1, size).alias("past"), F.slice(z, size + 1, h).alias("next")).select("*", F.posexplode("next").alias("h", "label"))
-    own = F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda k: (k == F.col("h")).cast("double"))
-    if future is not None:
-        columns = [c for c in future.columns if c not in ("ds", "t")]
-        step = future.select(F.col("t").alias("_idx"), F.array(*columns).alias("_future"))
-        made = made.withColumn("_idx", F.col("t") + F.col("h")).join(step, "_idx")
-        return made.select(*STEP, array_to_vector(F.concat("past", own, "_future")).alias("features"), "label", "loc", "scale")
-    return made.select(*STEP, array_to_vector(F.concat("past", own)).alias("features"), "label", "loc", "scale")
-
-
 def fit_pooled(rows: DataFrame, regularisation: float = 1e-3) -> LinearRegressionModel:
     """One direct multi-horizon regression for all series."""
     return LinearRegression(regParam=regularisation, standardization=False).fit(rows)
@@ -77,40 +77,45 @@ def predict_pooled(model: LinearRegressionModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*STEP, (F.col("prediction") * F.col("scale") + F.col("loc")).alias("mu"), "prediction", "label", "loc", "scale")
 
 
-def factor_spread(residuals: DataFrame, series: list[str], k: int, eps: float = 1e-3) -> DataFrame:
-    """series_id, sigma, loadings by principal components of residual vectors over series (STEP, r): sigma^2 + sum of squares is each variance.
+def heads_of(residuals: DataFrame, candidates: list[Candidate], k: int, components: int) -> DataFrame:
+    """series_id, candidate and its parameters in normalised units around a prediction, fitted to residual rows (STEP, r).
 
-    series: the bottom of one hierarchy, which bounds the vectors' width.
+    pooled: factors; mixture and skew_t: one shape for all series, of residuals over each series' deviation.
     """
-    wide = residuals.groupBy("group_id", "t", "h").pivot("series_id", series).agg(F.first("r")).na.fill(0.0)
-    vectors = wide.select(array_to_vector(F.array(*(F.col(f"`{s}`") for s in series))).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    variances = wide.select(*(F.var_samp(f"`{s}`").alias(str(i)) for i, s in enumerate(series))).first()  # one row
-    variance = [variances[str(i)] or 0.0 for i in range(len(series))]
-    shares, parts = model.explainedVariance.toArray(), model.pc.toArray()
-    rows = []
-    for i, s in enumerate(series):
-        loads = [float(parts[i, j] * math.sqrt(max(0.0, shares[j]) * sum(variance))) for j in range(k)]
-        rows.append((s, math.sqrt(max(variance[i] - sum(x * x for x in loads), eps * eps)), loads))
-    return residuals.sparkSession.createDataFrame(rows, "series_id string, sigma double, loadings array<double>")
-
-
-def mixture_of(residuals: DataFrame, components: int, seed: int = 0) -> tuple[list[float], list[float], list[float]]:
-    """(mu_k, sigma_k, logits) of residuals r."""
-    if components < 2:
-        raise ValueError("a mixture has two components or more")
-    model = GaussianMixture(k=components, seed=seed).fit(residuals.select(array_to_vector(F.array("r")).alias("features")))
-    parts = sorted(zip([g.mean[0] for g in model.gaussians], [math.sqrt(g.cov.toArray()[0, 0]) for g in model.gaussians], model.weights, strict=True))
-    return [float(m) for m, _, _ in parts], [float(s) for _, s, _ in parts], [math.log(max(w, 1e-12)) for _, _, w in parts]
-
-
-def skew_t_of(residuals: DataFrame) -> DataFrame:
-    """nu, lam of pooled residuals r, by moments: nu from the excess kurtosis (above 2), lam from the skewness (a skew normal's)."""
-    moments = residuals.agg(F.skewness("r").alias("s"), F.kurtosis("r").alias("e"))
-    nu = F.when(F.col("e") > 0, F.least(4 + 6 / F.col("e"), F.lit(200.0))).otherwise(F.lit(200.0))
-    size = F.pow(F.least(F.abs("s"), F.lit(0.99)), F.lit(2 / 3))
-    d = F.sqrt(math.pi / 2 * size / (size + ((4 - math.pi) / 2) ** (2 / 3)))
-    return moments.select(nu.alias("nu"), (F.signum("s") * d / F.sqrt(1 - d * d)).alias("lam"))
+    kinds = {c.kind for c in candidates}
+    spread = residuals.groupBy("series_id").agg(F.greatest(F.stddev_samp("r"), F.lit(1e-3)).alias("d"))
+    shape = residuals.join(spread, "series_id").select((F.col("r") / F.col("d")).alias("r")) if kinds & {"mixture", "skew_t"} else None
+    made = []
+    for kind in sorted(kinds):
+        if kind == "pooled":
+            rows = factor_spread(residuals, k).select("series_id", F.lit(0.0).alias("mu"), "sigma", "loadings")
+        elif kind == "skew_t":
+            xi, omega, nu, lam = skew_t_fit(shape)
+            rows = spread.select("series_id", (F.col("d") * xi).alias("mu"), (F.col("d") * omega).alias("sigma"), F.lit(nu).alias("nu"), F.lit(lam).alias("lam"))
+        elif kind == "mixture":
+            mu, sigma, logits = mixture_of(shape, components)
+            scaled = lambda values: F.transform(F.array(*map(F.lit, values)), lambda x: x * F.col("d"))
+            rows = spread.select("series_id", scaled(mu).alias("mu_k"), scaled(sigma).alias("sigma_k"), F.array(*map(F.lit, logits)).alias("logits"))
+        else:
+            raise ValueError(f"unknown kind {kind!r}")
+        for c in candidates:
+            if c.kind == kind:
+                made.append(uniform(rows).withColumn("candidate", F.lit(c.name)))
+    return reduce(DataFrame.unionByName, made)
+
+
+def uniform(params: DataFrame) -> DataFrame:
+    """params with the columns of all kinds, null where a kind has none."""
+    return params.withColumns({c: F.lit(None).cast(kind) for c, kind in KINDS.items() if c not in params.columns})
+
+
+def around(predictions: DataFrame, heads: DataFrame) -> DataFrame:
+    """candidate, STEP and parameters in raw units: predictions (STEP, prediction, loc, scale) with the heads of their series, all candidates in one join."""
+    p, loc, scale = F.col("prediction"), F.col("loc"), F.col("scale")
+    rows = predictions.select(*STEP, "prediction", "loc", "scale").join(heads, "series_id")
+    raw = {"mu": (p + F.col("mu")) * scale + loc, "sigma": F.col("sigma") * scale, "loadings": F.transform("loadings", lambda x: x * scale)}
+    raw |= {"mu_k": F.transform("mu_k", lambda x: (p + x) * scale + loc), "sigma_k": F.transform("sigma_k", lambda x: x * scale)}
+    return rows.select("candidate", *STEP, *((raw[c] if c in raw else F.col(c)).alias(c) for c in KINDS))
 
 
 def best_candidate(scores: DataFrame, margin: float = 1e-6) -> DataFrame:
@@ -125,26 +130,44 @@ def own_model(window_rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFra
     return window_rows.groupBy("group_id", "t").applyInPandas(model, schema)
 
 
+def own_model_batches(obs: DataFrame, at: DataFrame, size: int, h: int, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A user's model for batches of windows: it gets a pandas frame group_id, t, series_id, past (array), next (array) of many windows at once, and
+    returns parameter rows. Rows come in Arrow batches as they are: the model must not need a group's windows together."""
+    rows = windows_of(series_arrays(obs, {"y": "y"}), at, size, h).select("group_id", "t", "series_id", "past", "next")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield model(frame)
+
+    return rows.mapInPandas(run, schema)
+
+
 def evaluate(params: DataFrame, obs: DataFrame, at: DataFrame, edges: DataFrame, nodes: DataFrame, h: int, n: int, k: int, seeds: list[int], estimator: str = "quantile", truth: DataFrame | None = None, floor: float | None = 1e-12, components: int = 0) -> DataFrame:
-    """seed, level, crps_sum, abs_sum, scrps: ratio of sums over all groups, windows and horizons of the windows at.
+    """(candidate,) seed, level, crps_sum, abs_sum, scrps: ratio of sums over all groups, windows and horizons of the windows at.
 
-    truth (group_id, t, h, node_id, truth): stored aggregates; else bottom targets are summed up. All seeds run in one job.
+    truth (group_id, t, h, node_id, truth): stored aggregates; else bottom targets are summed up. All seeds and, where params
+    have a column candidate, all candidates run in one job: they are keys of draws and scores.
     """
+    keep = ("candidate",) if "candidate" in params.columns else ()
     of_seed = F.broadcast(params.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed int"))  # a row a seed
-    rows = params.crossJoin(of_seed)
-    drawn = sampling.sample_coherent(rows, edges, n, "seed", k, components=components)
+    drawn = sampling.sample_coherent(params.crossJoin(of_seed), edges, n, "seed", k, components=components, keep=keep)
     if truth is None:
         truth = hierarchy.aggregate(targets(obs, at, h), edges, "truth", ("group_id", "t", "h"))
     crps = scoring.crps_quantile if estimator == "quantile" else scoring.crps_mc
-    scored = crps(drawn, truth.crossJoin(of_seed), ["seed", "group_id", "t", "h", "node_id"])
-    levels = scored.join(nodes.select("node_id", "level"), "node_id").groupingSets([["seed", "level"], ["seed"]], "seed", "level").agg(F.sum("crps").alias("crps_sum"), F.sum(F.abs("truth")).alias("abs_sum"))
+    scored = crps(drawn, truth, [*keep, "seed", "group_id", "t", "h", "node_id"])
+    by = [*keep, "seed"]
+    levels = scored.join(nodes.select("node_id", "level"), "node_id").groupingSets([[*by, "level"], by], *by, "level").agg(F.sum("crps").alias("crps_sum"), F.sum(F.abs("truth")).alias("abs_sum"))
     return levels.withColumn("level", F.coalesce("level", F.lit("Overall"))).withColumn("scrps", scoring._ratio(floor))
 
 
-def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n: int = 100, candidates: tuple[str, ...] = ("naive", "pooled"), scaler: str = "mean_floor", split: DataFrame | None = None, groups: DataFrame | None = None, k: int = 2, estimator: str = "quantile") -> DataFrame:
+def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n: int = 100, candidates: tuple[str | Candidate, ...] = ("naive", "pooled"), scaler: str = "mean_floor", split: DataFrame | None = None, groups: DataFrame | None = None, k: int = 2, estimator: str = "quantile", blocks: dict[str, DataFrame] | None = None, components: int = 2, val_windows: int | None = None) -> DataFrame:
     """dataset run: split, fit the candidates, choose by validation, draw for the test windows, score each seed by level.
 
     tables: obs, nodes, edges, calendar. groups (group_id, group_no) makes it a panel run; split: (group_id, t, split).
+    candidates: names of kinds, or Candidates with scalers and lags of their own; those of one scaler share a design and a fit, and all are drawn and
+    scored by one job. blocks: of features.build_features, seen by the pooled fits; historical columns are scaled by the steps before
+    validation. val_windows: so many validation windows, drawn with the first seed.
     """
     obs, nodes, edges, calendar = (tables[x] for x in ("obs", "nodes", "edges", "calendar"))
     spark = obs.sparkSession
@@ -152,29 +175,46 @@ def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[i
     groups = spark.createDataFrame([("", 0)], "group_id string, group_no int") if groups is None else groups
     bottom = nodes.where("is_bottom").select(F.col("node_id").alias("series_id"), F.col("node_idx").alias("series_no"))
     train, val, test = (split.where(F.col("split") == s).select("group_id", "t") for s in ("train", "val", "test"))
-    made: dict[str, Callable[[DataFrame], DataFrame]] = {}
-    if "naive" in candidates:
-        made["naive"] = lambda at: seasonal_naive(obs, train, at, lag, h)
-    if "pooled" in candidates:
-        rows = design(obs, train, size, h, scaler).persist(StorageLevel.MEMORY_AND_DISK)  # read by the fit and for its residuals
+    if val_windows is not None:
+        val = windows.subsample(val, val_windows, seeds[0])
+    named = [Candidate(c, c, scaler, lag) if isinstance(c, str) else c for c in candidates]
+    if len({c.name for c in named}) < len(named):
+        raise ValueError("two candidates of one name")
+    fitted = {}
+    pooled = [c for c in named if c.kind != "naive"]
+    ready = prepared(blocks, split.where("split = 'val'").agg(F.min("t")).first()[0]) if pooled else None
+    for s in sorted({c.scaler for c in pooled}):
+        rows = design(obs, train, size, h, s, ready).persist(StorageLevel.MEMORY_AND_DISK)  # read by the fit and for its residuals
         model = fit_pooled(rows)
-        fitted = predict_pooled(model, rows)
-        spread = factor_spread(fitted.select(*STEP, (F.col("label") - F.col("prediction")).alias("r")), [r["series_id"] for r in bottom.orderBy("series_no").collect()], k)
+        residuals = predict_pooled(model, rows).select(*STEP, (F.col("label") - F.col("prediction")).alias("r"))
+        fitted[s] = model, heads_of(residuals, [c for c in pooled if c.scaler == s], k, components).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted[s][1].count()
         rows.unpersist()
-        made["pooled"] = lambda at: predict_pooled(model, design(obs, at, size, h, scaler)).join(F.broadcast(spread), "series_id").select(*STEP, "mu", (F.col("sigma") * F.col("scale")).alias("sigma"), F.transform("loadings", lambda x: x * F.col("scale")).alias("loadings"))
-    scores = []
-    for name, f in made.items():
-        one = evaluate(numbered(f(val), bottom, groups), obs, val, edges, nodes, h, n, k, seeds[:1], "quantile", floor=1e-8)
-        scores.append(one.where("level = 'Overall'").select(F.lit(name).alias("candidate"), "scrps"))
-    chosen = best_candidate(reduce(DataFrame.unionByName, scores)).first()["candidate"] if len(made) > 1 else next(iter(made))
-    result = evaluate(numbered(made[chosen](test), bottom, groups), obs, test, edges, nodes, h, n, k, seeds, estimator)
-    return result.withColumn("candidate", F.lit(chosen))
-
-
-def run_panel(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n_val: int | None = None, n_test: int | None = None, **options) -> DataFrame:
-    """run() over groups that share one calendar and hierarchy."""
+
+    def params(at: DataFrame, which: list[Candidate]) -> DataFrame:
+        """The parameter rows of the candidates for windows at."""
+        names = [c.name for c in which]
+        made = [uniform(seasonal_naive(obs, train, at, c.lag or lag, h)).withColumn("candidate", F.lit(c.name)) for c in which if c.kind == "naive"]
+        for s, (model, heads) in fitted.items():
+            if any(c.scaler == s and c.kind != "naive" for c in which):
+                made.append(around(predict_pooled(model, design(obs, at, size, h, s, ready)), heads.where(F.col("candidate").isin(names))))
+        return numbered(reduce(DataFrame.unionByName, made).drop(*absent), bottom, groups)
+
+    kinds = {c.kind for c in named}  # no stream is drawn for a kind that no candidate has
+    absent = [c for kind, columns in (("skew_t", ("nu", "lam")), ("mixture", ("mu_k", "sigma_k", "logits"))) if kind not in kinds for c in columns]
+    mixed = components if "mixture" in kinds else 0
+    chosen = named[0]
+    if len(named) > 1:
+        scores = evaluate(params(val, named), obs, val, edges, nodes, h, n, k, seeds[:1], "quantile", floor=1e-8, components=mixed)
+        best = best_candidate(scores.where("level = 'Overall'").select("candidate", "scrps")).first()["candidate"]
+        chosen = next(c for c in named if c.name == best)
+    result = evaluate(params(test, [chosen]), obs, test, edges, nodes, h, n, k, seeds, estimator, components=mixed)
+    return result.select("seed", "level", "crps_sum", "abs_sum", "scrps", "candidate")
+
+
+def run_panel(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n_val: int | None = None, n_test: int | None = None, val_windows: int | None = 256, **options) -> DataFrame:
+    """run() over groups that share one calendar and hierarchy; validation takes at most val_windows windows of all groups."""
     names = tables["obs"].select("group_id").distinct()
     groups = names.withColumn("group_no", F.row_number().over(Window.orderBy("group_id")) - 1)  # a row a group
     split = windows.panel_split(names, tables["calendar"], size, h, n_val or h, n_test or h)
-    return run(tables, size, h, lag, seeds, split=split, groups=groups, **options)
-
+    return run(tables, size, h, lag, seeds, split=split, groups=groups, val_windows=val_windows, **options)

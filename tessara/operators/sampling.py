@@ -73,14 +73,43 @@ def sample_mixture(params: DataFrame, n: int, seed: int | str, k: int, component
     return rows.withColumn("y", F.col("_best.mu") + F.col("_best.sigma") * F.col("_z") + F.col("_f")).select(*_out(seed))
 
 
-def sample(params: DataFrame, n: int, seed: int | str, k: int, components: int = 0) -> DataFrame:
+def sample_mixed(params: DataFrame, n: int, seed: int | str, k: int, components: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of several kinds in one pass: with logits a mixture, else with nu skewed t noise, else the factor model. keep: further keys of the result.
+
+    A row is drawn as its own kind alone would be: shocks are keyed without keep, so candidates meet the same ones.
+    """
+    _need(params, ["mu", "sigma", "loadings"])
+    rows = with_normal(_with_factors(_keyed(params, n, seed), k), "_n0", "_own", 0)
+    noise = F.col("_n0")
+    if "nu" in params.columns:
+        for stream in (1, 2):
+            rows = with_normal(rows, f"_n{stream}", "_own", stream)
+        nu, lam = F.col("nu"), F.col("lam")
+        d = lam / F.sqrt(1 + lam * lam)
+        cube = F.greatest(1 - 2 / (9 * nu) + F.col("_n2") * F.sqrt(2 / (9 * nu)), F.lit(1e-3))
+        skewed = (d * F.abs("_n0") + F.sqrt(1 - d * d) * F.col("_n1")) / F.sqrt(F.greatest(nu * cube * cube * cube, F.lit(1e-6)) / nu)
+        noise = F.when(nu.isNotNull(), skewed).otherwise(noise)
+    own = F.col("mu") + F.col("sigma") * noise
+    if "logits" in params.columns:
+        best = []
+        for c in range(components):
+            rows = hashed(rows, "_g", [50 + c], "_own").withColumn(f"_g{c}", F.get("logits", F.lit(c)) - F.log(-F.log(uniform("_g")))).drop("_g")
+            best.append(F.struct(F.col(f"_g{c}").alias("g"), F.get("mu_k", F.lit(c)).alias("mu"), F.get("sigma_k", F.lit(c)).alias("sigma")))
+        rows = rows.withColumn("_best", F.array_max(F.array(*best)))
+        own = F.when(F.col("logits").isNotNull(), F.col("_best.mu") + F.col("_best.sigma") * F.col("_n0")).otherwise(own)
+    return rows.withColumn("y", own + F.col("_f")).select(*keep, *_out(seed))
+
+
+def sample(params: DataFrame, n: int, seed: int | str, k: int, components: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Draws by the columns that params have."""
+    if keep or {"logits", "nu"} <= set(params.columns):
+        return sample_mixed(params, n, seed, k, components, keep)
     if "logits" in params.columns:
         return sample_mixture(params, n, seed, k, components)
     return (sample_skew_t if "nu" in params.columns else sample_factor)(params, n, seed, k)
 
 
-def sample_coherent(params: DataFrame, edges: DataFrame, n: int, seed: int | str, k: int, clip: bool = True, components: int = 0) -> DataFrame:
-    """(seed,) group_id, t, h, i, node_id, y: draws of all nodes that add up."""
-    keys = tuple(c for c in _out(seed) if c not in ("series_id", "y"))
-    return coherent_aggregate(sample(params, n, seed, k, components), edges, clip, keys)
+def sample_coherent(params: DataFrame, edges: DataFrame, n: int, seed: int | str, k: int, clip: bool = True, components: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, seed,) group_id, t, h, i, node_id, y: draws of all nodes that add up."""
+    keys = (*keep, *(c for c in _out(seed) if c not in ("series_id", "y")))
+    return coherent_aggregate(sample(params, n, seed, k, components, keep), edges, clip, keys)

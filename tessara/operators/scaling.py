@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["group_id", "t", "series_id"]
@@ -31,6 +31,26 @@ def scale_stats(window_rows: DataFrame, scaler: str) -> DataFrame:
     return stats.drop("n")
 
 
+def array_stats(history: Column, scaler: str) -> tuple[Column, Column]:
+    """(loc, scale) of a history array, as scale_stats() has them of rows."""
+    if scaler not in SCALERS:
+        raise ValueError(f"unknown scaler {scaler!r}")
+    n = F.size(history)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    middle = lambda values: F.element_at(F.array_sort(values), F.ceil(F.size(values) / 2).cast("int"))  # noqa: E731  lower median
+    size = total(F.transform(history, lambda x: F.abs(x))) / n
+    if scaler == "identity":
+        return F.lit(0.0), F.lit(1.0)
+    if scaler in ("mean", "mean_floor"):
+        return F.lit(0.0), size + 1e-6 if scaler == "mean" else F.greatest(size, F.lit(1.0))
+    if scaler == "robust":
+        loc = middle(history)
+        return loc, middle(F.transform(history, lambda x: F.abs(x - loc))) + 1e-6
+    loc = total(history) / n
+    spread = F.sqrt(total(F.transform(history, lambda x: (x - loc) * (x - loc))) / (n - 1)) + 1e-6
+    return loc, F.when(n < 2, F.raise_error(F.lit("standard needs two steps of history")).cast("double")).otherwise(spread)
+
+
 def normalize(rows: DataFrame, stats: DataFrame, column: str = "y", out: str = "z") -> DataFrame:
     return rows.join(stats, KEYS).withColumn(out, (F.col(column) - F.col("loc")) / F.col("scale")).drop("loc", "scale")
 

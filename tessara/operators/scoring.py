@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.links import normal_cdf, normal_pdf
 
@@ -18,10 +22,10 @@ def quantile_grid(step: float = 0.01) -> list[float]:
 
 
 def crps_quantile(samples: DataFrame, truth: DataFrame, keys: list[str] = NODE, quantiles: list[float] | None = None) -> DataFrame:
-    """keys, truth, crps: twice the mean pinball loss over linear-interpolated quantiles."""
+    """keys, truth, crps: twice the mean pinball loss over linear-interpolated quantiles. Truth meets samples on the keys that it has."""
     grid = quantiles or quantile_grid()
     made = samples.groupBy(*keys).agg(F.percentile("y", F.array(*map(F.lit, grid))).alias("q"))
-    rows = made.join(truth, keys)
+    rows = made.join(truth, [c for c in keys if c in truth.columns])
     loss = F.zip_with("q", F.array(*map(F.lit, grid)), lambda q, p: F.greatest(p * (F.col("truth") - q), (p - 1) * (F.col("truth") - q)))
     return rows.select(*keys, "truth", (2 * F.aggregate(loss, F.lit(0.0), lambda a, x: a + x) / len(grid)).alias("crps"))
 
@@ -38,7 +42,7 @@ def crps_mc(samples: DataFrame, truth: DataFrame, keys: list[str] = NODE) -> Dat
     """keys, truth, crps: the unbiased estimate mean |x - y| - spread / 2. A single sample raises."""
     row = F.row_number().over(Window.partitionBy(*keys).orderBy("y"))
     size = F.count("*").over(Window.partitionBy(*keys))
-    ranked = samples.join(truth, keys).select(*keys, "y", "truth", row.alias("k"), size.alias("n"))
+    ranked = samples.join(truth, [c for c in keys if c in truth.columns]).select(*keys, "y", "truth", row.alias("k"), size.alias("n"))
     n = F.first("n").cast("double")
     checked = F.when(F.first("n") < 2, F.raise_error(F.lit("two samples or more are needed")).cast("double")).otherwise(n)
     spread = 2 * F.sum(F.col("y") * (2 * F.col("k") - F.col("n") - 1)) / (checked * (n - 1))
@@ -53,21 +57,93 @@ def crps_objective(samples: DataFrame, truth: DataFrame, reduction: str = "sum",
     return rows if reduction == "none" else rows.agg((F.sum if reduction == "sum" else F.avg)("crps").alias("crps"))
 
 
+#: Samples of a block in the energy score, and cells of a window that one task takes.
+BLOCK, CELLS = 128, 4096
+
+
+def packed_samples(samples: DataFrame, keys: list[str] = NODE) -> DataFrame:
+    """keys, ys: the samples of each cell as one array in the order of i."""
+    rows = F.array_sort(F.collect_list(F.struct("i", "y")))
+    return samples.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.col("_rows").getField("y").alias("ys"))
+
+
+def pairwise_distances(packed: DataFrame, window: tuple[str, ...], parts: int, beta: float) -> DataFrame:
+    """window, n, apart: the sum over pairs i < j of samples of their distance to the power beta over all cells (window, h, node_id, ys).
+
+    Samples go by blocks: a row carries a cell's values of two blocks, and a task adds up the squared distances of their samples by
+    matrix products as cells come in. Parts of a window's cells are added up afterwards, and only then are roots taken.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.transform(F.sequence(i, blocks - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
+    rows = packed.withColumn("n", F.size("ys")).select(*window, "n", F.pmod(F.xxhash64("h", "node_id"), F.lit(parts)).cast("int").alias("part"), "ys", F.inline(pairs))
+    rows = rows.select(*window, "n", "bi", "bj", "part", F.slice("ys", F.col("bi") * BLOCK + 1, BLOCK).alias("a"), F.slice("ys", F.col("bj") * BLOCK + 1, BLOCK).alias("b"))
+    keys = [*window, "n", "bi", "bj"]
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """Pieces of batches with one key each."""
+        for batch in batches:
+            key = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            starts = [k for k in range(len(key)) if k == 0 or key[k] != key[k - 1]]
+            for at, end in zip(starts, [*starts[1:], len(key)], strict=True):
+                yield key[at], batch.slice(at, end - at)
+
+    def record(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+        fields = [pa.array([x], t) for x, t in zip(key[: len(keys)], types, strict=True)]
+        return pa.RecordBatch.from_arrays([*fields, pa.array([total.ravel()], pa.list_(pa.float64()))], names=[*keys, "squares"])
+
+    def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for key, piece in runs(batches, [*keys, "part"]):
+            a, b = matrix(piece, "a"), matrix(piece, "b")
+            first = a[:, :1]  # near values cancel less around one of them
+            a, b = a - first, b - first
+            own = np.maximum((a * a).sum(0)[:, None] + (b * b).sum(0)[None, :] - 2 * a.T @ b, 0)
+            if key != last and total is not None:
+                yield record(last, total)
+                total = None
+            last, total = key, own if total is None else total + own
+        if total is not None:
+            yield record(last, total)
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            n, i, j = last[-3:]
+            m = total.reshape(min(BLOCK, n - i * BLOCK), -1) ** (beta / 2)
+            apart = float(np.triu(m, 1).sum() if i == j else m.sum())
+            return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(last, types, strict=True)), pa.array([apart])], names=[*keys, "apart"])
+
+        last, total = None, None
+        for key, piece in runs(batches, keys):
+            own = matrix(piece, "squares").sum(0)
+            if key != last and total is not None:
+                yield done()
+                total = None
+            last, total = key, own if total is None else total + own
+        if total is not None:
+            yield done()
+
+    types = [to_arrow_type(rows.schema[c].dataType) for c in keys]
+    made = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part").mapInArrow(squares, f"{kind}, squares array<double>")
+    summed = made.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(roots, f"{kind}, apart double")
+    return summed.groupBy(*window, "n").agg(F.sum("apart").alias("apart"))
+
+
 def energy_score(samples: DataFrame, truth: DataFrame, beta: float = 1.0, reduction: str = "none", window: tuple[str, ...] = ("group_id", "t")) -> DataFrame:
-    """window, score over the joint block of horizons and nodes. The samples of one window meet pairwise: for small n."""
+    """window, score over the joint block of horizons and nodes, from all samples. Every cell of a window needs the same number of samples."""
     if reduction not in ("none", "sum", "mean"):
         raise ValueError(f"unknown reduction {reduction!r}")
     cell = [*window, "h", "node_id"]
-
-    def lengths(pairs: DataFrame, by: list[str], square: Column) -> DataFrame:
-        return pairs.groupBy(*by).agg(F.pow(F.sqrt(F.sum(square)), F.lit(beta)).alias("d"))
-
-    gap = F.col("y") - F.col("truth")
-    to_truth = lengths(samples.join(truth, cell), [*window, "i"], gap * gap).groupBy(*window).agg(F.avg("d").alias("near"), F.count("*").alias("n"))
-    other = samples.select(*cell, F.col("i").alias("j"), F.col("y").alias("x"))
-    gap = F.col("y") - F.col("x")
-    apart = lengths(samples.join(other, cell).where("i < j"), [*window, "i", "j"], gap * gap).groupBy(*window).agg(F.sum("d").alias("apart"))
-    rows = to_truth.join(apart, list(window)).select(*window, (F.col("near") - F.col("apart") / (F.col("n") * (F.col("n") - 1))).alias("score"))
+    packed = packed_samples(samples, cell).join(truth.select(*cell, "truth"), cell)
+    gaps = packed.select(*window, F.posexplode("ys").alias("i", "y"), "truth").groupBy(*window, "i").agg(F.pow(F.sqrt(F.sum((F.col("y") - F.col("truth")) * (F.col("y") - F.col("truth")))), F.lit(beta)).alias("d"))
+    to_truth = gaps.groupBy(*window).agg(F.avg("d").alias("near"), F.count("*").alias("m"))
+    most = truth.groupBy(*window).count().agg(F.max("count")).first()[0] or 0  # a number: cells of the largest window
+    apart = pairwise_distances(packed.drop("truth"), window, max(1, -(-most // CELLS)), beta)
+    n = F.when(F.col("n") != F.col("m"), F.raise_error(F.lit("cells differ in their number of samples")).cast("double")).otherwise(F.col("n").cast("double"))
+    rows = to_truth.join(apart, list(window)).select(*window, (F.col("near") - F.col("apart") / (n * (F.col("n") - 1))).alias("score"))
     return rows if reduction == "none" else rows.agg((F.sum if reduction == "sum" else F.avg)("score").alias("score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws, links
-from ..operators import features, forecast, hierarchy, panel, sampling, scaling, scoring, windows
+from ..operators import design, features, forecast, heads, hierarchy, panel, sampling, scaling, scoring, windows
 from ..sources import facts as fact_sources
 from ..sources import hierarchy_csv
 from ..sources import panel as panel_source
@@ -696,7 +696,8 @@ def r1_seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
 def _pooled(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     a = orders_seg(spark, d)
     split = windows.last_h_split(a["calendar"], SIZE, H)
-    rows = forecast.design(a["obs"], split.where("split = 'train'"), SIZE, H, "mean_floor", features.month_dummies(a["calendar"]))
+    blocks = features.build_features([("future_shared", features.month_dummies(a["calendar"]))])
+    rows = design.design(a["obs"], split.where("split = 'train'"), SIZE, H, "mean_floor", design.prepared(blocks))
     return a, forecast.predict_pooled(forecast.fit_pooled(rows), rows)
 
 
@@ -709,19 +710,19 @@ def r2_pooled_regression(spark: SparkSession, d: str) -> DataFrame:
 def r3_factor_spread(spark: SparkSession, d: str) -> DataFrame:
     a, fitted = _pooled(spark, d)
     residuals = fitted.select(*forecast.STEP, (F.col("label") - F.col("prediction")).alias("r"))
-    return forecast.factor_spread(residuals, [r["series_id"] for r in a["series"].orderBy("series_no").collect()], 2)
+    return heads.factor_spread(residuals, 2)
 
 
 @twin()
 def r4_mixture(spark: SparkSession, d: str) -> DataFrame:
     residuals = _pooled(spark, d)[1].select((F.col("label") - F.col("prediction")).alias("r"))
-    mu, sigma, logits = forecast.mixture_of(residuals, 2)
+    mu, sigma, logits = heads.mixture_of(residuals, 2)
     return spark.createDataFrame(list(zip(range(2), mu, sigma, logits, strict=True)), "component int, mu double, sigma double, logit double")
 
 
 @twin()
 def r5_skew_t(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.skew_t_of(_pooled(spark, d)[1].select((F.col("label") - F.col("prediction")).alias("r")))
+    return heads.skew_t_of(_pooled(spark, d)[1].select((F.col("label") - F.col("prediction")).alias("r")))
 
 
 @twin(f"{_R1_SQL}, c AS (SELECT 'lag ' || lag_ AS candidate, avg(abs(o.y - p.y)) / avg(abs(o.y)) AS scrps FROM (SELECT unnest([6, 12, 24]) AS lag_) CROSS JOIN obs o JOIN obs p ON p.group_id = o.group_id AND p.series_id = o.series_id AND p.t = o.t - lag_ WHERE o.t >= 24 GROUP BY ALL) SELECT candidate, round(scrps, 6) AS scrps FROM c ORDER BY c.scrps LIMIT 1")

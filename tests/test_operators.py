@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessara.functions import draws, links
-from tessara.operators import features, forecast, hierarchy, panel, sampling, scaling, scoring, windows
+from tessara.operators import features, forecast, heads, hierarchy, panel, sampling, scaling, scoring, windows
 from tessara.operators.checks import require_empty
 from tessara.plans.domains import parts_panel
 from tessara.plans.queries import N_DRAWS, QUERIES, _node_samples
@@ -236,7 +236,7 @@ def test_factor_spread_keeps_variances(spark):
     wide = draws.with_normal(draws.hashed(base, "x", ["t"], 5), "e", "x", 0)
     wide = draws.with_normal(wide, "f", "x", 1)
     rows = wide.select("group_id", "t", "h", F.explode(F.array(*(F.struct(F.lit(s).alias("series_id"), (F.col("e") * (k + 1) + F.col("f") * 0.3).alias("r")) for k, s in enumerate(SERIES)))).alias("c")).select("group_id", "t", "h", "c.*")
-    got = {r.series_id: r for r in forecast.factor_spread(rows, SERIES, 2).collect()}
+    got = {r.series_id: r for r in heads.factor_spread(rows, 2).collect()}
     for r in rows.groupBy("series_id").agg(F.var_samp("r").alias("v")).collect():
         own = got[r.series_id]
         assert math.isclose(own.sigma**2 + sum(x * x for x in own.loadings), r.v, rel_tol=0.05)
@@ -244,12 +244,12 @@ def test_factor_spread_keeps_variances(spark):
 
 def test_moments_of_residuals(spark):
     rows = draws.with_normal(draws.hashed(spark.range(6000), "x", ["id"], 9), "r", "x", 0)
-    nu, lam = forecast.skew_t_of(rows).first()
+    nu, lam = heads.skew_t_of(rows).first()
     assert nu > 20 and abs(lam) < 1.2
-    mu, sigma, logits = forecast.mixture_of(rows.withColumn("r", F.when(F.col("id") % 4 == 0, F.col("r") + 12).otherwise(F.col("r"))), 2)
+    mu, sigma, logits = heads.mixture_of(rows.withColumn("r", F.when(F.col("id") % 4 == 0, F.col("r") + 12).otherwise(F.col("r"))), 2)
     assert abs(mu[0]) < 0.3 and abs(mu[1] - 12) < 0.3 and abs(math.exp(logits[1]) - 0.25) < 0.03 and all(abs(s - 1) < 0.2 for s in sigma)
     with pytest.raises(ValueError, match="two components"):
-        forecast.mixture_of(rows, 1)
+        heads.mixture_of(rows, 1)
 
 
 def test_a_run_from_load_to_scores(spark, small):
