@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, links
@@ -298,25 +299,35 @@ def _windows_sql(size: int, h: int) -> str:
     return f"lim AS (SELECT max(t) + 1 AS steps FROM cal), win AS (SELECT group_id, w.t, CAST(o.t - w.t AS INTEGER) AS k, series_id, y FROM obs o JOIN (SELECT t FROM cal) w ON o.t >= w.t - {size} AND o.t < w.t + {h} CROSS JOIN lim WHERE w.t >= {size} AND w.t <= steps - {h})"
 
 
-@twin(f"WITH {B_SQL}, {_windows_sql(12, 3)}, st AS ({_stats_sql('0.0', 'greatest(avg(abs(y)), 1)')}) SELECT group_id, t, k, node_id, round(sum((y - loc) / scale), 4) AS z FROM win JOIN st USING (group_id, t, series_id) JOIN edges USING (series_id) WHERE k < 0 AND t = 60 GROUP BY ALL")
+#: Sums of ratios of whole numbers are often exact halves of the last digit, which rounding errors would tip: both sides are moved off them.
+_OFF_HALVES = 1.2345e-6
+_H11_SQL = f"WITH {B_SQL}, {_windows_sql(12, 3)}, st AS ({_stats_sql('0.0', 'greatest(avg(abs(y)), 1)')}) SELECT group_id, t, k, node_id, round(sum((y - loc) / scale) + {_OFF_HALVES}, 4) AS z FROM win JOIN st USING (group_id, t, series_id) JOIN edges USING (series_id) WHERE k < 0 GROUP BY ALL"
+
+
+@twin(_H11_SQL)
 def h11_lift_history(spark: SparkSession, d: str) -> DataFrame:
+    """The history of all windows of all groups for all nodes."""
     b = parts_panel(spark, d)
-    rows = windows.expand(b["obs"].where("t >= 48 AND t < 63"), None, 12, 3, windows.n_steps(b["obs"])).where("t = 60 AND k < 0")
-    return rounded(hierarchy.lift_history(scaling.normalize(rows, scaling.scale_stats(rows, "mean_floor")), b["edges"]))
+    rows = windows.rolling_windows(b["obs"], 12, 3).where("k < 0")
+    return rounded(hierarchy.lift_history(scaling.normalize(rows, scaling.scale_stats(rows, "mean_floor")), b["edges"]).withColumn("z", F.col("z") + _OFF_HALVES))
 
 
-@twin(f"WITH {B_SQL} SELECT g.group_id, g.t, node_id, coalesce(f.promo, 0.0) AS promo FROM (SELECT DISTINCT group_id, t FROM fact JOIN cal USING (ds)) g CROSS JOIN nodes LEFT JOIN (SELECT group_id, t, series_id, promo FROM fact JOIN cal USING (ds)) f ON f.group_id = g.group_id AND f.t = g.t AND f.series_id = node_id")
-def h12_lift_historical(spark: SparkSession, d: str) -> DataFrame:
+@twin(_H11_SQL)
+def h11_lift_history_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from series arrays: windows are slices and their statistics array functions."""
     b = parts_panel(spark, d)
-    return hierarchy.lift_historical(b["facts"].join(b["calendar"], "ds").select("group_id", "t", "series_id", "promo"), b["nodes"], "promo")
+    arrays = design.series_arrays(b["obs"], {"y": "y"})
+    steps = F.explode(F.sequence(F.lit(12), F.size("y") - 3)).alias("t")
+    rows = arrays.where(F.size("y") >= 15).select("group_id", "series_id", "y", steps).withColumn("past", F.slice("y", F.col("t") - 11, 12))
+    loc, scale = scaling.array_stats(F.col("past"), "mean_floor")
+    long = rows.select("group_id", "t", "series_id", F.posexplode(F.transform("past", lambda x: (x - loc) / scale)).alias("k", "z")).withColumn("k", F.col("k") - 12)
+    return rounded(hierarchy.lift_history(long, b["edges"]).withColumn("z", F.col("z") + _OFF_HALVES))
 
 
-@twin()
-def h11_lift_history_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over the windows of all steps."""
+@twin(f"WITH {B_SQL} SELECT g.group_id, g.t, node_id, coalesce(f.promo, 0.0) AS promo FROM (SELECT DISTINCT group_id, t FROM fact JOIN cal USING (ds)) g CROSS JOIN nodes LEFT JOIN (SELECT group_id, t, series_id, promo FROM fact JOIN cal USING (ds)) f ON f.group_id = g.group_id AND f.t = g.t AND f.series_id = node_id")
+def h12_lift_historical(spark: SparkSession, d: str) -> DataFrame:
     b = parts_panel(spark, d)
-    rows = windows.rolling_windows(b["obs"], 12, 3).where("k < 0")
-    return rounded(hierarchy.lift_history(scaling.normalize(rows, scaling.scale_stats(rows, "mean_floor")), b["edges"]))
+    return hierarchy.lift_historical(b["facts"].join(b["calendar"], "ds").select("group_id", "t", "series_id", "promo"), b["nodes"], "promo")
 
 
 # Windows and splits
@@ -628,17 +639,21 @@ def m6_crps_objective(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.crps_objective(drawn, truth, "sum"), 1)
 
 
-@twin(f"{_NODE_SQL}, few AS (SELECT * FROM nsm WHERE i < 20), near AS (SELECT group_id, t, avg(x) AS near FROM (SELECT group_id, t, i, sqrt(sum((y - truth) * (y - truth))) AS x FROM few JOIN tru USING (group_id, t, h, node_id) GROUP BY ALL) GROUP BY ALL), apart AS (SELECT group_id, t, sum(x) AS apart FROM (SELECT a.group_id, a.t, a.i, b.i AS j, sqrt(sum((a.y - b.y) * (a.y - b.y))) AS x FROM few a JOIN few b ON a.group_id = b.group_id AND a.t = b.t AND a.h = b.h AND a.node_id = b.node_id AND a.i < b.i GROUP BY ALL) GROUP BY ALL) SELECT group_id, t, round(near - apart / (20 * 19), 1) AS score FROM near JOIN apart USING (group_id, t)")
+_ENERGY_SQL = f"{_NODE_SQL}, near AS (SELECT group_id, t, avg(x) AS near FROM (SELECT group_id, t, i, pow(sum((y - truth) * (y - truth)), @beta / 2) AS x FROM nsm JOIN tru USING (group_id, t, h, node_id) GROUP BY ALL) GROUP BY ALL), apart AS (SELECT group_id, t, sum(x) AS apart FROM (SELECT a.group_id, a.t, a.i, b.i AS j, pow(sum((a.y - b.y) * (a.y - b.y)), @beta / 2) AS x FROM nsm a JOIN nsm b ON a.group_id = b.group_id AND a.t = b.t AND a.h = b.h AND a.node_id = b.node_id AND a.i < b.i GROUP BY ALL) GROUP BY ALL) SELECT group_id, t, round(near - apart / ({N_DRAWS} * ({N_DRAWS} - 1)), 1) AS score FROM near JOIN apart USING (group_id, t)"
+
+
+@twin(_ENERGY_SQL.replace("@beta", "1.0::DOUBLE"))
 def m7_energy_score(spark: SparkSession, d: str) -> DataFrame:
+    """From all samples that the other scores take."""
     _, drawn, truth = _node_samples(spark, d)
-    return rounded(scoring.energy_score(drawn.where("i < 20"), truth), 1)
+    return rounded(scoring.energy_score(drawn, truth), 1)
 
 
-@twin()
+@twin(_ENERGY_SQL.replace("@beta", "0.5::DOUBLE"))
 def m7_energy_score_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same from all samples that the other scores take."""
+    """The same with distances to the power one half."""
     _, drawn, truth = _node_samples(spark, d)
-    return rounded(scoring.energy_score(drawn, truth), 1)
+    return rounded(scoring.energy_score(drawn, truth, beta=0.5), 1)
 
 
 @twin("WITH x AS (SELECT o_orderkey, o_totalprice / 1e4 AS y, (o_custkey % 30) + 1.0 AS mu, (o_custkey % 7) + 0.5 AS sigma FROM orders), z AS (SELECT *, (y - mu) / sigma AS z, 1 / (1 + 0.3275911 * (abs((y - mu) / sigma) / 1.4142135623730951)) AS k FROM x), c AS (SELECT *, k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-z * z / 2) / 2 AS tail FROM z) SELECT o_orderkey, round(sigma * (z * (2 * (CASE WHEN z >= 0 THEN 1 - tail ELSE tail END) - 1) + 2 * exp(-z * z / 2) / 2.5066282746310002 - 0.5641895835477563), 6) AS crps FROM c")
@@ -751,12 +766,93 @@ def r7_own_model(spark: SparkSession, d: str) -> DataFrame:
 
 @twin()
 def r8_r10_run_with_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.run(orders_seg(spark, d), SIZE, H, LAG, [0, 1, 2], n=30)
+    """All kinds of candidates; the pooled ones see each series' region and segment, the month and last year's value."""
+    a = orders_seg(spark, d)
+    blocks = features.build_features([("static", features.grouped_static_dummies(a["series"], ["region", "segment"])), ("future_shared", features.month_dummies(a["calendar"])), ("future_series", features.seasonal_naive_anchor(a["obs"], [LAG], H))])
+    return forecast.run(a, SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive", "pooled", "mixture", "skew_t"), blocks=blocks)
 
 
 @twin()
 def r9_m11_run_panel(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30)
+    """The panel run; the pooled fit sees each nation, the month, last year's value and past promotions."""
+    b = parts_panel(spark, d)
+    promo = panel.densify(b["facts"], b["groups"], b["bottom"], b["calendar"], "promo").select("group_id", "series_id", "t", "promo")
+    blocks = features.build_features([("static", features.identity_dummies(b["bottom"])), ("future_shared", features.month_dummies(b["calendar"])), ("future_series", features.seasonal_naive_anchor(b["obs"], [LAG], H)), ("hist", promo)])
+    return forecast.run_panel(b, SIZE, H, LAG, [0, 1, 2], n=30, blocks=blocks)
+
+
+def _naive_sql(domain: str, groups: str, n: int, seeds: str) -> str:
+    """Samples of all nodes (nsm) and their truth (tru) for the test window, drawn around the seasonal naive forecast."""
+    drawn = hash_sql(hash_sql(f"SELECT par.*, i, seed FROM par CROSS JOIN (SELECT unnest(range({n}))::INTEGER AS i) CROSS JOIN (SELECT unnest({seeds})::INTEGER AS seed)", "shared", ["seed", "group_no", "t", "h", "i"], "0"), "own", ["series_no"], "shared")
+    return f"""{_R1_SQL.replace(B_SQL, domain)}, gno AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS group_no FROM {groups}),
+par AS (SELECT a.group_id, group_no, CAST(s - 6 AS INTEGER) AS t, h, a.series_id, node_idx AS series_no, mu, coalesce(sigma, 0) AS sigma FROM anc a CROSS JOIN lim JOIN spread USING (group_id, series_id) JOIN gno USING (group_id) JOIN nodes ON node_id = a.series_id WHERE a.t = s - 6 + h),
+nsm AS (SELECT seed, group_id, t, h, i, node_id, sum(greatest(mu + sigma * z0, 0)) AS y FROM ({normal_sql(drawn, "z0", "own", 0)}) JOIN edges USING (series_id) GROUP BY ALL),
+tru AS (SELECT group_id, CAST(s - 6 AS INTEGER) AS t, CAST(obs.t - (s - 6) AS INTEGER) AS h, node_id, sum(y) AS truth FROM obs CROSS JOIN lim JOIN edges USING (series_id) WHERE obs.t >= s - 6 GROUP BY ALL)"""
+
+
+def _scores_sql(samples: str) -> str:
+    return f"""{samples}, qs AS (SELECT seed, group_id, t, h, node_id, quantile_cont(y, {_GRID}) AS q, {_GRID} AS grid FROM nsm GROUP BY ALL),
+crp AS (SELECT seed, node_id, truth, list_sum(list_transform(range(1, 100), lambda i: greatest(grid[i] * (truth - q[i]), (grid[i] - 1) * (truth - q[i])))) * 2 / 99 AS crps FROM qs JOIN tru USING (group_id, t, h, node_id))
+SELECT seed, coalesce(level, 'Overall') AS level, round(sum(crps), 1) AS crps_sum, round(sum(abs(truth)), 1) AS abs_sum, round(sum(crps) / sum(abs(truth)), 6) AS scrps, 'naive' AS candidate FROM crp JOIN nodes USING (node_id) GROUP BY GROUPING SETS ((seed, level), (seed))"""
+
+
+_NAIVE_A, _NAIVE_B = (_naive_sql(sql, groups, 30, "[0, 1, 2]") for sql, groups in ((A_SQL, "(SELECT '' AS group_id)"), (B_SQL, "grp")))
+
+
+def _by_seed(rows: DataFrame) -> DataFrame:
+    return rows.select("seed", "level", F.round("crps_sum", 1).alias("crps_sum"), F.round("abs_sum", 1).alias("abs_sum"), F.round("scrps", 6).alias("scrps"), "candidate")
+
+
+@twin(_scores_sql(_NAIVE_A))
+def r8_r10_run_naive(spark: SparkSession, d: str) -> DataFrame:
+    """The run of one hierarchy with the one candidate that SQL can state."""
+    return _by_seed(forecast.run(orders_seg(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
+
+
+@twin(_scores_sql(_NAIVE_B))
+def r9_m11_run_panel_naive(spark: SparkSession, d: str) -> DataFrame:
+    """The panel run with the one candidate that SQL can state."""
+    return _by_seed(forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
+
+
+@twin(f"{_NAIVE_B} SELECT seed, group_id, t, h, i, node_id, round(y, 3) AS y FROM nsm")
+def d8_forecast_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of all nodes, in raw units, for the test window of each group."""
+    b, train, test = _b_run(spark, d)
+    bottom = b["nodes"].where("is_bottom").select(F.col("node_id").alias("series_id"), F.col("node_idx").alias("series_no"))
+    groups = b["groups"].select("group_id").withColumn("group_no", F.row_number().over(Window.orderBy("group_id")) - 1)  # a row a group
+    params = forecast.numbered(forecast.seasonal_naive(b["obs"], train, test, LAG, H), bottom, groups)
+    seeds = spark.createDataFrame([(0,), (1,), (2,)], "seed int")
+    return rounded(sampling.sample_coherent(params.crossJoin(F.broadcast(seeds)), b["edges"], 30, "seed", 0), 3)
+
+
+@twin(f"WITH {C_SQL}, {_windows_sql(14, 7)} SELECT group_id, t, series_id, h, round(avg(y), 4) AS mu, round(stddev_samp(y), 4) AS sigma FROM win CROSS JOIN (SELECT unnest(range(7))::INTEGER AS h) WHERE k < 0 GROUP BY ALL")
+def r7_own_model_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same model as r7_own_model, given many windows at once."""
+
+    def model(frame):
+        import numpy as np
+
+        past = np.stack(frame["past"].to_numpy())
+        own = frame[["group_id", "t", "series_id"]].assign(mu=past.mean(axis=1), sigma=past.std(axis=1, ddof=1))
+        return own.loc[own.index.repeat(7)].assign(h=np.tile(np.arange(7), len(own)))[["group_id", "t", "series_id", "h", "mu", "sigma"]]
+
+    c = events_daily(spark, d)
+    at = c["calendar"].select(F.lit("").alias("group_id"), "t")
+    return rounded(forecast.own_model_batches(c["obs"], at, 14, 7, model, "group_id string, t int, series_id string, h int, mu double, sigma double"))
+
+
+@twin(f"WITH {A_SQL}, o AS (SELECT series_id, t, y, coalesce(lag(y, 12) OVER w, first_value(y) OVER w) AS anchor_12 FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)), st AS (SELECT w.t, o.series_id, avg(y) AS loc, stddev_samp(y) + 1e-6 AS scale FROM cal w JOIN o ON o.t >= w.t - 24 AND o.t < w.t GROUP BY ALL) SELECT w.t, h, o.series_id, round((anchor_12 - loc) / scale, 4) AS anchor, round((y - loc) / scale, 4) AS label, CAST(month(w.ds + to_months(h)) AS INTEGER) AS month, split_part(o.series_id, '-', 1) AS region FROM cal w CROSS JOIN (SELECT unnest(range(6))::INTEGER AS h) JOIN o ON o.t = w.t + h JOIN st ON st.t = w.t AND st.series_id = o.series_id WHERE w.t >= 24 AND w.t <= (SELECT max(t) + 1 - 6 FROM cal)")
+def f12_design_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Design vectors of all windows, read back: the rescaled anchor, the month and the region that each holds, and the label."""
+    a = orders_seg(spark, d)
+    blocks = features.build_features([("static", features.grouped_static_dummies(a["series"], ["region"])), ("future_shared", features.month_dummies(a["calendar"])), ("future_series", features.seasonal_naive_anchor(a["obs"], [LAG], H))])
+    rows = design.design(a["obs"], a["calendar"].select(F.lit("").alias("group_id"), "t"), SIZE, H, "standard", design.prepared(blocks))
+    v = vector_to_array("features")
+    at = SIZE + H
+    names = [r["region"] for r in a["bottom"].select("region").distinct().orderBy("region").collect()]
+    region = F.element_at(F.array(*map(F.lit, names)), F.array_position(F.slice(v, at + 14, len(names)), F.lit(1.0)).cast("int"))
+    return rows.select("t", "h", "series_id", F.round(v[at + 12], 4).alias("anchor"), F.round("label", 4).alias("label"), F.array_position(F.slice(v, at + 1, 12), F.lit(1.0)).cast("int").alias("month"), region.alias("region"))
 
 
 _BY_NATION = "SELECT r_name AS level, o_orderkey % 5 AS seed, avg(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE / 1e6 AS scrps FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"
