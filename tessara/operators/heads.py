@@ -122,7 +122,7 @@ def _log_t_below(x: np.ndarray, df: float) -> np.ndarray:
     density = np.exp(_log_t_density(points, df)) * np.cosh(at)
     parts = (density[1:] + density[:-1]) / 2 * (at[1] - at[0])
     first = math.exp(_log_t_density(points[:1], df)[0]) * -points[0] / df
-    return np.interp(np.arcsinh(x), at, np.log(np.minimum(first + np.r_[0.0, np.cumsum(parts)], 1.0)))
+    return np.interp(np.arcsinh(x), at, np.log(np.clip(first + np.r_[0.0, np.cumsum(parts)], 1e-300, 1.0)))
 
 
 def log_skew_t(z: np.ndarray, xi: float, omega: float, lam: float, nu: float) -> np.ndarray:
@@ -147,7 +147,7 @@ def _likelihoods(residuals: DataFrame, points: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def skew_t_fit(residuals: DataFrame, rounds: int = 40, tolerance: float = 1e-8) -> tuple[float, float, float, float]:
+def skew_t_fit(residuals: DataFrame, rounds: int = 15, tolerance: float = 1e-7) -> tuple[float, float, float, float]:
     """(xi, omega, nu, lam) of residuals r by maximum likelihood, from the moments' start.
 
     Newton steps: the score and the Hessian are differences of log likelihood sums that one pass over the rows gives
