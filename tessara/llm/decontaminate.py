@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits, let, plain_words, stored
+from .common import fits, let, named, plain_words, stored
 
 SIZE, SLACK = 10, 3
 
@@ -84,19 +84,37 @@ def _covered(matches: Column) -> Column:
     return F.aggregate(matches, start, add, lambda a: a["n"])
 
 
+def row_key() -> Column:
+    """A number for a row's id and text, by which postings go: rows without an id, or of one id, don't share their candidates. Rows that happen to
+    share a number do, and are checked word by word as all are."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _kept(keep: tuple[str, ...], results: tuple[str, ...]) -> tuple[Column, list[Column]]:
+    """The kept columns as one column _kept, and out of it: one with a result's name is led by "kept_"."""
+    held = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(named(*keep)))) if keep else F.lit(None)
+    taken = {"doc_id", *results}
+    return held.alias("_kept"), [F.col("_kept").getField(f"c{i}").alias(f"kept_{c}" if c in taken else c) for i, c in enumerate(keep)]
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For every document: doc_id, the columns of keep, n_words, matches (array of start, length, phrase, items), n_hit and item_ids (sorted strings)."""
+    """For every document: doc_id, the columns of keep, n_words, matches (array of start, length, phrase, items), n_hit and item_ids (sorted strings).
+
+    Columns of keep that are named like one of these get "kept_" before their names.
+    """
     windows = stored(item_windows(items, size), "windows")
-    rare = stored(anchors(docs, windows), "anchors")
-    postings = stored(occurrences(docs, rare), "postings")
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    rare = stored(anchors(keyed, windows), "anchors")
+    postings = stored(occurrences(keyed, rare), "postings")
     found = stored(candidates(postings, rare), "candidates")
-    own = docs.select("doc_id", *keep, plain_words(F.col("text")).alias("words"))
+    held, kept = _kept(keep, ("n_words", "matches", "n_hit", "item_ids"))
+    own = docs.select("doc_id", held, row_key().alias("_row"), plain_words(F.col("text")).alias("words"))
     none = F.array().cast(found.schema["found"].dataType)
-    joined = own.join(fits(found.withColumnRenamed("doc_id", "found_id"), 50_000), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    joined = own.join(fits(found.withColumnRenamed("doc_id", "found_id"), 50_000), F.col("_row") == F.col("found_id"), "left")
     checked = let(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _verified(w, F.coalesce("found", none)).alias("matches")))
-    rows = joined.select("doc_id", *keep, checked.alias("c")).select("doc_id", *keep, "c.*")
+    rows = joined.select("doc_id", "_kept", checked.alias("c")).select("doc_id", "_kept", "c.*")
     items_of = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"]))))
-    return rows.select("doc_id", *keep, "n_words", "matches", _covered(F.col("matches")).alias("n_hit"), items_of.alias("item_ids"))
+    return rows.select("doc_id", *kept, "n_words", "matches", _covered(F.col("matches")).alias("n_hit"), items_of.alias("item_ids"))
 
 
 def neighbours(postings: DataFrame, rare: DataFrame, slack: int) -> DataFrame:
@@ -134,11 +152,13 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = SLACK, siz
     there, so words may be put in, swapped or, where they stand nearby anyway, left out. Exact passages are near as well.
     """
     windows = stored(item_windows(items, size), "windows")
-    rare = stored(anchors(docs, windows), "anchors")
-    postings = stored(occurrences(docs, rare), "postings")
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    rare = stored(anchors(keyed, windows), "anchors")
+    postings = stored(occurrences(keyed, rare), "postings")
     found = stored(neighbours(postings, rare, slack), "neighbours")
-    own = docs.select("doc_id", *keep, plain_words(F.col("text")).alias("words"))
+    held, kept = _kept(keep, ("near", "near_ids"))
+    own = docs.select("doc_id", held, row_key().alias("_row"), plain_words(F.col("text")).alias("words"))
     none = F.array().cast(found.schema["found"].dataType)
-    joined = own.join(fits(found.withColumnRenamed("doc_id", "found_id"), 50_000), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    rows = joined.select("doc_id", *keep, let(F.col("words"), lambda w: _near(w, F.coalesce("found", none), slack)).alias("near"))
-    return rows.withColumn("near_ids", F.array_sort(F.array_distinct(F.flatten(F.transform("near", lambda m: m["items"])))))
+    joined = own.join(fits(found.withColumnRenamed("doc_id", "found_id"), 50_000), F.col("_row") == F.col("found_id"), "left")
+    rows = joined.select("doc_id", "_kept", let(F.col("words"), lambda w: _near(w, F.coalesce("found", none), slack)).alias("near"))
+    return rows.select("doc_id", *kept, "near", F.array_sort(F.array_distinct(F.flatten(F.transform("near", lambda m: m["items"])))).alias("near_ids"))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, fits, no_gc, stored, text_key, typed, without
+from .common import by_text, fits, named, no_gc, stored, text_key, typed, without
 from .licences import words_of
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -354,7 +354,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: f
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of docs of each group in rows (of join()): the first by doc_id, null last, and text_key; rows without a group stay.
 
-    Rows of one id and one text are aggregated in the tasks before they meet.
+    Rows of one id and one text are aggregated in the tasks before they meet. Columns of any name and type pass through.
     """
     keys = rows.where(F.col("group").isNotNull()).groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("times"))
     keys = stored(keys.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")), "keys")
@@ -365,5 +365,6 @@ def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if not repeated.limit(1).count():
         return kept
     known = repeated.select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"))
-    equal = docs.select(text_key(), F.struct(*docs.columns).alias("row")).join(known, F.col("row.doc_id").eqNullSafe(F.col("its_id")) & F.col("text_key").eqNullSafe(F.col("its_key")), "left_semi")
-    return kept.unionByName(equal.groupBy("row.doc_id", "text_key").agg(F.min("row").alias("row")).select("row.*"))
+    equal = docs.select(text_key(), F.struct(*named(*docs.columns)).alias("row")).join(known, F.col("row.doc_id").eqNullSafe(F.col("its_id")) & F.col("text_key").eqNullSafe(F.col("its_key")), "left_semi")
+    # Rows of one id and text may differ elsewhere: the first as JSON stays, for maps have no order of their own.
+    return kept.union(equal.groupBy("row.doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

@@ -199,16 +199,15 @@ def predict(docs: DataFrame, model: Model, step: int = 1024) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, step: int = 1024) -> DataFrame:
-    """The rows of docs whose language is told with a score of least or more; rows pass through, so nothing is joined."""
+    """The rows of docs whose language is told with a score of least or more. Only texts go to Python, and verdicts come back: columns of any name and type stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with no_gc():
             own = Predictor(sent.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    told = own.of([t or "" for t in part.column("text").to_pylist()])
-                    yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in told]))
+            for batch in texts:
+                said = batch.fillna("").tolist()
+                told = [x for at in range(0, len(said), step) for x in own.of(said[at : at + step])]
+                yield pd.Series([lang != "und" and score >= least for lang, score, _ in told], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.pandas_udf(run, "boolean")("text"))

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 tokenizers = pytest.importorskip("tokenizers")
@@ -148,3 +149,42 @@ def test_stages_equal_a_brute_force_over_odd_rows(spark, tmp_path):
         clean = plain_passages(single, items)
         assert len(clean) < len(single) and left("benchmark_passages", single) == Counter(clean)
     assert all(not left(name, []) for name in stages)
+
+
+def test_stages_let_any_columns_pass_and_take_odd_rows(spark, tmp_path):
+    """Columns with dots, of names that stages use, maps and arrays of structs; repeated rows, null ids and texts, and a very long text."""
+    rows, items = odd_corpus(8)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    longest = " ".join(f"w{i}x{i % 7}y" for i in range(60_000))
+    own = [(i, t, lang, s, n, 1.5, [("q", 1)], {"k": "v"}, "kept", b"x", 7) for i, t, lang, s, n in [*rows[:90], *rows[:20], (None, rows[0][1], "aa", "s", 0), (500, longest, "aa", "s", 0), (501, longest + " end", "aa", "s", 0)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, `a.b` double, `c``d` array<struct<x:string,y:int>>, matches map<string,string>, row string, text_key binary, n_hit int"
+    docs = spark.createDataFrame(own, schema).repartition(3)
+    plain = spark.createDataFrame([r[:5] for r in own], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.schema == docs.schema, name
+        want = Counter((r.doc_id, r.text) for r in stage(spark, plain, str(tmp_path)).collect())
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == want and want, name
+    assert corpus_pipeline.token_ids(spark, docs, str(tmp_path)).count() == len(own)
+
+
+def test_rows_are_removed_by_key_with_few_bits_and_many(spark, monkeypatch):
+    from tessara.llm import common
+
+    docs = spark.range(5000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 900).alias("text"), F.lit(1).alias("a.b"))
+    keys = docs.where("text < 't3'").select("doc_id", common.text_key())
+    want = Counter((r.doc_id, r.text) for r in docs.where("text >= 't3'").collect())
+    for most in (common.LEAST, 1 << 20):
+        monkeypatch.setattr(common, "MOST", most)
+        got = common.without(docs, keys)
+        assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == want
+    assert common.without(docs, keys.limit(0)).count() == 5000
+
+
+def test_kept_columns_may_have_a_results_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, "z")], "doc_id long, text string, matches int, n_words int, `x.y` string")
+    items = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    got = corpus_pipeline.decontaminate.phrase_matches(docs, items, keep=("matches", "n_words", "x.y")).first()
+    assert (got.kept_matches, got.kept_n_words, got["x.y"], got.n_words, got.n_hit) == (5, 6, "z", 3, 2)
+    near = corpus_pipeline.decontaminate.proximity_matches(docs, items, keep=("matches",)).first()
+    assert near.matches == 5 and near.near_ids == ["1"]
