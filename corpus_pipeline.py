@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
 ``documents``; the last returns the kept documents' token ids. run() writes every stage's rows to the
 shared folder and reads them again, so a lost executor costs at most one stage's work.
+
+For all stages: a null text counts as an empty one; null ids stay null and tell no rows apart, so decisions go by id and text;
+repeated rows are judged alike, and only near_copies leaves one of them; texts are taken whole, however long; an empty table gives an
+empty one; further columns of any name and type pass through. In quality_rules and language_id empty texts go; in near_copies
+texts without words are copies of none; ties between copies go to the smallest id, null last, then to the smallest digest of the text.
 """
 
 from __future__ import annotations
