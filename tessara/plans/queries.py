@@ -740,6 +740,19 @@ def r5_skew_t(spark: SparkSession, d: str) -> DataFrame:
     return heads.skew_t_of(_pooled(spark, d)[1].select((F.col("label") - F.col("prediction")).alias("r")))
 
 
+@twin(
+    f"""WITH {A_SQL}, r AS (SELECT y - coalesce(lag(y, 12) OVER w, first_value(y) OVER w) AS r FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)), c AS (SELECT r - (SELECT avg(r) FROM r) AS x FROM r),
+m AS (SELECT avg(x * x * x) / pow(avg(x * x), 1.5) AS s, avg(x * x * x * x) / pow(avg(x * x), 2) - 3 AS e FROM c), p AS (SELECT *, pow(least(abs(s), 0.99), 2.0 / 3) AS size FROM m),
+d AS (SELECT *, sqrt(pi() / 2 * size / (size + pow((4 - pi()) / 2, 2.0 / 3))) AS d FROM p)
+SELECT round(CASE WHEN e > 0 THEN least(4 + 6 / e, 200.0) ELSE 200.0 END, 6)::DOUBLE AS nu, round(sign(s) * d / sqrt(1 - d * d), 6) AS lam FROM d"""
+)
+def r5_skew_t_moments(spark: SparkSession, d: str) -> DataFrame:
+    """nu and lam of the seasonal naive residuals of all series and steps, by moments."""
+    obs = orders_seg(spark, d)["obs"]
+    anchored = features.seasonal_naive_anchor(obs, [LAG], H).join(obs, ["group_id", "series_id", "t"])
+    return rounded(heads.skew_t_of(anchored.select((F.col("y") - F.col(f"anchor_{LAG}")).alias("r"))), 6)
+
+
 @twin(f"{_R1_SQL}, c AS (SELECT 'lag ' || lag_ AS candidate, avg(abs(o.y - p.y)) / avg(abs(o.y)) AS scrps FROM (SELECT unnest([6, 12, 24]) AS lag_) CROSS JOIN obs o JOIN obs p ON p.group_id = o.group_id AND p.series_id = o.series_id AND p.t = o.t - lag_ WHERE o.t >= 24 GROUP BY ALL) SELECT candidate, round(scrps, 6) AS scrps FROM c ORDER BY c.scrps LIMIT 1")
 def r6_best_candidate(spark: SparkSession, d: str) -> DataFrame:
     obs = parts_panel(spark, d)["obs"]
