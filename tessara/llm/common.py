@@ -63,6 +63,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set")
         conf = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", conf)
+    if "://" not in conf and not conf.startswith("file:"):  # as Spark takes it: in the cluster's default file system, which Python's readers can't know
+        where = spark._jvm.org.apache.hadoop.fs.Path(conf)
+        conf = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(conf)
     return f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}"

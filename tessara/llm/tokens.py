@@ -8,7 +8,8 @@ from sums of their counts. Reading takes one row for each file's run of blocks.
 
 Null texts count as empty; each document ends with ``end``. Documents without an id come first, as
 Spark sorts them; equal ids are ordered by their texts. Empty tables give no files and no rows, further columns are ignored,
-and a file of more than 2 ** 20 different ids, more than its frequency table can tell apart, raises.
+and a file of more than 2 ** 20 different ids, more than its frequency table can tell apart, raises. Document ids are whole numbers: the files hold them
+as such, and an id that is none raises. Very long texts are whole in one record; rows of one id and one text tie and follow each other.
 """
 
 from __future__ import annotations

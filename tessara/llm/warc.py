@@ -13,7 +13,7 @@ the index, whatever the number of captures), the blocks by binary search in the
 
 A null html counts as empty, a null url has the empty key; rows that repeat the smallest id are all
 responses; a payload whose pages have no id is a response each time; an empty table gives no files and
-no rows; further columns are ignored.
+no rows; further columns are ignored. Page ids are whole numbers; an id that is none raises. Ties in a url's key go by page id; very long pages are one record.
 """
 
 from __future__ import annotations

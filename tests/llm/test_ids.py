@@ -34,3 +34,13 @@ def test_archives_refer_to_exact_ids(spark):
     rows = warc.read(warc.lookup(warc.build_index(warc.write(pages)), pages)).collect()
     assert sorted((r.page_id for r in rows), key=str) == sorted(IDS, key=str)
     assert {r.page_id: r.refers_to for r in rows} == {BIG + 1: None, BIG + 2: BIG + 1, None: None, BIG + 4: None}
+
+
+def test_shared_paths_name_their_file_system(spark):
+    from tessara.llm import files
+    from tessara.llm.common import shared_dir
+
+    path = shared_dir(spark, "x")
+    assert path.startswith("file:/")
+    files.put(f"{path}/a", [b"one", b"two"])
+    assert files.get(f"{path}/a") == b"onetwo" and spark.read.text(path).first()[0] == "onetwo"
