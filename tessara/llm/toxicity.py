@@ -1,9 +1,10 @@
 """Toxicity of texts from their nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows: at most SAMPLE_ROWS of each label, by a hash of doc_id,
-which bounds everything that is broadcast. Features are all words of the examples and their GRAM-letter
+Examples are a bounded sample of labelled rows: at most SAMPLE_ROWS and SAMPLE_BYTES of each label, by a hash of doc_id, and
+no text over LONGEST_EXAMPLE bytes (such texts are scored whole all the same), which bounds everything that is broadcast. Features are all words of the examples and their GRAM-letter
 pieces. A feature's weight is its IDF, raised by the square of its log lift where document frequencies differ between
-the labels (in full where the chi-square is far above CHI): none is without weight. The examples lie in an
+the labels (in full where the chi-square is far above CHI): none is without weight. fit(chi=None) leaves that factor out and so
+takes plain TF-IDF. The examples lie in an
 inverted index of two parts. Features of few examples have sparse postings, which a query adds up whole. The
 others have block postings: each block holds those of BLOCK examples and each feature's largest weight in it, and
 a query visits only blocks whose bound reaches the K-th best sum of the first part, so its neighbours are exact. Their
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, no_gc, typed
+from .common import by_text, no_gc, stored, typed
 from .licences import words_of
 
 SAMPLE_ROWS, CHI, GRAM, BLOCK, K, KEPT_WORDS = 3000, 12.0, 5, 64, 15, 1_000_000
+#: Most bytes of the examples of a label together, and of one.
+SAMPLE_BYTES, LONGEST_EXAMPLE = 48 << 20, 1 << 20
 #: Share of the examples from which a feature's postings lie in blocks.
 COMMON = 0.05
 #: Features of kept words, with KEPT_WORDS the bound of what a task remembers.
@@ -161,17 +164,19 @@ class Terms:
 
 
 def examples(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, text, y of the sampled examples, and how many labelled rows have each label."""
+    """doc_id, text, y of the sampled examples, and how many labelled rows have each label. The sample is stored: it is read several times."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # one row a label
     drawn = known.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     share = F.when(F.col("y") == 1, F.lit(min(1.0, 2 * n / counts.get(1, 1)))).otherwise(F.lit(min(1.0, 2 * n / max(1, sum(v for k, v in counts.items() if k != 1)))))
     ranked = drawn.where(F.col("u") < share).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("u", "doc_id")))
-    chosen = F.broadcast(ranked.where(F.col("rank") <= n).select("doc_id", F.col("y").cast("int").alias("y")))  # at most n rows a label
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id"), counts
+    chosen = F.broadcast(ranked.where(F.col("rank") <= n).select("doc_id", F.col("y").cast("int").alias("y"), "rank"))  # at most n rows a label
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").where(F.octet_length("text") <= LONGEST_EXAMPLE)
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return stored(rows.withColumn("bytes", so_far).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id", "text", "y"), "examples"), counts
 
 
-def _weighed_features(rows: DataFrame, n_of: dict[int, int]) -> pa.Table:
+def _weighed_features(rows: DataFrame, n_of: dict[int, int], chi_of_half: float | None) -> pa.Table:
     """feature, df, telling of all features: 1, and more where document frequencies differ between the labels; those of many rows first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,17 +192,17 @@ def _weighed_features(rows: DataFrame, n_of: dict[int, int]) -> pa.Table:
     total, df = ones + zeros, F.col("a") + F.col("b")
     chi = total * F.pow(F.col("a") * zeros - F.col("b") * ones, 2.0) / (F.lit(float(ones) * zeros) * df * F.greatest(total - df, F.lit(1)))
     lift = (F.col("a") + 0.5) / (ones + 1) / ((F.col("b") + 0.5) / (zeros + 1))
-    telling = 1 + F.pow(F.log(lift), 2.0) * F.col("chi") / (F.col("chi") + CHI)
+    telling = F.lit(1.0) if chi_of_half is None else 1 + F.pow(F.log(lift), 2.0) * F.col("chi") / (F.col("chi") + chi_of_half)
     return by.withColumn("chi", chi).select("feature", df.alias("df"), telling.alias("telling")).orderBy(F.desc("df"), "feature").toArrow()
 
 
-def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> Index:
-    """An index of examples of docs (doc_id, text) with labels (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS, chi: float | None = CHI) -> Index:
+    """An index of examples of docs (doc_id, text) with labels (doc_id, toxic). chi: the chi-square at which half the label factor counts; None: plain TF-IDF."""
     rows, counts = examples(docs, labels, n)
     n_of = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    found = _weighed_features(rows, n_of) if len(n_of) > 1 else pa.table({"feature": [], "df": [], "telling": []})
+    found = _weighed_features(rows, n_of, chi) if len(n_of) > 1 else pa.table({"feature": [], "df": [], "telling": []})
     joined = b" ".join(found["feature"].to_pylist())
     features = _numbered(joined)
     df = np.asarray(found["df"], np.float64)

@@ -98,6 +98,28 @@ def test_both_parts_of_the_index_give_all_cosines(spark, monkeypatch):
         assert np.allclose(cosine, np.sort(every[f, i] @ every[f])[::-1][:9], atol=1e-5)
 
 
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels, truth = corpus(spark)
+    long = spark.createDataFrame([(2000, "zorgly " * 9_000, 0.5)], docs.schema)
+    marked = labels.unionByName(spark.createDataFrame([(2000, 1, 1)], labels.schema))
+    monkeypatch.setattr(toxicity, "LONGEST_EXAMPLE", 60_000)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 12_000)
+    rows, counts = toxicity.examples(docs.unionByName(long), marked)
+    got = rows.collect()
+    assert counts == {0: 320, 1: 81} and 2000 not in {r.doc_id for r in got}
+    for y in (0, 1):
+        assert 11_000 < sum(len(r.text.encode()) for r in got if r.y == y) <= 12_000
+    index = toxicity.fit(docs.unionByName(long), marked)
+    assert toxicity.score(long, index).first().score >= 0.5
+
+
+def test_plain_tf_idf_has_no_label_factor(spark):
+    docs, labels, _ = corpus(spark, 100)
+    index = toxicity.fit(docs, labels, chi=None)
+    df = Counter(f for r in docs.collect() for f in set().union(*(toxicity.features_of(w) for w in r.text.encode().split())))
+    assert all(math.isclose(index.idf[k], math.log(101 / (1 + df[f])) + 1) for f, k in index.features.items())
+
+
 def test_long_words_give_pieces(spark):
     assert b"b" * 5 in toxicity.features_of(b"a" * 100 + b"b" * 5)
     docs, labels, _ = corpus(spark)
