@@ -109,5 +109,5 @@ def split_sizes(windows: DataFrame) -> DataFrame:
 
 def subsample(windows: DataFrame, limit: int, seed: int) -> DataFrame:
     """limit windows by a draw on (seed, t, group's number); the same for any partitioning."""
-    keyed = hashed(windows.withColumn("_g", F.crc32(F.col("group_id").cast("binary"))), "_draw", [seed, F.col("_g") % 2_147_483_647, "t"])
+    keyed = hashed(windows.withColumn("_g", F.crc32(F.col("group_id").cast("binary"))), "_draw", [seed, "_g", "t"])
     return keyed.orderBy("_draw", "group_id", "t").limit(limit).drop("_draw", "_g")

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..operators import hierarchy, panel
 
 A_END, B_END = "2001-07-31", "2001-10-31"
@@ -117,15 +118,23 @@ obs AS (SELECT '' AS group_id, ser.series_id, cal.ds, cal.t, CAST(coalesce(n, 0)
 
 def hash_sql(source: str, name: str, keys: list[str], start: str) -> str:
     """SQL for draws.hashed(): source with a column name, a step of a key in a select of its own."""
-    sql, prime = f"SELECT *, CAST({start} AS BIGINT) AS {name} FROM ({source})", 2147483647
+    x, y, power = f"{name}_a", f"{name}_b", f"{name}_4"
+    sql = f"SELECT *, CAST({start} AS BIGINT) // {draws.HALF} AS {x}, CAST({start} AS BIGINT) % {draws.HALF} AS {y} FROM ({source})"
     for key in keys:
-        sql = f"SELECT * REPLACE (({name} * 48271 + CAST({key} AS BIGINT) * 69621 + 12345) % {prime} AS {name}) FROM ({sql})"
-        sql = f"SELECT *, {name} * {name} % {prime} AS p2 FROM ({sql})"
-        sql = f"SELECT * EXCLUDE (p2) REPLACE ((p2 * p2 % {prime}) * {name} % {prime} AS {name}) FROM ({sql})"
-    return sql
+        for own, other, prime in ((x, y, draws.PRIME), (y, x, draws.SECOND)):
+            k = f"(CAST({key} AS BIGINT) % {prime} + {prime}) % {prime}"
+            sql = f"SELECT * REPLACE (({own} * 48271 + {other} * 40692 + {k} * 69621 + 12345) % {prime} AS {own}) FROM ({sql})"
+            sql = f"SELECT *, {own} * {own} % {prime} AS {power} FROM ({sql})"
+            sql = f"SELECT * EXCLUDE ({power}) REPLACE (({power} * {power} % {prime}) * {own} % {prime} AS {own}) FROM ({sql})"
+    return f"SELECT * EXCLUDE ({x}, {y}), {x} * {draws.HALF} + {y} AS {name} FROM ({sql})"
+
+
+def uniform_sql(column: str) -> str:
+    """SQL for draws.uniform()."""
+    return f"(({column} // {1 << (62 - draws.BITS)} + 0.5::DOUBLE) / {1 << draws.BITS}::DOUBLE)"
 
 
 def normal_sql(source: str, name: str, start: str, stream: int) -> str:
     """SQL for draws.with_normal()."""
     both = hash_sql(hash_sql(source, "u_", [str(2 * stream)], start), "v_", [str(2 * stream + 1)], start)
-    return f"SELECT * EXCLUDE (u_, v_), sqrt(-2 * ln((u_ + 0.5) / 2147483647.0::DOUBLE)) * cos(2 * pi() * ((v_ + 0.5) / 2147483647.0::DOUBLE)) AS {name} FROM ({both})"
+    return f"SELECT * EXCLUDE (u_, v_), sqrt(-2 * ln({uniform_sql('u_')})) * cos(2 * pi() * {uniform_sql('v_')}) AS {name} FROM ({both})"

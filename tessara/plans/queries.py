@@ -13,7 +13,7 @@ from ..operators import design, features, forecast, heads, hierarchy, panel, sam
 from ..sources import facts as fact_sources
 from ..sources import hierarchy_csv
 from ..sources import panel as panel_source
-from .domains import A_END, A_SQL, B_SQL, C_SQL, events_daily, hash_sql, month, normal_sql, one_group, orders_seg, parts_panel, read, scratch, until
+from .domains import A_END, A_SQL, B_SQL, C_SQL, events_daily, hash_sql, month, normal_sql, one_group, orders_seg, parts_panel, read, scratch, uniform_sql, until
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,7 +383,7 @@ _CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transf
 _VAL_SQL = f"SELECT group_id, t, split, {_CRC_SQL} AS g FROM r WHERE split = 'val'"
 
 
-@twin(f"{_PANEL_SPLIT_SQL} SELECT group_id, t, split FROM ({hash_sql(_VAL_SQL, 'draw', ['3', 'g % 2147483647', 't'], '0')}) ORDER BY draw, group_id, t LIMIT 16")
+@twin(f"{_PANEL_SPLIT_SQL} SELECT group_id, t, split FROM ({hash_sql(_VAL_SQL, 'draw', ['3', 'g', 't'], '0')}) ORDER BY draw, group_id, t LIMIT 16")
 def w8_subsample(spark: SparkSession, d: str) -> DataFrame:
     return windows.subsample(w6_panel_split(spark, d).where("split = 'val'"), 16, 3)
 
@@ -566,7 +566,7 @@ def d2_skew_t_draws(spark: SparkSession, d: str) -> DataFrame:
 _GUMBEL = hash_sql(hash_sql(_draw_sql([0]), "g0", ["50"], "own"), "g1", ["51"], "own")
 
 
-@twin(f"{_PARAMS_SQL}, g AS (SELECT *, ln(0.3::DOUBLE) - ln(-ln((g0 + 0.5) / 2147483647.0::DOUBLE)) > ln(0.7::DOUBLE) - ln(-ln((g1 + 0.5) / 2147483647.0::DOUBLE)) AS first_one FROM ({_GUMBEL})) SELECT group_id, t, h, series_id, i, round(CASE WHEN first_one THEN mu + sigma * z0 ELSE 2 * mu + 0.5 * sigma * z0 END + f, 2) AS y FROM g")
+@twin(f"{_PARAMS_SQL}, g AS (SELECT *, ln(0.3::DOUBLE) - ln(-ln({uniform_sql('g0')})) > ln(0.7::DOUBLE) - ln(-ln({uniform_sql('g1')})) AS first_one FROM ({_GUMBEL})) SELECT group_id, t, h, series_id, i, round(CASE WHEN first_one THEN mu + sigma * z0 ELSE 2 * mu + 0.5 * sigma * z0 END + f, 2) AS y FROM g")
 def d3_mixture_draws(spark: SparkSession, d: str) -> DataFrame:
     _, params = _params(spark, d)
     mixed = params.withColumn("mu_k", F.array("mu", 2 * F.col("mu"))).withColumn("sigma_k", F.array("sigma", 0.5 * F.col("sigma"))).withColumn("logits", F.array(F.log(F.lit(0.3)), F.log(F.lit(0.7)))).drop("mu", "sigma")
@@ -586,7 +586,7 @@ def d4_coherent_draws(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_node_samples(spark, d)[1], 2)
 
 
-@twin(f"WITH r AS ({normal_sql(hash_sql('SELECT o_orderkey, o_custkey FROM orders', 'x_', ['o_orderkey', 'o_custkey'], '11'), 'z', 'x_', 1)}) SELECT o_orderkey, o_custkey, round((x_ + 0.5) / 2147483647.0::DOUBLE, 6) AS u, round(z, 6) AS z FROM r")
+@twin(f"WITH r AS ({normal_sql(hash_sql('SELECT o_orderkey, o_custkey FROM orders', 'x_', ['o_orderkey', 'o_custkey'], '11'), 'z', 'x_', 1)}) SELECT o_orderkey, o_custkey, round({uniform_sql('x_')}, 6) AS u, round(z, 6) AS z FROM r")
 def d5_draws(spark: SparkSession, d: str) -> DataFrame:
     rows = draws.hashed(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "x", ["o_orderkey", "o_custkey"], 11)
     return rounded(draws.with_normal(rows, "z", "x", 1).select("o_orderkey", "o_custkey", draws.uniform("x").alias("u"), "z"), 6)

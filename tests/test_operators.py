@@ -77,6 +77,21 @@ def test_windows_and_splits(spark, small):
     assert sizes == {"train": 6 * (48 - 4 - 8 + 1), "val": 6 * (56 - 4 - 48 + 1), "test": 6}
 
 
+def test_states_do_not_repeat(spark):
+    n = 3_000_000  # with 31 bits some 2,000 states would
+    one = draws.hashed(spark.range(n), "x", ["id"], 5)
+    two = draws.hashed(spark.range(n).select((F.col("id") % 1000 - 500).alias("a"), F.floor(F.col("id") / 1000).alias("b")), "x", ["a", "b"], 5)
+    for rows in (one, two):
+        assert rows.select("x").distinct().count() == n
+        got = rows.agg(F.min("x"), F.max("x"), F.avg(draws.uniform("x")), F.stddev(draws.uniform("x")), F.count_distinct(F.shiftright("x", 31)), F.corr(draws.uniform("x"), F.col("x") % draws.HALF)).first()
+        assert 0 <= got[0] < got[1] < 1 << 62 and abs(got[2] - 0.5) < 1e-3 and abs(got[3] - 12**-0.5) < 1e-3
+        assert got[4] > n * 0.999 and abs(got[5]) < 3e-3
+    cells = one.groupBy(F.floor(draws.uniform("x") * 16), F.floor((F.col("x") % 65536) / 4096)).count().agg(F.count("*"), F.min("count"), F.max("count")).first()
+    assert cells[0] == 256 and cells[1] > n / 256 * 0.95 and cells[2] < n / 256 * 1.05
+    following = one.join(one.select((F.col("id") - 1).alias("id"), F.col("x").alias("next")), "id").agg(F.corr(draws.uniform("x"), draws.uniform("next"))).first()[0]
+    assert abs(following) < 3e-3
+
+
 def test_subsamples_do_not_follow_partitions(spark):
     rows = spark.range(500).select((F.col("id") % 7).cast("string").alias("group_id"), F.col("id").cast("int").alias("t"))
     picks = [sorted(map(tuple, windows.subsample(r, 20, s).collect())) for r, s in ((rows, 1), (rows.repartition(13), 1), (rows, 2))]
