@@ -4,15 +4,15 @@ from pyspark.sql import functions as F
 from tessara.operators import hierarchy
 from tessara.sources import facts, hierarchy_csv, panel
 
-LEVELS = [("Total", 0, 1), ("Group", 1, 3), ("Bottom", 3, 7)]
-NAMES = ["Total", "a", "b", "['a', 'x']", "a.y", "b-x", "b y"]
+LEVELS = [("All", 0, 1), ("Area", 1, 3), ("Leaf", 3, 8)]
+NAMES = ["All", "hill", "dale", "['hill', 1]", "hill.2", "hill-3", "dale 4", "dale/5"]
 
 
 def _files(path, names=NAMES):
     quoted = [f'"{n}"' for n in names]
-    values = lambda b: [sum(b), b[0] + b[1], b[2] + b[3], *b]
-    data = [",".join(["", *quoted])] + [",".join([f"2020-0{m}-01", *map(str, values([m, 2 * m, 3, 4.5]))]) for m in range(1, 6)]
-    matrix = [[1, 1, 1, 1], [1, 1, 0, 0], [0, 0, 1, 1]] + [[int(i == j) for j in range(4)] for i in range(4)]
+    values = lambda b: [sum(b), sum(b[:3]), sum(b[3:]), *b]
+    data = [",".join(["", *quoted])] + [",".join([f"2020-0{m}-01", *map(str, values([m, 7, 2.5 * m, m * m, 9 - m]))]) for m in range(1, 6)]
+    matrix = [[1] * 5, [1, 1, 1, 0, 0], [0, 0, 0, 1, 1]] + [[int(i == j) for j in range(5)] for i in range(5)]
     rows = [",".join(["", *(f'"{n}"' for n in NAMES[3:])])] + [",".join([f'"{n}"', *(f"{w}.0" for w in m)]) for n, m in zip(NAMES, matrix, strict=True)]
     (path / "data.csv").write_text("\n".join(data))
     (path / "agg.csv").write_text("\n".join(rows))
@@ -21,10 +21,10 @@ def _files(path, names=NAMES):
 
 def test_hierarchies_from_two_files(spark, tmp_path):
     h = hierarchy_csv.read_hierarchy(spark, *_files(tmp_path), LEVELS, end_date="2020-04-01")
-    assert (h.obs.count(), h.stored.count(), h.edges.count(), h.calendar.count()) == (16, 12, 12, 4)
+    assert (h.obs.count(), h.stored.count(), h.edges.count(), h.calendar.count()) == (20, 12, 15, 4)
     assert hierarchy.check_identity(h.nodes, h.edges).count() == 0
     assert hierarchy.verify_coherence(h.obs, h.edges, h.stored).count() == 0
-    assert {r.node_id: r.level for r in h.nodes.collect()}["['a', 'x']"] == "Bottom"
+    assert {r.node_id: r.level for r in h.nodes.collect()}["['hill', 1]"] == "Leaf"
 
 
 def test_names_must_agree(spark, tmp_path):
