@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import hierarchy, sampling, scoring, windows
 from .design import STEP, design, prepared, series_arrays, windows_of
 from .heads import factor_spread, mixture_of, skew_t_fit
+from .packed import coherent_packed
 
 #: Parameters of every kind, by name and type; a row has null where its kind has no such parameter.
 KINDS = {"mu": "double", "sigma": "double", "loadings": "array<double>", "nu": "double", "lam": "double", "mu_k": "array<double>", "sigma_k": "array<double>", "logits": "array<double>"}
@@ -143,15 +144,17 @@ def own_model_batches(obs: DataFrame, at: DataFrame, size: int, h: int, model: C
     return rows.mapInPandas(run, schema)
 
 
-def evaluate(params: DataFrame, obs: DataFrame, at: DataFrame, edges: DataFrame, nodes: DataFrame, h: int, n: int, k: int, seeds: list[int], estimator: str = "quantile", truth: DataFrame | None = None, floor: float | None = 1e-12, components: int = 0) -> DataFrame:
+def evaluate(params: DataFrame, obs: DataFrame, at: DataFrame, edges: DataFrame, nodes: DataFrame, h: int, n: int, k: int, seeds: list[int], estimator: str = "quantile", truth: DataFrame | None = None, floor: float | None = 1e-12, components: int = 0, packed: bool = False) -> DataFrame:
     """(candidate,) seed, level, crps_sum, abs_sum, scrps: ratio of sums over all groups, windows and horizons of the windows at.
 
     truth (group_id, t, h, node_id, truth): stored aggregates; else bottom targets are summed up. All seeds and, where params
-    have a column candidate, all candidates run in one job: they are keys of draws and scores.
+    have a column candidate, all candidates run in one job: they are keys of draws and scores. packed: a cell's n draws are one array
+    (``packed``), so that shuffles carry a row a cell and not a row a draw; scores agree but for rounding.
     """
     keep = ("candidate",) if "candidate" in params.columns else ()
     of_seed = F.broadcast(params.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed int"))  # a row a seed
-    drawn = sampling.sample_coherent(params.crossJoin(of_seed), edges, n, "seed", k, components=components, keep=keep)
+    draw = coherent_packed if packed else sampling.sample_coherent
+    drawn = draw(params.crossJoin(of_seed), edges, n, "seed", k, components=components, keep=keep)
     if truth is None:
         truth = hierarchy.aggregate(targets(obs, at, h), edges, "truth", ("group_id", "t", "h"))
     crps = scoring.crps_quantile if estimator == "quantile" else scoring.crps_mc
@@ -161,13 +164,13 @@ def evaluate(params: DataFrame, obs: DataFrame, at: DataFrame, edges: DataFrame,
     return levels.withColumn("level", F.coalesce("level", F.lit("Overall"))).withColumn("scrps", scoring._ratio(floor))
 
 
-def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n: int = 100, candidates: tuple[str | Candidate, ...] = ("naive", "pooled"), scaler: str = "mean_floor", split: DataFrame | None = None, groups: DataFrame | None = None, k: int = 2, estimator: str = "quantile", blocks: dict[str, DataFrame] | None = None, components: int = 2, val_windows: int | None = None) -> DataFrame:
+def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[int], n: int = 100, candidates: tuple[str | Candidate, ...] = ("naive", "pooled"), scaler: str = "mean_floor", split: DataFrame | None = None, groups: DataFrame | None = None, k: int = 2, estimator: str = "quantile", blocks: dict[str, DataFrame] | None = None, components: int = 2, val_windows: int | None = None, packed: bool = False) -> DataFrame:
     """dataset run: split, fit the candidates, choose by validation, draw for the test windows, score each seed by level.
 
     tables: obs, nodes, edges, calendar. groups (group_id, group_no) makes it a panel run; split: (group_id, t, split).
     candidates: names of kinds, or Candidates with scalers and lags of their own; those of one scaler share a design and a fit, and all are drawn and
     scored by one job. blocks: of features.build_features, seen by the pooled fits; historical columns are scaled by the steps before
-    validation. val_windows: so many validation windows, drawn with the first seed.
+    validation. val_windows: so many validation windows, drawn with the first seed. packed: as in evaluate.
     """
     obs, nodes, edges, calendar = (tables[x] for x in ("obs", "nodes", "edges", "calendar"))
     spark = obs.sparkSession
@@ -205,10 +208,10 @@ def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[i
     mixed = components if "mixture" in kinds else 0
     chosen = named[0]
     if len(named) > 1:
-        scores = evaluate(params(val, named), obs, val, edges, nodes, h, n, k, seeds[:1], "quantile", floor=1e-8, components=mixed)
+        scores = evaluate(params(val, named), obs, val, edges, nodes, h, n, k, seeds[:1], "quantile", floor=1e-8, components=mixed, packed=packed)
         best = best_candidate(scores.where("level = 'Overall'").select("candidate", "scrps")).first()["candidate"]
         chosen = next(c for c in named if c.name == best)
-    result = evaluate(params(test, [chosen]), obs, test, edges, nodes, h, n, k, seeds, estimator, components=mixed)
+    result = evaluate(params(test, [chosen]), obs, test, edges, nodes, h, n, k, seeds, estimator, components=mixed, packed=packed)
     return result.select("seed", "level", "crps_sum", "abs_sum", "scrps", "candidate")
 
 

@@ -20,7 +20,8 @@ def _out(seed: int | str) -> list[str]:
     return [seed, *OUT] if isinstance(seed, str) else OUT
 
 
-def _need(params: DataFrame, columns: list[str]) -> None:
+def need(params: DataFrame, columns: list[str]) -> None:
+    """Raises if params lack one of the columns or of the keys of draws."""
     if missing := {"group_no", "series_no", "group_id", "t", "h", "series_id", *columns} - set(params.columns):
         raise ValueError(f"parameters lack {sorted(missing)}")
 
@@ -43,14 +44,14 @@ def _with_factors(rows: DataFrame, k: int) -> DataFrame:
 
 def sample_factor(params: DataFrame, n: int, seed: int | str, k: int) -> DataFrame:
     """mu + sigma z + loadings . eps for n draws; k: how many factors there are."""
-    _need(params, ["mu", "sigma", "loadings"])
+    need(params, ["mu", "sigma", "loadings"])
     rows = with_normal(_with_factors(_keyed(params, n, seed), k), "_z", "_own", 0)
     return rows.withColumn("y", F.col("mu") + F.col("sigma") * F.col("_z") + F.col("_f")).select(*_out(seed))
 
 
 def sample_skew_t(params: DataFrame, n: int, seed: int | str, k: int) -> DataFrame:
     """Skewed t noise with nu and lam: a chi-square by its cube-root normal."""
-    _need(params, ["mu", "sigma", "loadings", "nu", "lam"])
+    need(params, ["mu", "sigma", "loadings", "nu", "lam"])
     rows = _with_factors(_keyed(params, n, seed), k)
     for stream in range(3):
         rows = with_normal(rows, f"_n{stream}", "_own", stream)
@@ -63,7 +64,7 @@ def sample_skew_t(params: DataFrame, n: int, seed: int | str, k: int) -> DataFra
 
 def sample_mixture(params: DataFrame, n: int, seed: int | str, k: int, components: int) -> DataFrame:
     """One component a draw by the largest logit plus Gumbel noise, then the factor model with its mu_k and sigma_k."""
-    _need(params, ["mu_k", "sigma_k", "logits", "loadings"])
+    need(params, ["mu_k", "sigma_k", "logits", "loadings"])
     rows = _with_factors(_keyed(params, n, seed), k)
     best = []
     for c in range(components):
@@ -78,7 +79,7 @@ def sample_mixed(params: DataFrame, n: int, seed: int | str, k: int, components:
 
     A row is drawn as its own kind alone would be: shocks are keyed without keep, so candidates meet the same ones.
     """
-    _need(params, ["mu", "sigma", "loadings"])
+    need(params, ["mu", "sigma", "loadings"])
     rows = with_normal(_with_factors(_keyed(params, n, seed), k), "_n0", "_own", 0)
     noise = F.col("_n0")
     if "nu" in params.columns:

@@ -1,4 +1,7 @@
-"""Scores of samples (keys, y) against truth, and their tables by level, dataset and seed."""
+"""Scores of samples against truth, and their tables by level, dataset and seed.
+
+Samples have a row a draw (keys, i, y), or a row a cell with its draws as an array (keys, ys): the scores take both.
+"""
 
 from __future__ import annotations
 
@@ -21,10 +24,36 @@ def quantile_grid(step: float = 0.01) -> list[float]:
     return [round(step * k, 10) for k in range(1, int(1 / step + 1)) if round(step * k, 10) < 1]
 
 
+def array_quantiles(ys: Column, grid: list[float]) -> Column:
+    """The linear-interpolated quantiles of an array, which is sorted once."""
+
+    def cut(values: Column) -> Column:
+        def one(p: Column) -> Column:
+            at = p * (F.size(values) - 1)
+            low = F.floor(at).cast("int")
+            a = F.get(values, low)
+            return a + (at - low) * (F.coalesce(F.get(values, low + 1), a) - a)
+
+        return F.transform(F.array(*map(F.lit, grid)), one)
+
+    return F.transform(F.array(F.array_sort(ys)), cut)[0]
+
+
+def array_spread(ys: Column) -> Column:
+    """The mean absolute difference of two different numbers of an array, from one sort; fewer than two raise."""
+    n = F.size(ys)
+    ranked = F.transform(F.array_sort(ys), lambda y, k: y * (2 * k + 1 - n))
+    total = F.aggregate(ranked, F.lit(0.0), lambda a, x: a + x)
+    return F.when(n < 2, F.raise_error(F.lit("two samples or more are needed")).cast("double")).otherwise(2 * total / (n.cast("double") * (n - 1)))
+
+
 def crps_quantile(samples: DataFrame, truth: DataFrame, keys: list[str] = NODE, quantiles: list[float] | None = None) -> DataFrame:
     """keys, truth, crps: twice the mean pinball loss over linear-interpolated quantiles. Truth meets samples on the keys that it has."""
     grid = quantiles or quantile_grid()
-    made = samples.groupBy(*keys).agg(F.percentile("y", F.array(*map(F.lit, grid))).alias("q"))
+    if "ys" in samples.columns:
+        made = samples.select(*keys, array_quantiles(F.col("ys"), grid).alias("q"))
+    else:
+        made = samples.groupBy(*keys).agg(F.percentile("y", F.array(*map(F.lit, grid))).alias("q"))
     rows = made.join(truth, [c for c in keys if c in truth.columns])
     loss = F.zip_with("q", F.array(*map(F.lit, grid)), lambda q, p: F.greatest(p * (F.col("truth") - q), (p - 1) * (F.col("truth") - q)))
     return rows.select(*keys, "truth", (2 * F.aggregate(loss, F.lit(0.0), lambda a, x: a + x) / len(grid)).alias("crps"))
@@ -32,6 +61,8 @@ def crps_quantile(samples: DataFrame, truth: DataFrame, keys: list[str] = NODE,
 
 def pairwise_abs_mean(samples: DataFrame, keys: list[str] = NODE) -> DataFrame:
     """keys, n, spread: the mean absolute difference of two different samples, from one sort instead of all pairs."""
+    if "ys" in samples.columns:
+        return samples.select(*keys, F.size("ys").cast("long").alias("n"), array_spread(F.col("ys")).alias("spread"))
     row = F.row_number().over(Window.partitionBy(*keys).orderBy("y"))
     size = F.count("*").over(Window.partitionBy(*keys))
     ranked = samples.select(*keys, "y", row.alias("k"), size.alias("n"))
@@ -40,6 +71,10 @@ def pairwise_abs_mean(samples: DataFrame, keys: list[str] = NODE) -> DataFrame:
 
 def crps_mc(samples: DataFrame, truth: DataFrame, keys: list[str] = NODE) -> DataFrame:
     """keys, truth, crps: the unbiased estimate mean |x - y| - spread / 2. A single sample raises."""
+    if "ys" in samples.columns:
+        rows = samples.join(truth, [c for c in keys if c in truth.columns])
+        near = F.aggregate("ys", F.lit(0.0), lambda a, y: a + F.abs(y - F.col("truth"))) / F.size("ys")
+        return rows.select(*keys, "truth", (near - array_spread(F.col("ys")) / 2).alias("crps"))
     row = F.row_number().over(Window.partitionBy(*keys).orderBy("y"))
     size = F.count("*").over(Window.partitionBy(*keys))
     ranked = samples.join(truth, [c for c in keys if c in truth.columns]).select(*keys, "y", "truth", row.alias("k"), size.alias("n"))
@@ -63,6 +98,8 @@ BLOCK, CELLS = 128, 4096
 
 def packed_samples(samples: DataFrame, keys: list[str] = NODE) -> DataFrame:
     """keys, ys: the samples of each cell as one array in the order of i."""
+    if "ys" in samples.columns:
+        return samples.select(*keys, "ys")
     rows = F.array_sort(F.collect_list(F.struct("i", "y")))
     return samples.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.col("_rows").getField("y").alias("ys"))
 
