@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws, links
-from ..operators import design, features, forecast, heads, hierarchy, panel, sampling, scaling, scoring, windows
+from ..operators import design, features, forecast, heads, hierarchy, packed, panel, sampling, scaling, scoring, windows
 from ..sources import facts as fact_sources
 from ..sources import hierarchy_csv
 from ..sources import panel as panel_source
@@ -586,6 +586,19 @@ def d4_coherent_draws(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_node_samples(spark, d)[1], 2)
 
 
+def _node_arrays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The draws of _node_samples as an array a cell, and their truth."""
+    a, params = _params(spark, d)
+    _, _, truth = _node_samples(spark, d)
+    return packed.coherent_packed(params, a["edges"], N_DRAWS, 7, 2), truth
+
+
+@twin(f"{_NODE_SQL} SELECT group_id, t, h, i, node_id, round(y, 2) AS y FROM nsm")
+def d4_packed_draws(spark: SparkSession, d: str) -> DataFrame:
+    """The same draws by arrays, which are summed up element by element."""
+    return rounded(packed.unpacked(_node_arrays(spark, d)[0]).select("group_id", "t", "h", "i", "node_id", "y"), 2)
+
+
 @twin(f"WITH r AS ({normal_sql(hash_sql('SELECT o_orderkey, o_custkey FROM orders', 'x_', ['o_orderkey', 'o_custkey'], '11'), 'z', 'x_', 1)}) SELECT o_orderkey, o_custkey, round({uniform_sql('x_')}, 6) AS u, round(z, 6) AS z FROM r")
 def d5_draws(spark: SparkSession, d: str) -> DataFrame:
     rows = draws.hashed(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "x", ["o_orderkey", "o_custkey"], 11)
@@ -628,6 +641,17 @@ def m3_crps_monte_carlo(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.crps_mc(drawn, truth), 2)
 
 
+@twin(f"{_QUANTILE_SQL} SELECT group_id, t, h, node_id, round(truth, 2) AS truth, round(crps, 2) AS crps FROM crp")
+def m2_packed_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """From arrays: each is sorted once for all quantiles."""
+    return rounded(scoring.crps_quantile(*_node_arrays(spark, d)), 2)
+
+
+@twin(f"{_MC_SQL} SELECT group_id, t, h, node_id, round(truth, 2) AS truth, round(crps, 2) AS crps FROM crp")
+def m3_packed_monte_carlo(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scoring.crps_mc(*_node_arrays(spark, d)), 2)
+
+
 @twin(f"{_NODE_SQL} SELECT a.group_id, a.t, a.h, a.node_id, count(DISTINCT a.i) AS n, round(avg(abs(a.y - b.y)), 2) AS spread FROM nsm a JOIN nsm b ON a.h = b.h AND a.node_id = b.node_id AND a.i <> b.i GROUP BY ALL")
 def m4_pairwise_spread(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.pairwise_abs_mean(_node_samples(spark, d)[1]), 2)
@@ -791,7 +815,7 @@ def r9_m11_run_panel(spark: SparkSession, d: str) -> DataFrame:
     b = parts_panel(spark, d)
     promo = panel.densify(b["facts"], b["groups"], b["bottom"], b["calendar"], "promo").select("group_id", "series_id", "t", "promo")
     blocks = features.build_features([("static", features.identity_dummies(b["bottom"])), ("future_shared", features.month_dummies(b["calendar"])), ("future_series", features.seasonal_naive_anchor(b["obs"], [LAG], H)), ("hist", promo)])
-    return forecast.run_panel(b, SIZE, H, LAG, [0, 1, 2], n=30, blocks=blocks)
+    return forecast.run_panel(b, SIZE, H, LAG, [0, 1, 2], n=30, blocks=blocks, packed=True)
 
 
 def _naive_sql(domain: str, groups: str, n: int, seeds: str) -> str:
@@ -828,6 +852,12 @@ def r9_m11_run_panel_naive(spark: SparkSession, d: str) -> DataFrame:
     return _by_seed(forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
 
 
+@twin(_scores_sql(_NAIVE_B))
+def r9_packed_run_naive(spark: SparkSession, d: str) -> DataFrame:
+    """The same with draws as arrays."""
+    return _by_seed(forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",), packed=True))
+
+
 @twin(f"{_NAIVE_B} SELECT seed, group_id, t, h, i, node_id, round(y, 3) AS y FROM nsm")
 def d8_forecast_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples of all nodes, in raw units, for the test window of each group."""
