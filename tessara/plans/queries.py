@@ -344,6 +344,16 @@ def w1_packed_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.packed_windows(events_daily(spark, d)["obs"], 14, 7).select("group_id", "series_id", "t", said("history"), said("target"))
 
 
+@twin(f"WITH {C_SQL}, {_windows_sql(14, 7)} SELECT group_id, series_id, t, string_agg(CAST(CAST(y AS INTEGER) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k < 0) AS history, string_agg(CAST(CAST(y AS INTEGER) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k >= 0) AS target FROM win GROUP BY ALL")
+def w1_bucketed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a panel in buckets of its series, whose rows are not shuffled for it."""
+    path = scratch(spark, "buckets")
+    panel_source.write_panel({"obs": events_daily(spark, d)["obs"]}, path, buckets=8)
+    obs = panel_source.read_panel(spark, path, ("obs",))["obs"]
+    said = lambda c: F.array_join(F.transform(c, lambda y: y.cast("int").cast("string")), ",").alias(c)
+    return windows.packed_windows(obs, 14, 7).select("group_id", "series_id", "t", said("history"), said("target"))
+
+
 @twin(f"WITH {A_SQL}, lim AS (SELECT max(t) + 1 AS s FROM cal) SELECT '' AS group_id, t, CASE WHEN t = s - 6 THEN 'test' WHEN t = s - 12 THEN 'val' ELSE 'train' END AS split FROM cal CROSS JOIN lim WHERE t >= 24 AND (t = s - 6 OR t = s - 12 OR t + 6 <= s - 12)")
 def w2_last_h_split(spark: SparkSession, d: str) -> DataFrame:
     return windows.last_h_split(orders_seg(spark, d)["calendar"], SIZE, H)
