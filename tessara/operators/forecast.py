@@ -11,11 +11,11 @@ from functools import reduce
 from itertools import product
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from . import hierarchy, sampling, scoring, windows
 from .design import STEP, design, prepared, series_arrays, windows_of
 from .heads import factor_spread, mixture_of, skew_t_fit
@@ -85,7 +85,7 @@ def heads_of(residuals: DataFrame, candidates: list[Candidate], k: int, componen
     """
     kinds = {c.kind for c in candidates}
     spread = residuals.groupBy("series_id").agg(F.greatest(F.stddev_samp("r"), F.lit(1e-3)).alias("d"))
-    shape = residuals.join(spread, "series_id").select((F.col("r") / F.col("d")).alias("r")) if kinds & {"mixture", "skew_t"} else None
+    shape = stored(residuals.join(spread, "series_id").select((F.col("r") / F.col("d")).alias("r")), "shape") if kinds & {"mixture", "skew_t"} else None  # read in each round of both fits
     made = []
     for kind in sorted(kinds):
         if kind == "pooled":
@@ -187,12 +187,10 @@ def run(tables: dict[str, DataFrame], size: int, h: int, lag: int, seeds: list[i
     pooled = [c for c in named if c.kind != "naive"]
     ready = prepared(blocks, split.where("split = 'val'").agg(F.min("t")).first()[0]) if pooled else None
     for s in sorted({c.scaler for c in pooled}):
-        rows = design(obs, train, size, h, s, ready).persist(StorageLevel.MEMORY_AND_DISK)  # read by the fit and for its residuals
+        rows = stored(design(obs, train, size, h, s, ready), "design")  # read by the fit and for its residuals; a stored table has as many tasks as its size asks for
         model = fit_pooled(rows)
-        residuals = predict_pooled(model, rows).select(*STEP, (F.col("label") - F.col("prediction")).alias("r"))
-        fitted[s] = model, heads_of(residuals, [c for c in pooled if c.scaler == s], k, components).persist(StorageLevel.MEMORY_AND_DISK)
-        fitted[s][1].count()
-        rows.unpersist()
+        residuals = stored(predict_pooled(model, rows).select(*STEP, (F.col("label") - F.col("prediction")).alias("r")), "residuals")
+        fitted[s] = model, stored(heads_of(residuals, [c for c in pooled if c.scaler == s], k, components), "heads")
 
     def params(at: DataFrame, which: list[Candidate]) -> DataFrame:
         """The parameter rows of the candidates for windows at."""
