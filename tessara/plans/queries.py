@@ -540,7 +540,7 @@ N_DRAWS = 40
 
 
 def _params(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    a = orders_seg(spark, d)
+    a = orders_seg(spark, d, keep=True)
     t = a["calendar"].count() - H
     own = a["obs"].where(F.col("t").between(t - LAG, t - LAG + H - 1)).join(a["series"], "series_id").withColumn("h", F.col("t") - (t - LAG))
     loadings = F.array(0.05 * F.col("y"), 0.02 * F.col("y") * (F.col("series_no") % 3))
@@ -583,12 +583,15 @@ def d3_mixture_draws(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sampling.sample_mixture(mixed, N_DRAWS, 7, 2, 2), 2)
 
 
-def _node_samples(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    a, params = _params(spark, d)
+def _truth(spark: SparkSession, a: dict[str, DataFrame]) -> DataFrame:
     t = a["calendar"].count() - H
     at = spark.range(1).select(F.lit("").alias("group_id"), F.lit(t).alias("t"))
-    truth = hierarchy.aggregate(forecast.targets(a["obs"], at, H), a["edges"], "truth", ("group_id", "t", "h"))
-    return a, sampling.sample_coherent(params, a["edges"], N_DRAWS, 7, 2), truth
+    return hierarchy.aggregate(forecast.targets(a["obs"], at, H), a["edges"], "truth", ("group_id", "t", "h"))
+
+
+def _node_samples(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    a, params = _params(spark, d)
+    return a, sampling.sample_coherent(params, a["edges"], N_DRAWS, 7, 2), _truth(spark, a)
 
 
 @twin(f"{_NODE_SQL} SELECT group_id, t, h, i, node_id, round(y, 2) AS y FROM nsm")
@@ -599,8 +602,7 @@ def d4_coherent_draws(spark: SparkSession, d: str) -> DataFrame:
 def _node_arrays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The draws of _node_samples as an array a cell, and their truth."""
     a, params = _params(spark, d)
-    _, _, truth = _node_samples(spark, d)
-    return packed.coherent_packed(params, a["edges"], N_DRAWS, 7, 2), truth
+    return packed.coherent_packed(params, a["edges"], N_DRAWS, 7, 2), _truth(spark, a)
 
 
 @twin(f"{_NODE_SQL} SELECT group_id, t, h, i, node_id, round(y, 2) AS y FROM nsm")
@@ -727,7 +729,7 @@ def m13_objective_by_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _b_run(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    b = parts_panel(spark, d)
+    b = parts_panel(spark, d, keep=("y",))
     split = windows.panel_split(b["groups"], b["calendar"], SIZE, H, H, H)
     return b, split.where("split = 'train'").select("group_id", "t"), split.where("split = 'test'").select("group_id", "t")
 
@@ -743,7 +745,7 @@ def r1_seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pooled(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    a = orders_seg(spark, d)
+    a = orders_seg(spark, d, keep=True)
     split = windows.last_h_split(a["calendar"], SIZE, H)
     blocks = features.build_features([("future_shared", features.month_dummies(a["calendar"]))])
     rows = design.design(a["obs"], split.where("split = 'train'"), SIZE, H, "mean_floor", design.prepared(blocks))
@@ -814,7 +816,7 @@ def r7_own_model(spark: SparkSession, d: str) -> DataFrame:
 @twin()
 def r8_r10_run_with_seeds(spark: SparkSession, d: str) -> DataFrame:
     """All kinds of candidates; the pooled ones see each series' region and segment, the month and last year's value."""
-    a = orders_seg(spark, d)
+    a = orders_seg(spark, d, keep=True)
     blocks = features.build_features([("static", features.grouped_static_dummies(a["series"], ["region", "segment"])), ("future_shared", features.month_dummies(a["calendar"])), ("future_series", features.seasonal_naive_anchor(a["obs"], [LAG], H))])
     return forecast.run(a, SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive", "pooled", "mixture", "skew_t"), blocks=blocks)
 
@@ -822,7 +824,7 @@ def r8_r10_run_with_seeds(spark: SparkSession, d: str) -> DataFrame:
 @twin()
 def r9_m11_run_panel(spark: SparkSession, d: str) -> DataFrame:
     """The panel run; the pooled fit sees each nation, the month, last year's value and past promotions."""
-    b = parts_panel(spark, d)
+    b = parts_panel(spark, d, keep=("y", "promo"))
     promo = panel.densify(b["facts"], b["groups"], b["bottom"], b["calendar"], "promo").select("group_id", "series_id", "t", "promo")
     blocks = features.build_features([("static", features.identity_dummies(b["bottom"])), ("future_shared", features.month_dummies(b["calendar"])), ("future_series", features.seasonal_naive_anchor(b["obs"], [LAG], H)), ("hist", promo)])
     return forecast.run_panel(b, SIZE, H, LAG, [0, 1, 2], n=30, blocks=blocks, packed=True)
@@ -853,19 +855,19 @@ def _by_seed(rows: DataFrame) -> DataFrame:
 @twin(_scores_sql(_NAIVE_A))
 def r8_r10_run_naive(spark: SparkSession, d: str) -> DataFrame:
     """The run of one hierarchy with the one candidate that SQL can state."""
-    return _by_seed(forecast.run(orders_seg(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
+    return _by_seed(forecast.run(orders_seg(spark, d, keep=True), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
 
 
 @twin(_scores_sql(_NAIVE_B))
 def r9_m11_run_panel_naive(spark: SparkSession, d: str) -> DataFrame:
     """The panel run with the one candidate that SQL can state."""
-    return _by_seed(forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
+    return _by_seed(forecast.run_panel(parts_panel(spark, d, keep=("y",)), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",)))
 
 
 @twin(_scores_sql(_NAIVE_B))
 def r9_packed_run_naive(spark: SparkSession, d: str) -> DataFrame:
     """The same with draws as arrays."""
-    return _by_seed(forecast.run_panel(parts_panel(spark, d), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",), packed=True))
+    return _by_seed(forecast.run_panel(parts_panel(spark, d, keep=("y",)), SIZE, H, LAG, [0, 1, 2], n=30, candidates=("naive",), packed=True))
 
 
 @twin(f"{_NAIVE_B} SELECT seed, group_id, t, h, i, node_id, round(y, 3) AS y FROM nsm")
