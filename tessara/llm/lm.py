@@ -40,7 +40,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, no_gc, sliced, stored, typed
+from .common import by_text, distinct, no_gc, runs_of, sliced, stored, typed
 
 DEPTH, LEAST, KEEP, DISCOUNT, CHUNK_BYTES, BITS, BUCKET = 3, 16, 1.0, 0.75, 6_000_000, 26, 100_000
 #: Kinds of the tree's rows: a word's count, a state's log of the share that goes to its suffix, the log probability of a state's next word.
@@ -189,8 +189,10 @@ def _counted(own: Chunk, train: np.ndarray, n: int, known: np.ndarray) -> tuple[
     stays[stays] = may_hold(known, suf[stays])
     stays[stays] = may_hold(known, ctx[stays])
     ctx, suf = ctx[stays], suf[stays]
-    _, first, count = np.unique(longer(ctx, suf), return_index=True, return_counts=True)
-    return ctx[first], suf[first], count.astype(np.int32)
+    order, new = runs_of(longer(ctx, suf))
+    starts = np.flatnonzero(new)
+    first = order[starts]
+    return ctx[first], suf[first], np.diff(starts, append=len(order)).astype(np.int32)
 
 
 def retained(grams: DataFrame, last: DataFrame, keep: float = KEEP, discount: float = DISCOUNT) -> DataFrame:
@@ -267,7 +269,7 @@ def score(chunks: DataFrame, tree: Tree, depth: int = DEPTH) -> DataFrame:
                 own = Chunk(sizes, ids, keys)
                 yield parted(chunk, 1, np.sort(own.keys))
                 for n, _, key, _ in _asked(own, bits.value, depth):
-                    yield parted(chunk, n, np.unique(key))
+                    yield parted(chunk, n, distinct(key))
 
     def parted(chunk: int, n: int, keys: np.ndarray) -> pd.DataFrame:
         """A row for each bucket of the sorted keys."""
@@ -305,7 +307,9 @@ def score(chunks: DataFrame, tree: Tree, depth: int = DEPTH) -> DataFrame:
         shares = share[texts.ids]  # of each word's longest context so far of one level's length, for the word after it
         for level, at, key, use in _asked(texts, bits.value, depth):
             value, state = said_of(level)
-            _, back = np.unique(key, return_inverse=True)
+            order_of, new = runs_of(key)
+            back = np.empty(len(key), np.int64)
+            back[order_of] = np.cumsum(new) - 1  # each key's place among the distinct ones
             own_word = np.full(len(said), np.nan)
             own_word[at] = np.where(use & 1, value[back], np.nan) if len(at) else 0
             before = np.r_[np.nan, shares[:-1]]

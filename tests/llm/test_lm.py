@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessara.llm import lm
@@ -116,3 +117,15 @@ def test_odd_tables(spark):
     got = lm.scored(odd, F.lit(True), chunk_bytes=1000).collect()
     assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
     assert {r.score for r in got if r.doc_id == 7}.__len__() == 1
+
+
+@pytest.mark.parametrize("keys", [[], [5], [3, -2, 3, 7, -2, 3], [1 << 62, -(1 << 63), 0, 0]])
+def test_sorted_runs_are_numpys_unique(keys):
+    keys = np.array(keys, np.int64)
+    want, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    assert lm.distinct(keys).tolist() == want.tolist()
+    order, new = lm.runs_of(keys)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    assert back.tolist() == inverse.tolist() and keys[order][new].tolist() == want.tolist()
+    assert np.diff(np.flatnonzero(new), append=len(keys)).tolist() == counts.tolist()
