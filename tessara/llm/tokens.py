@@ -15,6 +15,7 @@ as such, and an id that is none raises. Very long texts are whole in one record;
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -59,23 +60,16 @@ class Pieces:
 
     def learn(self, fresh: list[str]) -> None:
         """Encodes pieces, each led by a space: many as one text, cut where the bytes of its ids reach a piece's end."""
-        part: list[str] = []
-        size = 0
-        for k, p in enumerate(fresh):
-            part.append(p)
-            size += len(p)
-            if size >= JOINED_CHARS or k == len(fresh) - 1:
-                text = " " + " ".join(part)
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.cumsum(self.bytes_of[ids])
-                cuts = np.cumsum([len(x.encode()) + 1 for x in part])
-                places = np.searchsorted(ends, cuts) + 1
-                data = ids.tobytes()
-                at = 0
-                for x, to in zip(part, (4 * places).tolist(), strict=True):
-                    self.known[x] = data[at:to]
-                    at = to
-                part, size = [], 0
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        starts = np.flatnonzero(np.diff(np.cumsum(sizes) // JOINED_CHARS, prepend=-1)).tolist()
+        for first, last in itertools.pairwise([*starts, len(fresh)]):
+            part = fresh[first:last]
+            text = " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            cuts = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            places = (4 * (np.searchsorted(ends, cuts) + 1)).tolist()
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *places[:-1]], places)), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -84,7 +78,7 @@ class Pieces:
         cut = [t.split(" ") for t in texts]
         fresh = set().union(*cut).difference(self.known)
         fresh -= self.loose
-        self.loose |= {p for p in fresh if is_loose(p)}
+        self.loose |= {p for p in fresh if not p or p.strip() != p}  # is_loose() of many
         fresh -= self.loose
         alone: list[str] = []
         late: set[str] = set()
