@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, no_gc, stored, typed
+from .common import begins, by_text, no_gc, runs_of, stored, typed
 from .licences import words_of
 
 SAMPLE_ROWS, CHI, GRAM, BLOCK, K, KEPT_WORDS = 3000, 12.0, 5, 64, 15, 1_000_000
@@ -150,13 +150,16 @@ class Terms:
         starts = np.cumsum(self.sizes) - self.sizes
         lengths = [len(t) for t in texts]
         word = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sum(lengths))
-        key, times = np.unique(np.repeat(np.arange(len(texts)), lengths) * max(1, len(self.place)) + word, return_counts=True)
+        key = np.sort(np.repeat(np.arange(len(texts)), lengths) * max(1, len(self.place)) + word)
+        first = np.flatnonzero(begins(key))
+        times, key = np.diff(first, append=len(key)), key[first]
         text, word = np.divmod(key, max(1, len(self.place)))
         n = self.sizes[word]
         place = np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
         key = np.repeat(text, n) * max(1, len(self.features)) + self.flat[place]
-        order = np.argsort(key, kind="stable")
-        key, first = np.unique(key[order], return_index=True)
+        order, new = runs_of(key)
+        first = np.flatnonzero(new)
+        key = key[order[first]]
         total = np.add.reduceat(np.repeat(times, n)[order], first) if len(key) else np.zeros(0, np.int64)
         text, feature = np.divmod(key, max(1, len(self.features)))
         cuts = np.searchsorted(text, np.arange(1, len(texts)))
